@@ -33,6 +33,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_array import remove_repeated
+
+    out = remove_repeated(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -44,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_packing": op2_packing,
         "op3_simhash": op3_simhash,
+        "op5_suffix_array": op5_suffix_array,
         "op6_mixing": op6_mixing,
     }
 
