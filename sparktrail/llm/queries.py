@@ -47,6 +47,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import remove_phrases
+
+    return remove_phrases(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -54,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op5_suffix_array": op5_suffix_array,
         "op6_mixing": op6_mixing,
+        "op8_phrases": op8_phrases,
     }
 
 
