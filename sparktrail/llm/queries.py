@@ -47,12 +47,24 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxic_scores
+
+    return toxic_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .phrases import remove_phrases
 
     return remove_phrases(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classifier import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -60,7 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op5_suffix_array": op5_suffix_array,
         "op6_mixing": op6_mixing,
+        "op7_toxicity": op7_toxicity,
         "op8_phrases": op8_phrases,
+        "op9_classifier": op9_classifier,
     }
 
 
