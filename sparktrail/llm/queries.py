@@ -33,6 +33,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_encoded_again")
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_array import remove_repeated
 
@@ -65,16 +71,25 @@ def op9_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import search
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_packing": op2_packing,
         "op3_simhash": op3_simhash,
+        "op4_token_counts": op4_token_counts,
         "op5_suffix_array": op5_suffix_array,
         "op6_mixing": op6_mixing,
         "op7_toxicity": op7_toxicity,
         "op8_phrases": op8_phrases,
         "op9_classifier": op9_classifier,
+        "op10_vectors": op10_vectors,
     }
 
 

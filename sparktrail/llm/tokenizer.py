@@ -50,4 +50,39 @@ class ByteBpe:
 
     def count_piece(self, piece: str) -> int:
         """Tokens of one pre-token."""
-        return len(self._pair()[1]._encode_single_piece(piece))
+        return len(self._pair()[1].encode_ordinary(piece))
+
+
+class PreTokens:
+    """Pre-tokens of the byte-level BPE, and their token counts, remembered for the frequent ones."""
+
+    #: Counts that a task remembers; the memory is emptied when full.
+    remembered = 300_000
+
+    def __init__(self, bpe: ByteBpe | None = None):
+        self.bpe = bpe or ByteBpe()
+        self._counts: dict[str, int] = {}
+        self._pattern = None
+
+    def __getstate__(self):
+        return {"bpe": self.bpe, "_counts": {}, "_pattern": None}
+
+    def split(self, text: str) -> list[str]:
+        if self._pattern is None:
+            import public_tokenizers
+            import regex
+
+            self._pattern = regex.compile(public_tokenizers.PATTERN)
+        return self._pattern.findall(text)
+
+    def count(self, pieces: list[str]) -> int:
+        known = self._counts
+        try:
+            return sum([known[p] for p in pieces])
+        except KeyError:
+            if len(known) > self.remembered:
+                known.clear()
+            for p in pieces:
+                if p not in known:
+                    known[p] = self.bpe.count_piece(p)
+            return sum([known[p] for p in pieces])
