@@ -45,17 +45,18 @@ def targets(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
     return sizes.withColumn("target", F.least(F.col("cap"), F.col("share") * F.col("weight"))).drop("cap", "turn", "open_words", "open_weight", "share", "first_open")
 
 
-def mix(docs: DataFrame, weights: Column | None = None, max_epochs: int = 3, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: Column | None = None, max_epochs: int = 3, carry: bool = False) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken (words that the mix takes, repeats counted).
 
     Documents get hash-random keys; sources are ordered by key (in key ranges, so that a large source is spread over many
     tasks), word counts are accumulated, and each source is cut exactly at its target: whole epochs first, then the
     documents before the cut, and of the document at the cut the words up to it. A null text or one without words has
     size 0 and taken 0; a null source is a source of its own; repeated rows count as rows; an empty table gives no rows.
+    carry: also return the whole input row, as struct `document`.
     """
-    keep = keep or []
-    sized = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", F.col("text")).alias("mix_key"))
-    if not keep:
+    whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")] if carry else []
+    sized = docs.select("doc_id", F.col("source").cast("string"), *whole, word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", F.col("text")).alias("mix_key"))
+    if not carry:
         sized = materialize(sized, "sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     by_source = materialize(targets(by_source.withColumn("weight", weights if weights is not None else cycle_weights()), max_epochs), "targets")
@@ -67,3 +68,19 @@ def mix(docs: DataFrame, weights: Column | None = None, max_epochs: int = 3, kee
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), budget - epochs * F.col("source_size") - F.col("words_before")))
     return out.withColumn("taken", (epochs * F.col("size") + part).cast("long")).drop("words_before")
+
+
+def mixed_documents(docs: DataFrame, weights: Column | None = None, max_epochs: int = 3) -> DataFrame:
+    """The mix as rows of docs: a row per whole time that a document is taken, and one with its first words at the cut.
+
+    The text at a cut is those words joined by one space; n_chars, where it exists, is then counted anew.
+    """
+    out = mix(docs, weights, max_epochs, carry=True).filter("taken > 0")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    left = F.col("taken") - (F.col("copy") - 1) * F.col("size")
+    some = F.split(F.regexp_replace("document.text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    text = F.when(left >= F.col("size"), F.col("document.text")).otherwise(F.array_join(F.slice(some, F.lit(1), F.greatest(left, F.lit(1)).cast("int")), " "))
+    out = out.select(*(text.alias(c) if c == "text" else F.col(f"document.`{c}`") for c in docs.columns), (left < F.col("size")).alias("__cut"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__cut"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop("__cut")

@@ -35,12 +35,12 @@ def _fingerprint(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): SimHash of XXH64 (seed 42) over lower-cased word shingles; null, empty or blank text: 0."""
+    """(row, doc_id, fp): SimHash of XXH64 (seed 42) over lower-cased word shingles; null, empty or blank text: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = partial(xxhash.xxh64_intdigest, seed=42)
         for batch in batches:
-            raw, off = utf8(batch.column(1))
+            raw, off = utf8(batch.column(2))
             for i, j in slices(off, CHUNK_BYTES >> 1):
                 hashes, rows = [], []
                 for k in range(i, j):
@@ -56,9 +56,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
                     hashes.append(some)
                     rows.append(np.full(len(some), k - i))
                 fp = _fingerprint(np.concatenate(hashes), np.concatenate(rows), j - i) if hashes else np.zeros(j - i, np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:2], pa.array(fp.view(np.int64))], ["row", "doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "row long, doc_id long, fp long")
 
 
 def _segments(parts: int) -> list[tuple[int, int]]:
@@ -147,7 +148,7 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) per document; component_id: the smallest doc_id that chains of links reach.
+    """(row, doc_id, fp, component_id, component) per document; component_id: the smallest doc_id that chains of links reach.
 
     Equal fingerprints are one node, whatever their number. Null doc_ids never are a component_id unless a component has
     no other. Repeated rows give repeated rows; an empty table gives none.
@@ -157,9 +158,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     found = components(links(nodes.select("fp"), max_bits))
     labelled = nodes.join(found, nodes.fp == found.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lowest = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_fp = labelled.join(lowest, "component").select(F.col("fp").alias("node_fp"), "component_id")
+    of_fp = labelled.join(lowest, "component").select(F.col("fp").alias("node_fp"), "component_id", "component")
     return docs_.join(of_fp, F.col("fp") == F.col("node_fp"), "left").drop("node_fp")
 
 
+def without_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (null last; equal ones by row)."""
+    found = materialize(near_duplicates(docs, shingle, max_bits), "components")
+    first = found.groupBy(F.col("component").alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = found.join(first, F.col("component") == F.col("of")).filter(F.col("row") != F.col("first.row")).select(F.col("row").alias("__gone"))
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

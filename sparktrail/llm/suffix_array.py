@@ -196,3 +196,30 @@ def remove_repeated(docs: DataFrame, length: int = 400, gram: int = 128) -> Data
     base = with_rows(docs).select("row", "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha256"))
     out = base.join(cuts, F.col("row") == F.col("cut_row"), "left").withColumn("kept_sha256", F.coalesce("cut_sha256", "sha256"))
     return out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>"))).drop("cut_row", "cut_sha256", "sha256")
+
+
+def without_repeated(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFrame:
+    """docs with repeated byte strings cut out of `text`; code points cut in two go as a whole. All rows stay.
+
+    n_chars, where it exists, is counted anew for texts that were cut.
+    """
+    found, runs = repeated_spans(docs, length, gram)
+    by_row = runs.groupBy(F.col("row").alias("of_row")).agg(F.collect_list("first").alias("firsts"), F.collect_list("end").alias("ends"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = utf8(batch.column(1))
+            kept = []
+            for k, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                data = raw[off[k] : off[k + 1]].tobytes()
+                gone = covered(np.array(a), np.array(b), length)
+                parts = (data[i:j].decode(errors="ignore") for i, j in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(data)], strict=True))
+                kept.append("".join(parts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["__cut_row", "__kept"])
+
+    cuts = found.join(by_row, F.col("row") == F.col("of_row")).select("row", "text", "firsts", "ends").mapInArrow(cut, "__cut_row long, __kept string")
+    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(cuts, F.col("__row") == F.col("__cut_row"), "left")
+    new = {"text": F.coalesce("__kept", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.char_length("__kept").cast("long"))
+    return rows.withColumns(new).select(*(F.col(f"`{c}`") for c in docs.columns))
