@@ -24,20 +24,27 @@ from .text import POWERS, POWERS_2, utf8, window_hash
 INDEX_BYTES = 3 << 20
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of symbols below 511, the end being smallest; by prefix doubling from 7 symbols on."""
+#: Symbols whose order is found by one sort of 63-bit keys.
+FIRST = 7
+
+
+def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of all suffixes of symbols below 511, the end being smallest, and the keys of their first symbols in order.
+
+    By prefix doubling from FIRST symbols on.
+    """
     n = len(text)
-    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(7, np.int64)])
+    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(FIRST, np.int64)])
     key = padded[:n].copy()
-    for k in range(1, 7):
+    for k in range(1, FIRST):
         key = key << 9 | padded[k : n + k]
     order = np.argsort(key)
-    sorted_key = key[order]
-    new = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
+    first_keys = key[order]
+    new = np.r_[True, first_keys[1:] != first_keys[:-1]]
     place = np.flatnonzero(new)[np.cumsum(new) - 1]  # a suffix's rank: the first place of its group
     rank = np.empty(n, np.int64)
     rank[order] = place
-    done, depth = new & np.r_[new[1:], True], 7
+    done, depth = new & np.r_[new[1:], True], FIRST
     open_ = np.flatnonzero(~done)  # places in groups of two and more
     while len(open_):
         at = order[open_]
@@ -51,16 +58,17 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         rank[at] = open_[np.flatnonzero(new)[np.cumsum(new) - 1]]
         open_ = open_[~(new & np.r_[new[1:], True])]
         depth *= 2
-    return order
+    return order, first_keys
 
 
-def parted(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+def parted(text: np.ndarray, order: np.ndarray, first_keys: np.ndarray, length: int) -> np.ndarray:
     """Whether place k of the suffix order and the one before it differ in their first `length` symbols.
 
     Symbol 0 separates blocks and is never a part of an expanded string, so the answer holds for suffixes with `length`
-    symbols before the next separator.
+    symbols before the next separator. Levels below FIRST are read off the sorted keys, the rest are expanded.
     """
     n = len(text)
+    assert length >= FIRST
     bwt = text[order - 1]
     by_symbol = np.argsort(bwt, kind="stable")  # place j of the first column comes from place by_symbol[j]
     to_first = np.empty(n, np.int32)
@@ -69,10 +77,18 @@ def parted(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     after, before = np.full(n, n, np.int32), np.full(n, -1, np.int32)  # nearest places with the same symbol
     after[by_symbol[:-1][same]] = by_symbol[1:][same]
     before[by_symbol[1:][same]] = by_symbol[:-1][same]
+    change = np.flatnonzero(first_keys[1:] != first_keys[:-1]) + 1
     ends = np.zeros(n + 1, bool)
+    ends[change] = True
     ends[[0, n]] = True
-    low, high = np.zeros(1, np.int64), np.full(1, n, np.int64)
-    for _ in range(length):
+    low, high = np.r_[0, change], np.r_[change, n]
+    # to expand: strings of FIRST symbols whose right end no shorter string has, and without a separator
+    key, following = first_keys[low] >> 9, np.r_[first_keys[change] >> 9, -1]
+    clean = key == following
+    for k in range(FIRST):
+        clean &= (first_keys[low] >> (9 * k)) & 511 > 1
+    low, high = low[clean], high[clean]
+    for _ in range(FIRST, length):
         size = high - low
         which = np.repeat(np.arange(len(low)), size)
         at = np.arange(len(which)) + np.repeat(low - (np.cumsum(size) - size), size)
@@ -101,8 +117,8 @@ def repeated_windows(texts: list[bytes], weights: np.ndarray, length: int) -> li
     text = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8).astype(np.uint16) + 1
     starts = np.cumsum(sizes + 1) - sizes - 1
     text[starts + sizes] = 0
-    order = suffix_array(text)
-    group = np.cumsum(parted(text, order, length))
+    order, first_keys = suffix_array(text)
+    group = np.cumsum(parted(text, order, first_keys, length))
     weight = np.zeros(len(text), np.int64)
     for s, n, k in zip(starts.tolist(), (sizes - length + 1).tolist(), weights.tolist(), strict=True):
         weight[s : s + n] = k
@@ -158,7 +174,7 @@ def _hot_runs(hot: DataFrame, length: int) -> DataFrame:
     return out.select("row", (F.col("start") + F.col("r.b")).alias("first"), (F.col("start") + F.col("r.e") + 1).alias("end"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 128) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64) -> tuple[DataFrame, DataFrame]:
     """Candidate rows (row, doc_id, text, ...) and their runs (row, first, end) of repeated window starts."""
     w = Windows(length, gram, False)
     found = candidates(with_rows(docs), w)
@@ -167,7 +183,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 128) -> tuple
     return found, cold.unionByName(_hot_runs(blocks(found, w, True), length))
 
 
-def remove_repeated(docs: DataFrame, length: int = 400, gram: int = 128) -> DataFrame:
+def remove_repeated(docs: DataFrame, length: int = 400, gram: int = 64) -> DataFrame:
     """(row, doc_id, n_bytes, spans, kept): every byte in a string of `length` bytes that also starts elsewhere is removed.
 
     spans: the removed byte ranges; kept: the remaining bytes, null where nothing was removed; kept_sha256 is always set.
