@@ -107,7 +107,11 @@ def runs(x: Stretch, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text): `row` tells apart rows with null or repeated doc_ids. The input must be re-readable as it is."""
+    """(row, doc_id, text): `row` tells apart rows with null or repeated doc_ids.
+
+    Rows are numbered by file split and place, alike in every reading of a stored table. docs must be one (Parquet files,
+    a checkpoint), not a plan that may deal its rows anew, such as an unsaved repartition.
+    """
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
