@@ -147,7 +147,7 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndar
     return np.array(cols[0], np.int64), np.array(cols[1], np.int64), np.array(cols[2], np.float64)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 200, sample: int = 10_000) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 1600, sample: int = 10_000) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest by inner product among all vectors but those of its own id.
 
     The quantiser is fitted on at most `sample` vectors (by hash of vec_id); every usable vector is indexed. Vectors of
