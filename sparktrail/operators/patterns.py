@@ -213,17 +213,23 @@ def pattern_timeline(e: DataFrame, pattern: str, subject: str) -> DataFrame:
     return out.withColumn("rate_pct", rate(F.col("sessions_hit") * F.lit(100.0), F.col("sessions_total"))).orderBy("dt")
 
 
-def compare_change(e: DataFrame, pattern: str, subject: str, mark: str, today: str, span: int = 14) -> DataFrame:
+def compare_change(e: DataFrame, pattern: str, subject: str, mark: str, today: str, span: int = 14, collecting: bool = True) -> DataFrame:
     """Hit rates in equal spans of days before and after a change; neither the day of the change nor today counts.
 
-    waiting: no whole day after it yet. insufficient: under 5 sessions or under 2 days on a side.
+    collection_unverified: the collector isn't known to run. waiting: nothing after it yet. insufficient: under 5 sessions
+    or under 2 days on a side. Then no_recurrence, lower or recurring.
     """
-    after = F.least(F.lit(span), F.datediff(F.lit(today).cast("date"), F.lit(mark).cast("date")) - 1)
-    days = pattern_timeline(e, pattern, subject).withColumn("at", F.datediff(F.col("dt").cast("date"), F.lit(mark).cast("date"))).withColumn("n", after)
-    side = lambda c: F.sum(F.when(c, F.col("sessions_total"))), lambda c: F.sum(F.when(c, F.col("sessions_hit"))), lambda c: F.count_if(c)
-    old, new = (F.col("at") < 0) & (F.col("at") >= -F.col("n")), (F.col("at") > 0) & (F.col("at") <= F.col("n"))
-    out = days.agg(*(F.coalesce(f(c), F.lit(0)).cast("long").alias(f"{name}_{when}") for name, f in zip(("sessions", "hits", "days"), side, strict=True) for when, c in (("before", old), ("after", new))))
-    out = out.withColumns({"rate_before": rate(F.col("hits_before") * 100, F.col("sessions_before")), "rate_after": rate(F.col("hits_after") * 100, F.col("sessions_after"))})
+    n = F.least(F.lit(span), F.datediff(F.lit(today).cast("date"), F.lit(mark).cast("date")) - 1)
+    days = pattern_timeline(e, pattern, subject).withColumn("at", F.datediff(F.col("dt").cast("date"), F.lit(mark).cast("date"))).withColumn("n", n)
+    sides = {"before": (F.col("at") < 0) & (F.col("at") >= -F.col("n")), "after": (F.col("at") > 0) & (F.col("at") <= F.col("n"))}
+    zero = F.lit(0).cast("long")
+    sums = []
+    for side, inside in sides.items():
+        for name, column in (("sessions", "sessions_total"), ("hits", "sessions_hit"), ("incidents", "incidents")):
+            sums.append(F.coalesce(F.sum(F.when(inside, F.col(column))), zero).alias(f"{name}_{side}"))
+        sums.append(F.count_if(inside).alias(f"days_{side}"))
+    out = days.agg(*sums)
+    out = out.withColumns({f"rate_{side}": rate(F.col(f"hits_{side}") * 100, F.col(f"sessions_{side}")) for side in sides})
     few = (F.least("sessions_before", "sessions_after") < 5) | (F.least("days_before", "days_after") < 2)
-    status = F.when(F.lit(after) < 1, "waiting").when(few, "insufficient").when((F.col("hits_after") == 0) & (F.col("hits_before") > 0), "no_recurrence").when(F.col("rate_after") < F.col("rate_before"), "lower").otherwise("recurring")
-    return out.withColumn("status", status)
+    status = F.when(F.lit(not collecting), "collection_unverified").when(F.col("sessions_after") == 0, "waiting").when(few, "insufficient").when(F.col("hits_after") == 0, "no_recurrence")
+    return out.withColumn("status", status.when(F.col("rate_after") < F.col("rate_before"), "lower").otherwise("recurring"))

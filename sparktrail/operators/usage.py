@@ -247,11 +247,18 @@ def coverage(e: DataFrame, all_events: DataFrame, silent_before_ms: int) -> Data
 
 
 def coverage_summary(c: DataFrame) -> DataFrame:
-    """Whole percents of coverage, and whether to warn: under 80 % of usage or match, or a silent host."""
-    usage = F.round(rate((F.col("sessions") - F.col("sessions_without_usage")) * 100, F.col("sessions"))).cast("long")
-    match = F.round(rate(F.col("tool_results_matched") * 100, F.col("tool_results_hook"))).cast("long")
-    out = c.select(usage.alias("usage_pct"), match.alias("match_pct"), F.col("hosts_silent_24h"))
-    return out.withColumn("warn", F.coalesce(F.col("usage_pct") < 80, F.lit(False)) | F.coalesce(F.col("match_pct") < 80, F.lit(False)) | (F.col("hosts_silent_24h") > 0))
+    """Whole percents of coverage (null for a whole of 0), and whether to warn: usage or match under 80 %, a silent host."""
+
+    def percent(part: Column, whole: str) -> Column:
+        return F.round(rate(part * 100, F.col(whole))).cast("long")
+
+    out = c.select(
+        percent(F.col("sessions") - F.col("sessions_without_usage"), "sessions").alias("usage_pct"), percent(F.col("tool_results_matched"), "tool_results_hook").alias("match_pct"),
+        percent(F.col("tool_results_raw") - F.col("tool_results_deduped"), "tool_results_raw").alias("dropped_pct"), percent(F.col("subagents_with_usage"), "subagents").alias("subagent_usage_pct"),
+        percent(F.col("events") - F.col("events_user_id_null"), "events").alias("attributed_pct"), "hosts", "hosts_silent_24h",
+    )
+    low = F.coalesce(F.col("usage_pct") < 80, F.lit(False)) | F.coalesce(F.col("match_pct") < 80, F.lit(False))
+    return out.withColumn("warn", low | (F.col("hosts_silent_24h") > 0))
 
 
 def complete() -> Column:

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktrail.operators import patterns, session_detail, usage
+from sparktrail.functions.scalars import token_estimate
+from sparktrail.operators import patterns, pricing, session_detail, usage
 
 from .event_log import SILENT_BEFORE_MS, TODAY, event_log
-from .oracle import ORACLE, SERVERS
+from .oracle import FETCHED, ORACLE, PLAN_PRICES, PRICES, SERVERS
 
 #: Days that a query covers by default; all days for the others.
 DAYS = {"overview": 14, "web_tools": 14, "web_mcp": 14, "web_skills": 14, "s3_unused_mcp": 14, "web_unused_mcp": 14, "sessions": 14, "models": 14, "models_daily": 14, "billing_routes": 14, "subscription_models": 14, "patterns_rank": 30, "pattern_hits": 30, "pattern_timeline": 60, "compare_change": 60}
@@ -53,6 +54,39 @@ _OVER_EVENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def _prices(e: DataFrame) -> DataFrame:
+    return pricing.price_table(e.sparkSession, PRICES)
+
+
+def _periods(e: DataFrame) -> DataFrame:
+    """Plans as the effort of an account's last request of the day would name them; a stand-in for observed plans."""
+    seen = e.filter("event_type = 'api.request' and user_id is not null").groupBy(F.col("user_id").alias("account"), F.col("dt").alias("day")).agg(F.max_by("effort", F.struct("ts", "event_id")).alias("x"))
+    plan, price = F.lit("unknown"), F.lit(None).cast("double")
+    for key, (name, usd) in PLAN_PRICES.items():
+        plan, price = F.when(F.col("x") == key, name).otherwise(plan), F.when(F.col("x") == key, usd).otherwise(price)
+    return pricing.plan_history(seen.select("account", "day", plan.alias("plan"), price.alias("price")))
+
+
+def _usage(e: DataFrame) -> DataFrame:
+    return usage.grouped_usage(usage.preferred_usage(e))
+
+
+_OVER_EVENTS |= {
+    "cost_historical": lambda e: pricing.cost_historical(_usage(e), _prices(e), FETCHED),
+    "cost_estimate": lambda e: pricing.cost_estimate(_usage(e), _prices(e), FETCHED),
+    "cost_summary": lambda e: pricing.cost_summary(_usage(e), _prices(e), FETCHED),
+    "router_api_cost": lambda e: pricing.router_api_cost(_usage(e), _prices(e), FETCHED),
+    "plan_history": _periods,
+    "period_fee": lambda e: pricing.period_fee(_periods(e), 14, TODAY),
+    "subscription_comparison": lambda e: pricing.subscription_comparison(pricing.period_fee(_periods(e), 14, TODAY), pricing.cost_summary(_usage(e), _prices(e), FETCHED)),
+}
+DAYS |= dict.fromkeys(["cost_historical", "cost_estimate", "cost_summary", "router_api_cost"], 14)
+
+
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", token_estimate(F.col("text")).alias("tokens"))
+
+
 def _branch(name: str) -> Callable[[DataFrame], DataFrame]:
     def run(e: DataFrame) -> DataFrame:
         kind = {"context_jump": "jump", "compaction": "compaction"}.get(name)
@@ -94,5 +128,5 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES = {name: _query(name) for name in (*_OVER_EVENTS, *_OVER_SESSION)}
+QUERIES = {name: _query(name) for name in (*_OVER_EVENTS, *_OVER_SESSION)} | {"token_estimates": token_estimates}
 ORACLE_SQL = dict(ORACLE)
