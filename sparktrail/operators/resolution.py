@@ -1,0 +1,152 @@
+"""Which session, client and device an event belongs to: links, scopes, and records of one activity on two devices."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+FACTS = ("message.usage.link", "message.usage.link.rejected", "session.client")
+
+
+def resolve_links(raw: DataFrame) -> DataFrame:
+    """Events without facts; desktop requests moved to the chat and turn that a content link names.
+
+    A link counts if it is the only one of its host, session and key and none was rejected: links that disagree cancel
+    each other, also later ones, so links are always computed from all facts. Sessions whose originator was observed
+    take that client where theirs is unknown or just the desktop's.
+    """
+    facts = raw.filter("event_type = 'message.usage.link' and correlation_confidence = 'content_match' and session_id is not null and turn_id is not null")
+    rejected = raw.filter("event_type = 'message.usage.link.rejected'").select("host_id", F.col("session_id").alias("parent_session_id"), "correlation_key").distinct()
+    key = ["host_id", "parent_session_id", "correlation_key"]
+    links = facts.join(rejected, key, "left_anti").groupBy(*key).agg(F.min(F.struct("session_id", "turn_id")).alias("to"), F.count_distinct("session_id", "turn_id").alias("n")).filter("n = 1")
+    links = links.select(F.col("host_id").alias("_h"), F.col("parent_session_id").alias("_p"), F.col("correlation_key").alias("_k"), "to")
+    observed = raw.filter("event_type = 'session.client' and agent = 'codex' and source = 'log' and correlation_confidence = 'observed_originator' and client = 'chatgpt_desktop_cowork'")
+    clients = observed.groupBy(F.col("host_id").alias("_ch"), F.col("session_id").alias("_cs")).agg(F.min("client").alias("_client"))
+    linked = (F.col("event_type") == "api.request") & (F.col("client") == "claude_desktop") & (F.col("host_id") == F.col("_h")) & (F.col("session_id") == F.col("_p")) & (F.col("correlation_key") == F.col("_k"))
+    out = raw.filter(~F.col("event_type").isin(*FACTS)).join(links, linked, "left").join(clients, (F.col("host_id") == F.col("_ch")) & (F.col("session_id") == F.col("_cs")), "left")
+    vague = (F.col("agent") == "codex") & (F.col("client").isNull() | (F.col("client") == "codex_desktop"))
+    new = {
+        "session_id": F.coalesce("to.session_id", "session_id"), "turn_id": F.coalesce("to.turn_id", "turn_id"),
+        "client": F.when(vague, F.coalesce("_client", "client")).otherwise(F.col("client")), "correlation_confidence": F.when(F.col("to").isNotNull(), "content_match").otherwise(F.col("correlation_confidence")),
+    }
+    return out.withColumns(new).select(*raw.columns)
+
+
+def resolve_scopes(ledger: DataFrame, scope: str, tombstones: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Rows of the local and one remote scope, once per event id, the local one first.
+
+    Deleted ids are gone; a local row known under another id in the remote scope gives way to it, or to its deletion.
+    aliases: (scope, local_id, remote_id).
+    """
+    rows = ledger.filter(F.col("scope").isin("local", scope))
+    dead = tombstones.filter(F.col("scope") == scope).select("event_id").distinct()
+    there = rows.filter(F.col("scope") == scope).select(F.col("event_id").alias("remote_id")).union(dead).distinct()
+    replaced = aliases.filter(F.col("scope") == scope).join(there, "remote_id", "left_semi").select(F.col("local_id").alias("event_id")).distinct()
+    local = rows.filter("scope = 'local'").join(replaced, "event_id", "left_anti").select(*rows.columns)
+    kept = rows.filter("scope <> 'local'").unionByName(local).join(dead, "event_id", "left_anti").select(*rows.columns)
+    order = Window.partitionBy("event_id").orderBy(F.desc(F.col("scope") == "local"))
+    return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
+def match_fingerprints(responses: DataFrame, messages: DataFrame, within_ms: int = 120_000) -> DataFrame:
+    """(response_id, message_id, verdict): responses and messages of one fingerprint within two minutes.
+
+    linked if each has only the other; rejected where a side has several.
+    """
+    near = (F.col("r.fingerprint") == F.col("m.fingerprint")) & (F.abs(F.col("r.ts") - F.col("m.ts")) <= within_ms)
+    pairs = responses.alias("r").join(messages.alias("m"), near).select("r.response_id", "m.message_id")
+    many = lambda c: F.count("*").over(Window.partitionBy(c))
+    pairs = pairs.withColumns({"a": many("response_id"), "b": many("message_id")})
+    return pairs.select("response_id", "message_id", F.when((F.col("a") == 1) & (F.col("b") == 1), "linked").otherwise("rejected").alias("verdict"))
+
+
+def fingerprints(texts: DataFrame, secret: bytes) -> DataFrame:
+    """Add `fingerprint`: HMAC-SHA256 of `text` with line ends made equal. Spark has no HMAC, so batches go to Python."""
+
+    @F.pandas_udf("string")
+    def digest(text):
+        import hashlib
+        import hmac
+
+        return text.map(lambda t: None if t is None else hmac.new(secret, t.replace("\r\n", "\n").encode(), hashlib.sha256).hexdigest())
+
+    return texts.withColumn("fingerprint", digest("text"))
+
+
+def link_devices(left: DataFrame, right: DataFrame, rules: list[tuple[str, list[Column], bool]]) -> DataFrame:
+    """(left_id, right_id, rule): the same observations under the ids of two devices.
+
+    Rules apply in order, each to what is still unmatched: (name, key columns, unique). Rows of equal keys are paired in
+    the order of ts and id, so that repeated observations keep their number; a unique rule only takes keys that are
+    found once on either side. A null in a key matches nothing.
+    """
+    found = None
+    for name, key, unique in rules:
+        sides = []
+        for df, id_ in ((left, "left_id"), (right, "right_id")):
+            whole = F.to_json(F.struct(*(c.alias(f"k{k}") for k, c in enumerate(key))))
+            known = F.lit(True)
+            for c in key:
+                known = known & c.isNotNull()
+            order = Window.partitionBy("k").orderBy("ts", "event_id")
+            rows = df.filter(known).withColumn("k", whole).withColumns({"n": F.row_number().over(order), "of": F.count("*").over(Window.partitionBy("k"))})
+            if found is not None:
+                rows = df.filter(known).join(found.select(F.col(id_).alias("event_id")), "event_id", "left_anti").withColumn("k", whole).withColumns({"n": F.row_number().over(order), "of": F.count("*").over(Window.partitionBy("k"))})
+            sides.append((rows.filter("of = 1") if unique else rows).select("k", "n", F.col("event_id").alias(id_)))
+        part = sides[0].join(sides[1], ["k", "n"]).select("left_id", "right_id", F.lit(name).alias("rule"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def client_registry(files: DataFrame) -> DataFrame:
+    """(host_id, session_id, client) from (host_id, session_id, file, line_no, client): each file's first known client, joined in order."""
+    first = files.filter("client is not null").groupBy("host_id", "session_id", "file").agg(F.min_by("client", "line_no").alias("client"))
+    return first.groupBy("host_id", "session_id").agg(F.array_join(F.array_sort(F.collect_set("client")), ",").alias("client"))
+
+
+def request_authorisation(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """(session_id, response_id, subscription): a response is covered if every request record of its id says so."""
+    covered = requests.groupBy("session_id", "request_id").agg(F.bool_and("subscription").alias("subscription"))
+    return responses.join(covered, ["session_id", "request_id"]).select("session_id", "response_id", "subscription")
+
+
+def display_filter(device: str | None = None, repo: str | None = None, without_repo: bool = False, this_device: str | None = None) -> Column:
+    """Predicate of the dashboard's filter. `this-mac` is the device of the engine, `all` any; a repository or none at all."""
+    if repo and without_repo:
+        raise ValueError("a repository and no repository exclude each other")
+    if len(device or "") > 256 or len((repo or "").encode()) > 2048:
+        raise ValueError("filter too long")
+    out = F.lit(True)
+    if device and device != "all":
+        out = out & (F.col("host_id") == (this_device if device == "this-mac" else device))
+    if repo:
+        out = out & (F.col("repo") == repo)
+    if without_repo:
+        out = out & (F.col("repo").isNull() | (F.col("repo") == ""))
+    return out
+
+
+class Marks:
+    """Dates of changes made to improve a pattern: a small table of (id, pattern_id, subject, dt, note, host_id)."""
+
+    SCHEMA = "id string, pattern_id string, subject string, dt string, note string, host_id string"
+
+    @staticmethod
+    def create(marks: DataFrame, pattern_id: str, subject: str, dt: str, note: str, host_id: str, today: str) -> DataFrame:
+        from datetime import date
+
+        if date.fromisoformat(dt) > date.fromisoformat(today):
+            raise ValueError("a mark can't lie in the future")
+        if not pattern_id or not subject or not 1 <= len(note) <= 500:
+            raise ValueError("pattern, subject and a note of 1 to 500 characters are required")
+        key = F.substring(F.sha2(F.concat_ws("|", F.lit(pattern_id), F.lit(subject), F.lit(dt), F.lit(note), F.lit(host_id)), 256), 1, 32)
+        one = marks.sparkSession.createDataFrame([(pattern_id, subject, dt, note, host_id)], "pattern_id string, subject string, dt string, note string, host_id string").withColumn("id", key)
+        return marks.unionByName(one).dropDuplicates(["id"])
+
+    @staticmethod
+    def listed(marks: DataFrame, pattern_id: str, subject: str, where: Column) -> DataFrame:
+        return marks.filter((F.col("pattern_id") == pattern_id) & (F.col("subject") == subject)).withColumn("repo", F.lit(None).cast("string")).filter(where).drop("repo").orderBy(F.desc("dt"), "id")
+
+    @staticmethod
+    def delete(marks: DataFrame, id_: str) -> DataFrame:
+        return marks.filter(F.col("id") != id_)
