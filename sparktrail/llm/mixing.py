@@ -61,7 +61,7 @@ def mix(docs: DataFrame, weights: Column | None = None, max_epochs: int = 3, car
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     by_source = materialize(targets(by_source.withColumn("weight", weights if weights is not None else cycle_weights()), max_epochs), "targets")
     rows = by_source.agg(F.sum("source_rows")).first()[0] or 0
-    ordered = running_total(sized, "source", ["mix_key", "doc_id", "size"], F.col("size"), buckets_for(rows), "words_before")
+    ordered = running_total(sized, "source", ["mix_key", "doc_id", "size"], F.col("size"), buckets_for(rows * (8 if carry else 1)), "words_before")  # whole rows are larger
     t = by_source.select(F.col("source").alias("target_source"), "source_size", "target")
     out = ordered.join(t, F.col("source").eqNullSafe(F.col("target_source")), "left").drop("target_source", "mix_key")
     budget = F.round("target").cast("long")
