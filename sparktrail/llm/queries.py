@@ -93,5 +93,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_OP1 = rf"""
+WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+base AS (
+  SELECT doc_id, source, text, regexp_extract_all(text, '{_WORD}') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM docs),
+windows AS (SELECT doc_id, pos, array_to_string(words[pos:pos + 7], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS pos FROM base)),
+again AS (SELECT doc_id, pos FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(pos, pos + 8)) AS place FROM again) GROUP BY doc_id),
+lines AS (SELECT doc_id, source, array_to_string(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}'), ' ') AS line, len(regexp_extract_all(x, '{_WORD}')) AS n
+          FROM (SELECT doc_id, source, unnest(lines) AS x FROM base)),
+hosts AS (SELECT source, greatest(100, floor(count(*) * 0.02)) AS most FROM docs GROUP BY source),
+frequent AS (SELECT l.source, line FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, line, most HAVING count(DISTINCT doc_id) > most),
+gone AS (SELECT doc_id, sum(n) AS n FROM lines l JOIN frequent f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source GROUP BY doc_id),
+sums AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(g.n, 0) AS BIGINT) AS removed_words
+  FROM base LEFT JOIN repeated r USING (doc_id) LEFT JOIN gone g USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM sums)
+SELECT *, NOT base_failed AND n_words - removed_words >= 20 AND n_words - removed_words >= 0.3 * n_words AS kept FROM judged
+"""
+
+_OP8 = rf"""
+WITH base AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+windows AS (SELECT doc_id, pos, array_to_string(words[pos:pos + 19], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM base)),
+later AS (SELECT doc_id, pos FROM windows QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) > 1),
+gone AS (SELECT doc_id, list(DISTINCT place) AS places FROM (SELECT doc_id, unnest(range(pos, pos + 20)) AS place FROM later) GROUP BY doc_id),
+kept AS (SELECT b.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed, words, places FROM base b LEFT JOIN gone USING (doc_id)),
+left_ AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM (SELECT doc_id, places, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM kept) k WHERE places IS NULL OR NOT list_contains(places, pos) GROUP BY doc_id)
+SELECT k.doc_id, n_words, n_removed, sha256(coalesce(l.text, '')) AS kept_sha256 FROM kept k LEFT JOIN left_ l USING (doc_id)
+"""
+
+_OP10 = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored QUALIFY rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; the others are tested against brute force in tests/llm."""
+    return {"op1_quality": _OP1, "op8_phrases": _OP8, "op10_vectors": _OP10}
