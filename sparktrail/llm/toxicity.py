@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, training_rows
-from .text import prefix_sums, slices, span_hash, utf8
+from .text import mix, prefix_sums, slices, span_hash, utf8, window_hash
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[0x41:0x5B] += 0x20
@@ -65,8 +65,11 @@ class Model:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def token_scores(self, hashes: np.ndarray) -> np.ndarray:
-        """The largest score of a token's units, or `other` where none is significant."""
+    def token_scores(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The largest score of a token's units, or `other` where none is significant; first: the rows' token offsets.
+
+        A token equal to the one before it never adds to a passage: a word repeated a hundred times says no more than once.
+        """
         flat = hashes.ravel()
         out = np.full(len(flat), -np.inf, np.float32)
         at = np.flatnonzero(self.maybe[(flat & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -75,7 +78,11 @@ class Model:
             hit = self.keys[k] == flat[at]
             out[at[hit]] = self.scores[k[hit]]
         best = out.reshape(hashes.shape).max(axis=1)
-        return np.where(np.isneginf(best), np.float32(self.other), best)
+        best = np.where(np.isneginf(best), np.float32(self.other), best)
+        again = np.zeros(len(best), bool)
+        again[1:] = hashes[1:, 0] == hashes[:-1, 0]
+        again[first[:-1][first[:-1] < len(best)]] = False
+        return np.where(again, np.minimum(best, np.float32(self.other)), best)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -109,6 +116,29 @@ def evidence(model: Model, scores: np.ndarray) -> tuple[float, list[tuple[int, i
     return total, found
 
 
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """One document of each group of near copies in the sample, whose words would count as often as it was copied.
+
+    Groups share one of three smallest hashes of five-token windows; the row with the smallest hash of its text stays.
+    """
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw_all, off_all = utf8(batch.column(0))
+            lows = []
+            for i, j in slices(off_all):
+                hashes, _, _, first = units(raw_all[off_all[i] : off_all[j]], off_all[i : j + 1] - off_all[i])
+                for a, b in zip(first[:-1], first[1:], strict=True):
+                    windows = window_hash(hashes[a:b, 0], 5) if b - a >= 5 else mix(np.append(hashes[a:b, 0], np.uint64(b - a)))
+                    lows.append([int(mix(windows ^ np.uint64(k)).min().view(np.int64)) for k in (1, 2, 3)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(lows, pa.list_(pa.int64()))], ["text", "y", "lows"])
+
+    rows = sample.mapInArrow(smallest, "text string, y int, lows array<long>")
+    for k in range(3):
+        rows = rows.groupBy(F.col("lows")[k].alias("low")).agg(F.min_by(F.struct("text", "y", "lows"), F.xxhash64("text", "y")).alias("x")).select("x.*")
+    return rows.select("text", "y")
+
+
 def _sampled_units(sample: DataFrame) -> DataFrame:
     """(unit, toxic, clean): documents of each class that hold the unit, summed within tasks first."""
 
@@ -154,13 +184,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = 20_000, prior: float = 0.05, z: float = 3.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, limit: int = 20_000, prior: float = 0.05, z: float = 2.5) -> Model:
     """Learn from at most `limit` labelled documents that aren't held out.
 
     The Dirichlet prior holds `prior` times the sample's counts, spread over units as the sample has them.
     Without labels of both classes the model finds nothing significant and gives every document the same low score.
     """
-    sample = training_rows(docs, labels, "toxic", limit).repartition(8).persist()
+    sample = _without_copies(training_rows(docs, labels, "toxic", limit)).repartition(8).persist()
     try:
         counts = _sampled_units(sample)
         totals = F.broadcast(counts.agg(F.sum("toxic").cast("double").alias("nt"), F.sum("clean").cast("double").alias("nc")))
@@ -209,7 +239,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[n
         y = np.asarray(batch.column(1))
         for i, j in slices(off_all):
             hashes, _, _, first = units(raw_all[off_all[i] : off_all[j]], off_all[i : j + 1] - off_all[i])
-            scores = model.token_scores(hashes)
+            scores = model.token_scores(hashes, first)
             for k in range(j - i):
                 yield scores[first[k] : first[k + 1]], int(y[i + k])
 
@@ -230,7 +260,7 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
             raw_all, off_all = utf8(batch.column(names.index("text")))
             for i, j in slices(off_all):
                 hashes, start, end, first = units(raw_all[off_all[i] : off_all[j]], off_all[i : j + 1] - off_all[i])
-                scores = model.token_scores(hashes)
+                scores = model.token_scores(hashes, first)
                 base = off_all[i : j + 1] - off_all[i]
                 x, passages = [], []
                 for k in range(j - i):
