@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of the index that a task scans at a time, and queries that it answers; both bound its memory.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2_048
@@ -92,11 +93,12 @@ def train(x: np.ndarray, width: int = 2, threshold: float = 0.2, rounds: int = 5
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of vectors that take part: not null, no null or non-finite component, not zero."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).filter("vec_id is not null and embedding is not null").filter(fine)
+    kind = "double" if isinstance(vectors.schema["embedding"].dataType.elementType, T.DoubleType) else "float"
+    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>")).filter("vec_id is not null and embedding is not null").filter(fine)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float32).reshape(len(column), -1)
+    return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
 def index(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
@@ -111,14 +113,14 @@ def index(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
                 packed = codes[:, ::2] | codes[:, 1::2] << 4
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in packed], pa.binary())], ["vec_id", "embedding", "codes"])
 
-    return rows.mapInArrow(encode, "vec_id long, embedding array<float>, codes binary")
+    return rows.mapInArrow(encode, f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, codes binary")
 
 
 def scan(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, q: Quantiser, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score) of the k best of a block for each query. Equal vectors are scanned once and all counted."""
     order = np.argsort(ids, kind="stable")
     x, ids, codes = np.ascontiguousarray(x[order]), ids[order], codes[order]
-    _, first, copy = np.unique(x.view(f"V{4 * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    _, first, copy = np.unique(x.view(f"V{x.itemsize * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
     by_copy = np.argsort(copy, kind="stable")  # ids of each distinct vector, smallest first
     bounds = np.searchsorted(copy[by_copy], np.arange(len(first) + 1))
     x64, codes = x[first].astype(np.float64), codes[first].T.astype(np.intp)

@@ -256,6 +256,9 @@ def test_vector_search(spark, monkeypatch):
             assert len(found) == 20 and all(abs(s[i] - v) < 1e-9 for i, v in found)
             assert found == sorted(found, key=lambda f: (-f[1], f[0]))
         assert hits >= 0.95 * 20 * len(got)
+    wide = spark.createDataFrame([(i, [float(v) + 1e-9 for v in x[i]]) for i in range(30)], "vec_id long, embedding array<double>")
+    row = vectors.search(wide, wide.filter("vec_id = 0")).filter("rank = 1").first()
+    assert row["score"] == pytest.approx(max((x[1:30].astype(float) + 1e-9) @ (x[0].astype(float) + 1e-9)), abs=1e-13)
     few = df.filter("vec_id < 6")
     assert vectors.search(few, few.filter("vec_id = 0")).count() == 5
     assert vectors.search(df.limit(0), df.limit(0)).count() == 0
