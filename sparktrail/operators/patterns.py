@@ -58,18 +58,26 @@ def _hit(pattern: str, rows: DataFrame, subject: Column, key: Column, first: Col
     return rows.select("session_id", F.lit(pattern).alias("pattern_id"), subject.alias("subject"), key.alias("hit_key"), first.alias("first_ts"), last.alias("last_ts"), incidents.cast("long").alias("incidents"), detail.alias("detail"))
 
 
-def _detours(e: DataFrame, pattern: str, start: Column, subject: str, failed: bool) -> DataFrame:
-    rows = with_detours(e).filter(start & F.col(subject).isNotNull()).withColumn("x", F.explode("detours"))
-    detail = _json(failed_tool=F.col("tool_name"), detour_tool=F.col("x.tool_name")) if failed else _json(detour_tool=F.col("x.tool_name"))
-    return _hit(pattern, rows, F.col(subject), F.concat("event_id", F.lit(">"), "x.event_id"), F.col("ts"), F.col("x.ts"), F.lit(1), detail)
+def _detours(e: DataFrame, *patterns: str) -> DataFrame:
+    """Hits of mcp_bypass and deny_detour, from one pass over the sessions."""
+    bypassed = failed_mcp() & F.col("mcp_server").isNotNull()
+    denied = (F.col("event_type") == "tool.denied") & F.col("tool_name").isNotNull()
+    pattern = F.when(bypassed, "mcp_bypass").when(denied, "deny_detour")
+    rows = with_detours(e).withColumn("pattern_id", pattern).filter(F.col("pattern_id").isin(*patterns)).withColumn("x", F.explode("detours"))
+    was_bypassed = F.col("pattern_id") == "mcp_bypass"
+    detail = F.when(was_bypassed, _json(failed_tool=F.col("tool_name"), detour_tool=F.col("x.tool_name"))).otherwise(_json(detour_tool=F.col("x.tool_name")))
+    return rows.select(
+        "session_id", "pattern_id", F.when(was_bypassed, F.col("mcp_server")).otherwise(F.col("tool_name")).alias("subject"), F.concat("event_id", F.lit(">"), "x.event_id").alias("hit_key"), F.col("ts").alias("first_ts"), F.col("x.ts").alias("last_ts"),
+        F.lit(1).cast("long").alias("incidents"), detail.alias("detail"),
+    )
 
 
 def mcp_bypass(e: DataFrame) -> DataFrame:
-    return _detours(e, "mcp_bypass", failed_mcp(), "mcp_server", True)
+    return _detours(e, "mcp_bypass")
 
 
 def deny_detour(e: DataFrame) -> DataFrame:
-    return _detours(e, "deny_detour", F.col("event_type") == "tool.denied", "tool_name", False)
+    return _detours(e, "deny_detour")
 
 
 def retry_spiral(e: DataFrame) -> DataFrame:
@@ -147,6 +155,7 @@ BRANCHES = {
     "mcp_bypass": mcp_bypass, "deny_detour": deny_detour, "retry_spiral": retry_spiral, "permission_denied_loop": permission_denied_loop,
     "context_jump": context_jump, "compaction": compaction, "long_tool_tail": long_tool_tail, "unused_mcp_server": unused_mcp_server,
 }
+DETOURS = ("mcp_bypass", "deny_detour")
 BRANCH_OF = {"context_bloat": ["context_jump", "compaction"]}
 
 
@@ -154,10 +163,12 @@ def hits(e: DataFrame, pattern: str | None = None) -> DataFrame:
     """Hits of one pattern or of all, each with the otel tokens of its session within its time span (null: none known)."""
     e = e.filter("session_id is not null")
     wanted = BRANCH_OF.get(pattern, [pattern]) if pattern else list(BRANCHES)
-    found = None
-    for name in wanted:
-        part = BRANCHES[name](e)
-        found = part if found is None else found.unionByName(part)
+    parts = [BRANCHES[name](e) for name in wanted if pattern or name not in DETOURS]
+    if not pattern:
+        parts.append(_detours(e, *DETOURS))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
     spent = e.filter("event_type = 'api.request' and source = 'otel'").select(F.col("session_id").alias("_s"), F.col("ts").alias("_ts"), (F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).alias("tokens"))
     inside = (F.col("session_id") == F.col("_s")) & F.col("_ts").between(F.col("first_ts"), F.col("last_ts"))
     priced = found.join(spent, inside, "left").groupBy(*HIT).agg(total("tokens").alias("_spent"))
