@@ -172,7 +172,8 @@ def blocks(found: DataFrame, w: Windows, hot: bool) -> DataFrame:
                     [f.split()[0] for f in BLOCKS.split(", ")],
                 )
 
-    return found.select("row", "doc_id", "text", "anchors").mapInArrow(cut, BLOCKS)
+    some = found.filter(F.exists("anchors", lambda a: a["hot"] == hot))  # mostly no row has a hot anchor
+    return some.select("row", "doc_id", "text", "anchors").mapInArrow(cut, BLOCKS)
 
 
 def grouped_chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
