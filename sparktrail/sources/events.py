@@ -88,6 +88,16 @@ def checked_inserts(events: DataFrame, existing: DataFrame) -> DataFrame:
     return missing_from(once, existing)
 
 
+def rekeyed(events: DataFrame) -> DataFrame:
+    """Log metadata of the second agent under ids of their content, once each: its ordinals can be absent or used twice."""
+    from sparktrail.functions.scalars import content_id
+
+    meant = (F.col("agent") == "codex") & (F.col("source") == "log") & F.col("event_type").isin("session.start", "turn", "api.request")
+    record = F.struct(*(F.col(c) for c in sorted(COLUMNS) if c != "event_id"))
+    new = F.when(meant, content_id(F.col("host_id"), F.col("source"), F.col("event_type"), record)).otherwise(F.col("event_id"))
+    return events.withColumn("event_id", new).dropDuplicates(COLUMNS)
+
+
 def apply_changes(ledger: DataFrame, tombstones: DataFrame, page: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A page of remote changes (scope, sequence, event_id, deleted, payload): the last one of an id counts, deletions stay.
 

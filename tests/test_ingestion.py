@@ -9,7 +9,7 @@ from sparktrail.functions import normalize, scalars
 from sparktrail.operators import resolution
 from sparktrail.schema import COLUMNS, EVENT_SCHEMA, conform, empty_events, required
 from sparktrail.sources import events as tables
-from sparktrail.streaming import ingest
+from sparktrail.streaming import health, ingest
 
 SECRET = "must not be stored"
 
@@ -210,6 +210,19 @@ def test_tables(spark, tmp_path):
     assert conform(e).schema == EVENT_SCHEMA
 
 
+def test_content_ids_and_health(spark):
+    e = events(spark, {"event_id": "1"}, {"event_id": "2"}, {"event_id": "3", "model": "m"}, {"event_id": "4", "event_type": "tool.call"})
+    out = tables.rekeyed(e).collect()
+    assert len(out) == 3 and {r["event_id"] for r in out if r["event_type"] == "tool.call"} == {"4"} and not {"1", "2", "3"} & {r["event_id"] for r in out}
+    expected = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "collector string")
+    beats = spark.createDataFrame([("a", 100_000, 1, None), ("b", 60_000, 1, None), ("c", 99_000, None, "broke"), ("c", 1, 1, None)], health.BEATS)
+    got = [(r["collector"], r["status"], r["issue"]) for r in health.collector_health(expected, beats, 100_000).collect()]
+    assert got == [("d", "never_seen", None), ("c", "failed", "broke"), ("b", "silent", "no report for 40 s"), ("a", "healthy", None)]
+    seen = health.Heartbeats()
+    seen._beat("q", 5)
+    assert seen.frame(spark).first()["rows"] == 5
+
+
 def run(spark, spool, table, check, **more):
     q = ingest.start(ingest.spool(spark, spool), table, check, ingest.hook_events("h"), once=True, **more)
     q.awaitTermination(120)
