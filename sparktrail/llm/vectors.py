@@ -2,7 +2,8 @@
 
 Vectors are quantised by products of four-bit codebooks whose training and assignment weigh the part of the residual
 parallel to the vector more than the rest, since only that part changes high inner products much. A search adds up
-table entries for the codes of a block of vectors, and reranks the best of the block by exact inner products.
+table entries for the codes of a block of vectors, reranks the best of the block by exact inner products, and then every other
+vector that, by the norm of its residual, could still be among the nearest.
 """
 
 from __future__ import annotations
@@ -49,6 +50,11 @@ class Quantiser:
                 total = others + along[rows, s, best]
         return codes
 
+    def residual(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Norm of each vector's difference from what its codes stand for."""
+        parts = self.parts(x)
+        return np.sqrt(((parts - self.books[np.arange(len(self.books)), codes]) ** 2).sum((1, 2)))
+
     def refit(self, x: np.ndarray, codes: np.ndarray) -> None:
         """The codebooks that minimise the weighted loss for given codes: one linear system."""
         s, k, d = self.books.shape
@@ -102,29 +108,38 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def index(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """Add `codes`: two four-bit codes a byte."""
+    """Add `codes`, two four-bit codes a byte, and `residual`, the norm of what the codes leave out."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                codes = quantiser.assign(_matrix(part.column(1)).astype(np.float64)).astype(np.uint8)
+                x = _matrix(part.column(1)).astype(np.float64)
+                codes = quantiser.assign(x)
+                residual = quantiser.residual(x, codes)
+                codes = codes.astype(np.uint8)
                 codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
                 packed = codes[:, ::2] | codes[:, 1::2] << 4
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in packed], pa.binary())], ["vec_id", "embedding", "codes"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(residual)], ["vec_id", "embedding", "codes", "residual"])
 
-    return rows.mapInArrow(encode, f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, codes binary")
+    return rows.mapInArrow(encode, f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, codes binary, residual double")
 
 
-def scan(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, q: Quantiser, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of the k best of a block for each query. Equal vectors are scanned once and all counted."""
+def scan(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, residual: np.ndarray, q: Quantiser, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of the k best of a block for each query. Equal vectors are scanned once and all counted.
+
+    After the `rerank` best by their codes, all vectors are reranked whose approximate score plus |query| * residual reaches
+    the k-th exact score (one more for the query itself); so none of the k best is missed.
+    """
     order = np.argsort(ids, kind="stable")
-    x, ids, codes = np.ascontiguousarray(x[order]), ids[order], codes[order]
+    x, ids, codes, residual = np.ascontiguousarray(x[order]), ids[order], codes[order], residual[order]
     _, first, copy = np.unique(x.view(f"V{x.itemsize * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
     by_copy = np.argsort(copy, kind="stable")  # ids of each distinct vector, smallest first
     bounds = np.searchsorted(copy[by_copy], np.arange(len(first) + 1))
     x64, codes = x[first].astype(np.float64), codes[first].T.astype(np.intp)
-    many = min(rerank, len(first))
+    residual = residual[first]
+    reach = np.linalg.norm(x64, axis=1) + residual
+    many, enough = min(rerank, len(first)), min(k + 1, len(first))
     out: list[tuple] = []
     parts = q.parts(queries.astype(np.float64))
     pad = codes.shape[0] * 2 - len(q.books)
@@ -136,13 +151,30 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndar
         score = np.zeros((len(some), len(first)), np.float32)
         for j in range(codes.shape[0]):
             score += pairs[:, j].take(codes[j], axis=1)
+        some64 = queries[a : a + 64].astype(np.float64)
+        norm = np.linalg.norm(some64, axis=1)
+        # the second term bears the rounding of the table entries and of their sums
+        bound = score + norm[:, None] * (residual + 1e-5 * reach)
         best = np.argpartition(-score, many - 1, axis=1)[:, :many] if many < len(first) else np.tile(np.arange(many), (len(some), 1))
+        whole = None
         for r in range(len(some)):
-            exact = x64[best[r]] @ queries[a + r].astype(np.float64)
-            top = np.argsort(-exact, kind="stable")[: k + 1]
-            kth = exact[top[-1]]
-            top = np.flatnonzero(exact >= kth)
-            found = [(-exact[t], i) for t in top for i in ids[by_copy[bounds[best[r, t]] : bounds[best[r, t] + 1]][: k + 1]] if i != query_ids[a + r]]
+            slack = 1e-12 * norm[r] * reach.max()
+            rows = best[r]
+            exact = x64[rows] @ some64[r]
+            kth = np.partition(exact, len(exact) - enough)[len(exact) - enough]
+            more = bound[r] >= kth - slack
+            more[rows] = False
+            n = int(np.count_nonzero(more))
+            if n > many:  # so many that one product for all queries at hand costs less
+                whole = x64 @ some64.T if whole is None else whole
+                rows, exact = np.arange(len(first)), whole[:, r]
+            elif n:
+                others = np.flatnonzero(more)
+                rows, exact = np.concatenate([rows, others]), np.concatenate([exact, x64[others] @ some64[r]])
+            kth = np.partition(exact, len(exact) - enough)[len(exact) - enough]
+            top = rows[exact >= kth - slack]
+            exact = (x64[top] * some64[r]).sum(1)  # rounds alike wherever a vector stands, so that ties are ties
+            found = [(-s, i) for t, s in zip(top, exact, strict=True) for i in ids[by_copy[bounds[t] : bounds[t + 1]][: k + 1]] if i != query_ids[a + r]]
             found.sort()
             out.extend((query_ids[a + r], i, -s) for s, i in found[:k])
     cols = list(zip(*out, strict=True)) if out else [[], [], []]
@@ -154,7 +186,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 16
 
     The quantiser is fitted on at most `sample` vectors (by hash of vec_id); every usable vector is indexed. Vectors of
     another length than most of the sample take no part. Blocks of queries meet blocks of vectors; of each block a task
-    reranks `rerank` distinct vectors per query and passes on k. Fewer candidates than k give fewer rows.
+    reranks `rerank` distinct vectors per query and all others that could be nearer, and passes on k. Fewer candidates than k give fewer rows.
     """
     rows, asked = usable(vectors), usable(queries)
     spark = vectors.sparkSession
@@ -178,7 +210,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 16
         else:
             codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(right.num_rows, -1)
             matrix = lambda c: _matrix(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c)
-            a, b, c = scan(matrix(left.column("query")), np.asarray(left.column("query_id")), matrix(right.column("embedding")), np.asarray(right.column("vec_id")), codes, quantiser, k, rerank)
+            a, b, c = scan(matrix(left.column("query")), np.asarray(left.column("query_id")), matrix(right.column("embedding")), np.asarray(right.column("vec_id")), codes, np.asarray(right.column("residual")), quantiser, k, rerank)
         return pa.table({"query_id": a, "vec_id": b, "score": c})
 
     best = asked.groupBy("query_block", "row_block").cogroup(table.groupBy("query_block", "row_block")).applyInArrow(meet, "query_id long, vec_id long, score double")

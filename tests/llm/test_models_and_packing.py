@@ -264,6 +264,24 @@ def test_vector_search(spark, monkeypatch):
     assert vectors.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_no_neighbour_is_lost_in_a_group_of_near_equal_vectors():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(16_384, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:5461] = x[0] + 1e-4 * rng.normal(size=(5461, 64))
+    x, ids = x.astype(np.float32), np.arange(len(x))
+    q = vectors.train(x[::4].astype(np.float64))
+    codes = np.concatenate([q.assign(x[i : i + 2048].astype(np.float64)) for i in range(0, len(x), 2048)])
+    residual = np.concatenate([q.residual(x[i : i + 2048].astype(np.float64), codes[i : i + 2048]) for i in range(0, len(x), 2048)])
+    packed = (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
+    asked = np.array([0, 17, 4000, 6000, 9000])
+    a, b, _ = vectors.scan(x[asked], asked, x, ids, packed, residual, q, 20, 1600)
+    for one in asked:
+        s = x.astype(np.float64) @ x[one].astype(np.float64)
+        s[one] = -np.inf
+        assert set(b[a == one]) == set(np.argsort(-s)[:20])
+
+
 def test_anisotropic_loss_falls():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 16))
