@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktrail.llm.mixing import mixed_documents
+from sparktrail.llm.near_copies import without_near_copies
 from sparktrail.llm.packing import pack_documents
-from sparktrail.llm.simhash import without_near_duplicates
 from sparktrail.llm.store import materialize
 from sparktrail.llm.suffix_array import without_repeated
 from sparktrail.llm.toxicity import fit, toxicity
@@ -25,8 +25,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return without_near_duplicates(docs)
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 (the stage's name is the contract's)."""
+    return without_near_copies(docs)
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

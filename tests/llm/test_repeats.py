@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sparktrail.llm import phrases, quality, repeats, simhash, suffix_array
+from sparktrail.llm import near_copies, phrases, quality, repeats, simhash, suffix_array
 
 from .corpus import SCHEMA, documents, frame
 
@@ -121,6 +121,61 @@ def test_one_of_each_group_stays(spark):
     assert "component" in kept.columns
 
 
+def jaccard_components(rows, shingle=5, similarity=0.8):
+    sets = []
+    for r in rows:
+        words = (r[1] or "").encode().lower().split()
+        sets.append({tuple(words[i : i + shingle]) for i in range(len(words) - shingle + 1)} if len(words) >= shingle else {tuple(words)} - {()})
+    low = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 5 * len(x & y) >= 4 * len(x | y) and low[i] != low[j]:
+                low = [min(low[i], low[j]) if v in (low[i], low[j]) else v for v in low]
+    return low
+
+
+def near_copy_rows(seed):
+    rng = np.random.default_rng(seed)
+    texts = [None, "", " \n", "one", "One ", "two words", "a b c d e", "A  b c d e"]
+    for size in (30, 60, 200, 900):
+        for _ in range(12):
+            words = [f"w{x}" for x in rng.integers(0, 5000, size)]
+            texts.append(" ".join(words))
+            for share in (0.01, 0.02, 0.03, 0.05):  # of words changed; similarities from about 0.6 to 0.95
+                texts.append(" ".join(f"v{i}" if rng.random() < share else w for i, w in enumerate(words)))
+    return [(i, t, "en", "a", 1) for i, t in enumerate(texts)] + [(None, texts[-1], "en", "a", 1), (3, "one", "en", "a", 1)]
+
+
+@pytest.mark.parametrize(("small", "a_member"), [(64, 8), (1, 1)])
+def test_near_copies_are_those_of_brute_force(spark, monkeypatch, small, a_member):
+    monkeypatch.setattr(near_copies, "SMALL_BUCKET", small)
+    monkeypatch.setattr(near_copies, "PAIRS_A_MEMBER", a_member)
+    rows = near_copy_rows(7)
+    docs = frame(spark, rows, partitions=1)
+    stored = docs.collect()
+    found = near_copies.near_copies(docs).orderBy("row").collect()
+    assert [r["doc_id"] for r in found] == [r["doc_id"] for r in stored]
+    groups = [Counter(), Counter()]
+    number = {}
+    for r, low in zip(found, jaccard_components(stored), strict=True):
+        assert number.setdefault(r["component"], low) == low
+        groups[0][r["component"]] += 1
+        groups[1][low] += 1
+    assert sorted(groups[0].values()) == sorted(groups[1].values())
+
+
+def test_pipeline_drops_near_copies_of_similarity_over_0_8(spark):
+    import corpus_pipeline
+
+    rows = near_copy_rows(8)
+    kept = corpus_pipeline.near_duplicates_out(spark, frame(spark, rows, extra=True), "")
+    want = {}
+    for r, low in zip(rows, jaccard_components(rows), strict=True):
+        want.setdefault(low, r[0])
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want.values())
+    assert "component" in kept.columns and near_copies.without_near_copies(frame(spark, []).limit(0)).count() == 0
+
+
 def removed_bytes(rows, length):
     count = Counter()
     data = [(r[1] or "").encode() for r in rows]
