@@ -1,7 +1,6 @@
 """Near copies by the Jaccard similarity of word shingles: MinHash candidates, verified exactly.
 
-A SimHash cannot find pairs of similarity 0.8 at a bearable cost (the README has figures), so candidates are pairs that
-agree in a band of minima. A pair of similarity 0.8 agrees in none of 32 bands of 4 with probability 5e-8.
+Candidates are pairs that agree in a band of minima (the README says why not by SimHash). A pair of similarity 0.8 agrees in none of 32 bands of 4 with probability 5e-8.
 """
 
 from __future__ import annotations
