@@ -146,10 +146,11 @@ def near_copy_rows(seed):
     return [(i, t, "en", "a", 1) for i, t in enumerate(texts)] + [(None, texts[-1], "en", "a", 1), (3, "one", "en", "a", 1)]
 
 
-@pytest.mark.parametrize(("small", "a_member"), [(64, 8), (1, 1)])
-def test_near_copies_are_those_of_brute_force(spark, monkeypatch, small, a_member):
-    monkeypatch.setattr(near_copies, "SMALL_BUCKET", small)
-    monkeypatch.setattr(near_copies, "PAIRS_A_MEMBER", a_member)
+@pytest.mark.parametrize(("bucket", "table", "shingles"), [(50_000, 200_000, 4_000_000), (3, 5, 2_000)])
+def test_near_copies_are_those_of_brute_force(spark, monkeypatch, bucket, table, shingles):
+    monkeypatch.setattr(near_copies, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(near_copies, "TABLE_ROWS", table)
+    monkeypatch.setattr(near_copies, "GROUP_SHINGLES", shingles)
     rows = near_copy_rows(7)
     docs = frame(spark, rows, partitions=1)
     stored = docs.collect()
@@ -164,6 +165,47 @@ def test_near_copies_are_those_of_brute_force(spark, monkeypatch, small, a_membe
     assert sorted(groups[0].values()) == sorted(groups[1].values())
 
 
+def test_wide_fingerprints_have_majority_bits():
+    rng = np.random.default_rng(2)
+    keys, at = rng.integers(0, 2**64, 1300, np.uint64), np.array([0, 0, 1, 3, 260, 1300])
+    got = near_copies.wide_fingerprints(keys, at, 128)
+    for k in range(2):
+        hashes = near_copies.mix(keys ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)).tolist()
+        for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            want = sum(1 << x for x in range(64) if 2 * sum(h >> x & 1 for h in hashes[a:b]) > b - a)
+            assert got[i, 8 * k : 8 * k + 8].tobytes() == want.to_bytes(8, "little")
+
+
+@pytest.mark.parametrize("documents", [1_000, 1 << 21, 1 << 40])
+def test_layouts_miss_one_of_a_hundred_pairs_at_most(documents):
+    x = near_copies.layout(documents, 0.8)
+    p = np.arccos(1.6 / 1.8) / np.pi
+    hit = (1 - p) ** x.segment + x.segment * p * (1 - p) ** (x.segment - 1)
+    assert (1 - hit) ** x.segments <= 0.01 and x.bits % 64 == 0 and x.segments < 256
+
+
+def test_every_close_pair_of_fingerprints_is_matched(spark):
+    rng = np.random.default_rng(4)
+    x = near_copies.Layout(64, 16, 6)
+    base = rng.integers(0, 2**64, 40, np.uint64)
+    fps = [int(b) for b in base]
+    for b in base.tolist():
+        for _ in range(5):
+            fps.append(b ^ sum(1 << int(k) for k in set(rng.integers(0, 64, 5))))
+    rows = spark.createDataFrame([(i, f.to_bytes(8, "little")) for i, f in enumerate(fps)], "node long, fp binary")
+    found = {(r["a"], r["b"]) for r in near_copies.matches(rows, x).collect()}
+    label = list(range(len(fps)))
+    for a, b in found:
+        label = [min(label[a], label[b]) if v in (label[a], label[b]) else v for v in label]
+    want = list(range(len(fps)))
+    for i, f in enumerate(fps):
+        for j in range(i):
+            d = f ^ fps[j]
+            if d.bit_count() <= 6 and min((d >> s & 0xFFFF).bit_count() for s in (0, 16, 32, 48)) <= 1:
+                want = [min(want[i], want[j]) if v in (want[i], want[j]) else v for v in want]
+    assert label == want
+
+
 def test_pipeline_drops_near_copies_of_similarity_over_0_8(spark):
     import corpus_pipeline
 
