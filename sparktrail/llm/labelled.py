@@ -14,11 +14,13 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
     """(text, y) of at most `limit` labelled documents that aren't held out, chosen by a hash of doc_id.
 
-    Null labels and null ids don't take part; of an id with several labels the largest counts. The sample has at most
-    `limit` ids, so it is broadcast and the texts of other documents are not shuffled.
+    Null labels and null ids don't take part; of an id with several labels the largest counts, of one with several
+    documents the smallest text, so that the rows are at most `limit`. The ids are broadcast, and the texts of other
+    documents are not shuffled.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(label).cast("int").alias("y")).dropna()
     known = known.filter(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("y").alias("y"))
     known = known.orderBy(F.xxhash64("label_id"), "label_id").limit(limit)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    found = texts.join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
+    return found.groupBy("label_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y")).select("text", "y")

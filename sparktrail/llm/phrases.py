@@ -137,7 +137,7 @@ def remove_phrases(docs: DataFrame, length: int = 20, gram: int = 6) -> DataFram
     kept: the remaining words joined by one space, null where nothing was removed. A null text has no words.
     """
     w = Windows(length, gram, True)
-    rows = with_rows(docs)
+    rows, _ = with_rows(docs.select("doc_id", "text"))
     found = candidates(rows, w)
     dealt = blocks(found, w, False).repartition("h").sortWithinPartitions("h")
     runs = dealt.mapInArrow(lambda batches: _located(batches, length), "row long, first long, end long").unionByName(_hot_runs(blocks(found, w, True), length))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, numbered
 from .text import mix, row_sums, slices, utf8, window_hash, word_hashes, words
 
 _SYMBOL = np.zeros(256, bool)
@@ -74,11 +74,14 @@ def statistics(docs: DataFrame, host: str = "source", width: int = 8) -> DataFra
 
     A null text has no words and no lines. `row` tells apart rows with null or repeated doc_ids.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.col("text").cast("string"))
+    return _statistics_of(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col(f"`{host}`").cast("string").alias("host"), F.col("text").cast("string")), width)
+
+
+def _statistics_of(rows: DataFrame, width: int = 8) -> DataFrame:
     return rows.mapInArrow(lambda batches: _statistics(batches, width), STATS)
 
 
-def frequent_lines(stats: DataFrame, min_docs: int = 100, fraction: float = 0.02) -> DataFrame:
+def frequent_lines(stats: DataFrame, min_docs: int = 5, fraction: float = 0.02) -> DataFrame:
     """(row, removed_words, frequent): per document, its lines found in more of its host's documents than the limit.
 
     The limit is `fraction` of the host's documents, `min_docs` at least. A document counts once for a line; a null host
@@ -92,13 +95,18 @@ def frequent_lines(stats: DataFrame, min_docs: int = 100, fraction: float = 0.02
     return hits.groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("frequent"))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 20, max_repeat_percent: int = 30, min_left: float = 0.3, min_docs: int = 100, fraction: float = 0.02) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 20, max_repeat_percent: int = 30, min_left: float = 0.3, min_docs: int = 5, fraction: float = 0.02) -> DataFrame:
     """Statistics, verdicts and the frequent lines of every document.
 
     base_failed: fewer than min_words words, or over max_repeat_percent % of the words in repeated windows. depleted: the
-    words outside frequent lines are fewer than min_words or than min_left of all. kept: neither.
+    words outside frequent lines are fewer than min_words or than min_left of all. kept: neither. Null and empty texts fail,
+    a repeated row counts and is judged each time, an empty table gives no rows.
     """
     stats = materialize(statistics(docs, host), "line-statistics")
+    return _judged(stats, min_words, max_repeat_percent, min_left, min_docs, fraction)
+
+
+def _judged(stats: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, min_left: float = 0.3, min_docs: int = 5, fraction: float = 0.02) -> DataFrame:
     found = frequent_lines(stats, min_docs, fraction)
     out = stats.drop("lines", "line_words").join(found, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
@@ -107,10 +115,11 @@ def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 20, ma
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
-def without_frequent_lines(docs: DataFrame, **limits) -> DataFrame:
+def without_frequent_lines(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """The kept documents with their frequent lines taken out of `text`; all other columns as they were."""
-    verdicts = quality_rules(docs, **limits).filter("kept").select(F.col("row").alias("__row"), F.col("frequent").alias("__frequent"))
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(verdicts, "__row")
+    stored = numbered(docs)
+    rows = stored.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc").getField(host).cast("string").alias("host"), F.col("doc.text").cast("string").alias("text"))
+    verdicts = _judged(materialize(_statistics_of(rows), "line-statistics"), **limits).filter("kept").select("row", "frequent")
 
     @F.pandas_udf("string")
     def strip(text, frequent):
@@ -124,4 +133,5 @@ def without_frequent_lines(docs: DataFrame, **limits) -> DataFrame:
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    return rows.withColumn("text", strip("text", "__frequent")).select(*docs.columns)
+    text = strip("doc.text", "frequent")
+    return stored.join(verdicts, "row").select(*((text if c == "text" else F.col("doc").getField(c)).alias(c) for c in docs.columns))

@@ -44,7 +44,7 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeated(_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "text")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ again AS (SELECT doc_id, pos FROM windows QUALIFY count(*) OVER (PARTITION BY do
 repeated AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(pos, pos + 8)) AS place FROM again) GROUP BY doc_id),
 lines AS (SELECT doc_id, source, array_to_string(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}'), ' ') AS line, len(regexp_extract_all(x, '{_WORD}')) AS n
           FROM (SELECT doc_id, source, unnest(lines) AS x FROM base)),
-hosts AS (SELECT source, greatest(100, floor(count(*) * 0.02)) AS most FROM docs GROUP BY source),
+hosts AS (SELECT source, greatest(5, floor(count(*) * 0.02)) AS most FROM docs GROUP BY source),
 frequent AS (SELECT l.source, line FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, line, most HAVING count(DISTINCT doc_id) > most),
 gone AS (SELECT doc_id, sum(n) AS n FROM lines l JOIN frequent f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source GROUP BY doc_id),
 sums AS (

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, numbered
 from .text import CHUNK_BYTES, sliding_min, slices, utf8, window_hash, word_hashes, words
 
 #: Blocks of one anchor up to which a single task compares them; beyond, windows are counted by Spark's own aggregation.
@@ -106,13 +106,10 @@ def runs(x: Stretch, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return row[first[good]], first[good], end[good], anchor[first[good]]
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text): `row` tells apart rows with null or repeated doc_ids.
-
-    Rows are numbered by file split and place, alike in every reading of a stored table. docs must be one (Parquet files,
-    a checkpoint), not a plan that may deal its rows anew, such as an unsaved repartition.
-    """
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def with_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, text) and the stored (row, doc) that it reads: `row` tells apart rows with null or repeated doc_ids."""
+    stored = numbered(docs)
+    return stored.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text")), stored
 
 
 def candidates(rows: DataFrame, w: Windows) -> DataFrame:

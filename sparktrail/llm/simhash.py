@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, local_stars
-from .store import materialize
+from .store import materialize, numbered
 from .text import CHUNK_BYTES, slices, utf8
 
 #: Distinct fingerprints up to which three segments (radius 1) are used; beyond, two segments (radius 2) keep buckets small.
@@ -34,8 +34,8 @@ def _fingerprint(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(row, doc_id, fp): SimHash of XXH64 (seed 42) over lower-cased word shingles; null, empty or blank text: 0."""
+def fingerprints(rows: DataFrame, shingle: int = 4) -> DataFrame:
+    """(row, doc_id, fp) of (row, doc_id, text): SimHash of XXH64 (seed 42) over lower-cased word shingles; null, empty or blank text: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = partial(xxhash.xxh64_intdigest, seed=42)
@@ -58,7 +58,6 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
                 fp = _fingerprint(np.concatenate(hashes), np.concatenate(rows), j - i) if hashes else np.zeros(j - i, np.uint64)
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:2], pa.array(fp.view(np.int64))], ["row", "doc_id", "fp"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "row long, doc_id long, fp long")
 
 
@@ -147,28 +146,37 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _verify(batches, max_bits), "a long, b long")
 
 
+def _labelled(rows: DataFrame, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The stored (row, doc_id, fp), and (fp, best, component) of each distinct fingerprint; best: its first document."""
+    stored = materialize(fingerprints(rows, shingle), "fingerprints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("best")
+    nodes = materialize(stored.groupBy("fp").agg(best), "distinct-fingerprints")
+    found = components(links(nodes.select("fp"), max_bits))
+    return stored, nodes.join(found, nodes.fp == found.node, "left").select("fp", "best", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(row, doc_id, fp, component_id, component) per document; component_id: the smallest doc_id that chains of links reach.
 
     Equal fingerprints are one node, whatever their number. Null doc_ids never are a component_id unless a component has
     no other. Repeated rows give repeated rows; an empty table gives none.
     """
-    docs_ = materialize(fingerprints(docs, shingle), "fingerprints")
-    nodes = materialize(docs_.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    found = components(links(nodes.select("fp"), max_bits))
-    labelled = nodes.join(found, nodes.fp == found.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    lowest = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_fp = labelled.join(lowest, "component").select(F.col("fp").alias("node_fp"), "component_id", "component")
-    return docs_.join(of_fp, F.col("fp") == F.col("node_fp"), "left").drop("node_fp")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    stored, labelled = _labelled(rows, shingle, max_bits)
+    lowest = labelled.groupBy("component").agg(F.min("best.doc_id").alias("component_id"))
+    of_fp = labelled.drop("best").join(lowest, "component").select(F.col("fp").alias("node_fp"), "component_id", "component")
+    return stored.join(of_fp, F.col("fp") == F.col("node_fp"), "left").drop("node_fp")
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (null last; equal ones by row)."""
-    found = materialize(near_duplicates(docs, shingle, max_bits), "components")
-    first = found.groupBy(F.col("component").alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = found.join(first, F.col("component") == F.col("of")).filter(F.col("row") != F.col("first.row")).select(F.col("row").alias("__gone"))
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs with one row of each component: that of the smallest doc_id (null last; equal ones by row).
+
+    The row that stays is found by aggregation over fingerprints and then over components, so that no group's rows meet in one task.
+    """
+    all_ = numbered(docs)
+    _, labelled = _labelled(all_.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text")), shingle, max_bits)
+    stay = labelled.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias("stays"))
+    return all_.join(stay, F.col("row") == F.col("stays"), "left_semi").select("doc.*")
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -174,22 +174,21 @@ def _hot_runs(hot: DataFrame, length: int) -> DataFrame:
     return out.select("row", (F.col("start") + F.col("r.b")).alias("first"), (F.col("start") + F.col("r.e") + 1).alias("end"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Candidate rows (row, doc_id, text, ...) and their runs (row, first, end) of repeated window starts."""
+def repeated_spans(rows: DataFrame, length: int = 400, gram: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Candidates among stored (row, doc_id, text) and their runs (row, first, end) of repeated window starts."""
     w = Windows(length, gram, False)
-    found = candidates(with_rows(docs), w)
+    found = candidates(rows, w)
     dealt = blocks(found, w, False).repartition("h").sortWithinPartitions("h")
     cold = dealt.mapInArrow(lambda batches: _indexed(batches, length), "row long, first long, end long")
     return found, cold.unionByName(_hot_runs(blocks(found, w, True), length))
 
 
-def remove_repeated(docs: DataFrame, length: int = 400, gram: int = 64) -> DataFrame:
-    """(row, doc_id, n_bytes, spans, kept): every byte in a string of `length` bytes that also starts elsewhere is removed.
+CUTS = "cut_row long, spans array<struct<start: long, end: long>>, kept_text string, cut_sha256 string"
 
-    spans: the removed byte ranges; kept: the remaining bytes, null where nothing was removed; kept_sha256 is always set.
-    A null text is empty. Equal rows are each other's copies. An empty table gives no rows.
-    """
-    found, runs = repeated_spans(docs, length, gram)
+
+def _cuts(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """CUTS of the rows that lose bytes: removed spans, the SHA-256 of the other bytes, and these as text."""
+    found, runs = repeated_spans(rows, length, gram)
     by_row = runs.groupBy(F.col("row").alias("of_row")).agg(F.collect_list("first").alias("firsts"), F.collect_list("end").alias("ends"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,44 +197,41 @@ def remove_repeated(docs: DataFrame, length: int = 400, gram: int = 64) -> DataF
             spans, kept, digests = [], [], []
             for k, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 data = raw[off[k] : off[k + 1]].tobytes()
-                found = covered(np.array(a), np.array(b), length)
-                left = b"".join(data[i:j] for i, j in zip([0, *(e for _, e in found)], [*(s for s, _ in found), len(data)], strict=True))
-                spans.append([{"start": int(s), "end": int(e)} for s, e in found])
-                kept.append(left)
-                digests.append(hashlib.sha256(left).hexdigest())
+                gone = covered(np.array(a), np.array(b), length)
+                parts = [data[i:j] for i, j in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(data)], strict=True)]
+                spans.append([{"start": int(s), "end": int(e)} for s, e in gone])
+                kept.append("".join(p.decode(errors="ignore") for p in parts))
+                digests.append(hashlib.sha256(b"".join(parts)).hexdigest())
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(digests, pa.string())], ["cut_row", "spans", "kept", "cut_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind), pa.array(kept, pa.string()), pa.array(digests, pa.string())], ["cut_row", "spans", "kept_text", "cut_sha256"])
+
+    return found.join(by_row, F.col("row") == F.col("of_row")).select("row", "text", "firsts", "ends").mapInArrow(cut, CUTS)
 
-    schema = "cut_row long, spans array<struct<start: long, end: long>>, kept binary, cut_sha256 string"
-    cuts = found.join(by_row, F.col("row") == F.col("of_row")).select("row", "text", "firsts", "ends").mapInArrow(cut, schema)
+
+def remove_repeated(docs: DataFrame, length: int = 400, gram: int = 64) -> DataFrame:
+    """(row, doc_id, n_bytes, spans, kept_sha256, text): every byte in a string of `length` bytes that also starts elsewhere is removed.
+
+    spans: the removed byte ranges; kept_sha256: of the remaining bytes; text: these as text, without code points that were
+    cut in two. A null text is empty. Equal rows are each other's copies. An empty table gives no rows.
+    """
+    rows, _ = with_rows(docs.select("doc_id", "text"))
+    cuts = _cuts(rows, length, gram)
     text = F.coalesce("text", F.lit(""))
-    base = with_rows(docs).select("row", "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha256"))
-    out = base.join(cuts, F.col("row") == F.col("cut_row"), "left").withColumn("kept_sha256", F.coalesce("cut_sha256", "sha256"))
-    return out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>"))).drop("cut_row", "cut_sha256", "sha256")
+    base = rows.select("row", "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha256"), text.alias("text"))
+    out = base.join(cuts, F.col("row") == F.col("cut_row"), "left").withColumn("kept_sha256", F.coalesce("cut_sha256", "sha256")).withColumn("text", F.coalesce("kept_text", "text"))
+    return out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>"))).drop("cut_row", "cut_sha256", "sha256", "kept_text")
 
 
 def without_repeated(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFrame:
     """docs with repeated byte strings cut out of `text`; code points cut in two go as a whole. All rows stay.
 
-    n_chars, where it exists, is counted anew for texts that were cut.
+    n_chars, where it exists, is counted anew for texts that were cut. Null texts stay null, repeated rows are each other's
+    copies, an empty table gives no rows.
     """
-    found, runs = repeated_spans(docs, length, gram)
-    by_row = runs.groupBy(F.col("row").alias("of_row")).agg(F.collect_list("first").alias("firsts"), F.collect_list("end").alias("ends"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = utf8(batch.column(1))
-            kept = []
-            for k, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                data = raw[off[k] : off[k + 1]].tobytes()
-                gone = covered(np.array(a), np.array(b), length)
-                parts = (data[i:j].decode(errors="ignore") for i, j in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(data)], strict=True))
-                kept.append("".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["__cut_row", "__kept"])
-
-    cuts = found.join(by_row, F.col("row") == F.col("of_row")).select("row", "text", "firsts", "ends").mapInArrow(cut, "__cut_row long, __kept string")
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(cuts, F.col("__row") == F.col("__cut_row"), "left")
-    new = {"text": F.coalesce("__kept", "text")}
+    rows, stored = with_rows(docs)
+    cuts = _cuts(rows, length, gram).select("cut_row", "kept_text")
+    joined = stored.join(cuts, F.col("row") == F.col("cut_row"), "left")
+    new = {"text": F.coalesce("kept_text", "doc.text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.char_length("__kept").cast("long"))
-    return rows.withColumns(new).select(*(F.col(f"`{c}`") for c in docs.columns))
+        new["n_chars"] = F.when(F.col("kept_text").isNull(), F.col("doc.n_chars")).otherwise(F.char_length("kept_text").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*(new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))

@@ -57,7 +57,7 @@ class Model:
     scores: np.ndarray
     other: float
     rate: float = 1.0  # lambda of the extreme-value distribution
-    scale: float = 0.1  # K
+    scale: float = 0.1  # K, where there is no clean document to fit it to
     slope: float = 0.0
     intercept: float = -4.0
 
@@ -86,21 +86,29 @@ class Model:
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score), in linear time; runs of negative scores are summed at once."""
+    """All maximal scoring segments (start, end, score), in linear time; runs of negative scores are summed at once.
+
+    Each candidate keeps the place of the last one before it whose sum before is smaller. A search follows these links, so
+    that a candidate passed over once is not looked at again.
+    """
     total = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
-    kept: list[list] = []  # start, end, sum before, sum after
-    for i in np.flatnonzero(scores > 0).tolist():
-        new = [i, i + 1, total[i], total[i + 1]]
+    at = np.flatnonzero(scores > 0)
+    starts, ends, befores, afters, links = [], [], [], [], []
+    for i, before, after in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist(), strict=True):
+        start, j = i, len(starts) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= new[3]:
+            while j >= 0 and befores[j] >= before:
+                j = links[j]
+            if j < 0 or afters[j] >= after:
                 break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
-            del kept[j:]
-        kept.append(new)
-    return [(a, b, float(after - before)) for a, b, before, after in kept]
+            start, before = starts[j], befores[j]
+            next_ = links[j]
+            for column in (starts, ends, befores, afters, links):
+                del column[j:]
+            j = next_
+        for column, value in ((starts, start), (ends, i + 1), (befores, before), (afters, after), (links, j)):
+            column.append(value)
+    return [(a, b, after - before) for a, b, before, after in zip(starts, ends, befores, afters, strict=True)]
 
 
 def evidence(model: Model, scores: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
@@ -223,6 +231,19 @@ def _calibrated(model: Model, sample: DataFrame) -> Model:
     middle = (edges[1:] + edges[:-1]) / 2
     model.rate = _rate(middle, np.maximum(counts, 1e-12))
 
+    def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = total = 0.0
+        for scores, y in _scored(batches, model):
+            if y == 0 and len(scores):
+                n += 1
+                total += len(scores) * np.exp(-model.rate * max((s for *_, s in maximal_segments(scores)), default=0.0))
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total])], ["n", "total"])
+
+    # the likeliest K of clean documents' highest scores x, whose distribution is exp(-K tokens exp(-rate x))
+    sums = sample.mapInArrow(extremes, "n double, total double").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    if sums["total"]:
+        model.scale = sums["n"] / sums["total"]
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = [(np.log1p(evidence(model, s)[0]), y) for s, y in _scored(batches, model)]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.float64()), pa.array([int(p[1]) for p in pairs], pa.int32())], ["x", "y"])

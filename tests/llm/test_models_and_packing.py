@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparktrail.llm import classifier, mixing, packing, ranks, token_counts, toxicity, vectors
+from sparktrail.llm import labelled as labelled_rows
 from sparktrail.llm.tokenizer import ByteBpe, PreTokens
 
 from .corpus import SCHEMA, documents, frame
@@ -215,10 +217,44 @@ def test_maximal_segments(values):
         i, j = best[3], best[4]
         return [*split(a, i), (i, j, best[0]), *split(j, b)]
 
-    got = toxicity.maximal_segments(np.array(values, np.float64))
-    assert sum(s for *_, s in got) == sum(s for *_, s in split(0, len(values)))
-    assert max((s for *_, s in got), default=0) == max((s for *_, s in split(0, len(values))), default=0)
-    assert all(sum(values[a:b]) == s and s > 0 for a, b, s in got)
+    assert toxicity.maximal_segments(np.array(values, np.float64)) == split(0, len(values))
+
+
+def test_maximal_segments_take_linear_time():
+    seconds = []
+    for n in (100_000, 200_000):
+        began = time.perf_counter()
+        assert len(toxicity.maximal_segments(np.tile([1.0, -2.0], n // 2))) == n // 2
+        assert len(toxicity.maximal_segments(np.tile([2.0, -1.0], n // 2))) == 1
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 5 * seconds[0] and seconds[1] < 5
+
+
+def test_unit_counts_and_evidence_are_those_of_brute_force(spark):
+    texts = [("Bad bad wörter here", 1), ("bad thing, other thing", 0), ("", 0), ("good wörter good", 0)]
+    found = {r["unit"] % (1 << 64): (r["toxic"], r["clean"]) for r in toxicity._sampled_units(spark.createDataFrame(texts, "text string, y int")).collect()}
+    want = defaultdict(lambda: [0, 0])
+    for text, y in texts:
+        tokens = [w.lower() for w in re.findall(r"[0-9A-Za-z\x80-\U0010FFFF]+", text)]
+        for u in {(w, k) for w in tokens for k in (0, *(k for k in toxicity.BEGINNINGS if len(w) > k))}:
+            want[u[0][: u[1]] if u[1] else u[0], u[1]][1 - y] += 1
+    number = {}
+    for (text, k), pair in want.items():
+        raw = np.frombuffer(text.encode(), np.uint8)
+        number[(int(toxicity.span_hash(toxicity.prefix_sums(raw), np.array([0]), np.array([len(raw)]))[0]) + k) % (1 << 64)] = tuple(pair)
+    assert found == number
+    model = toxicity.Model(np.zeros(1, np.uint64), np.zeros(1, np.float32), -0.5, rate=0.7, scale=0.2)
+    scores = np.array([1.0, 3.0, -9.0, 0.5, -1.0, 4.0])
+    total, segments = toxicity.evidence(model, scores)
+    by_hand = [(0, 2, 0.7 * 4 - np.log(0.2 * 6)), (3, 4, 0.7 * 0.5 - np.log(0.2 * 6)), (5, 6, 0.7 * 4 - np.log(0.2 * 6))]
+    assert segments == [x for x in by_hand if x[2] > 0] and total == pytest.approx(sum(x[2] for x in by_hand if x[2] > 0))
+
+
+def test_training_rows_are_bounded_by_ids_with_several_rows(spark):
+    rows, labels = labelled(60)
+    docs = frame(spark, rows + rows[:5] * 40)
+    found = labelled_rows.training_rows(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "toxic", 20).collect()
+    assert len(found) == 20 and len({r["text"] for r in found}) == 20
 
 
 def test_classifier(spark):
