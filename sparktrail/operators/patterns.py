@@ -38,8 +38,8 @@ def failed_mcp() -> Column:
 
 
 def bypass(e: DataFrame) -> DataFrame:
-    """A failed MCP result and each bash or browser call within the next five events."""
-    hits = with_detours(e).filter(failed_mcp()).withColumn("x", F.explode("detours"))
+    """A failed MCP result and each bash or browser call within the next five events; events without a session don't take part."""
+    hits = with_detours(e.filter("session_id is not null")).filter(failed_mcp()).withColumn("x", F.explode("detours"))
     return hits.select("session_id", "mcp_server", F.col("x.tool_name").alias("following_tool_name"), F.col("ts").alias("fail_ts"), F.col("x.ts").alias("bypass_ts")).orderBy("session_id", "fail_ts", "bypass_ts")
 
 
@@ -169,11 +169,26 @@ def hits(e: DataFrame, pattern: str | None = None) -> DataFrame:
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    spent = e.filter("event_type = 'api.request' and source = 'otel'").select(F.col("session_id").alias("_s"), F.col("ts").alias("_ts"), (F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).alias("tokens"))
-    inside = (F.col("session_id") == F.col("_s")) & F.col("_ts").between(F.col("first_ts"), F.col("last_ts"))
-    priced = found.join(spent, inside, "left").groupBy(*HIT).agg(total("tokens").alias("_spent"))
-    own = F.get_json_object("detail", "$.tokens_est").cast("long")
-    return priced.withColumn("wasted_tokens_est", F.when(F.col("pattern_id") == "unused_mcp_server", own).otherwise(F.col("_spent"))).drop("_spent")
+    own = found.filter("pattern_id = 'unused_mcp_server'").withColumn("wasted_tokens_est", F.get_json_object("detail", "$.tokens_est").cast("long"))
+    return own if pattern == "unused_mcp_server" else own.unionByName(_priced(found.filter("pattern_id <> 'unused_mcp_server'"), e))
+
+
+def _priced(found: DataFrame, e: DataFrame) -> DataFrame:
+    """Add the tokens of the session's otel requests within each hit's time span, null without any request.
+
+    One pass over a session: running sums of tokens and requests are read off before a span's first and after its last
+    moment, and subtracted. A hit costs two rows, however many requests its span holds.
+    """
+    ends = F.array(F.struct(F.col("first_ts").alias("at"), F.lit(0).alias("kind")), F.struct(F.col("last_ts").alias("at"), F.lit(2).alias("kind")))
+    marks = found.select("session_id", F.explode(ends).alias("m"), F.struct(*HIT).alias("hit")).select("session_id", "m.at", "m.kind", "hit")
+    tokens = F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))
+    spent = e.filter("event_type = 'api.request' and source = 'otel'").select("session_id", F.col("ts").alias("at"), F.lit(1).alias("kind"), tokens.alias("tokens"))
+    w = Window.partitionBy("session_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marks.unionByName(spent, allowMissingColumns=True)
+    rows = rows.withColumn("so_far", F.struct(F.coalesce(F.sum("tokens").over(w), F.lit(0)).alias("tokens"), F.count("tokens").over(w).alias("n"))).filter("kind <> 1")
+    side = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("so_far")))
+    pairs = rows.groupBy("session_id", "hit.pattern_id", "hit.subject", "hit.hit_key").agg(F.first("hit").alias("hit"), side(0).alias("a"), side(2).alias("b"))
+    return pairs.select("hit.*", F.when(F.col("b.n") > F.col("a.n"), F.col("b.tokens") - F.col("a.tokens")).cast("long").alias("wasted_tokens_est"))
 
 
 def patterns(e: DataFrame) -> DataFrame:

@@ -53,8 +53,12 @@ def match_fingerprints(responses: DataFrame, messages: DataFrame, within_ms: int
 
     linked if each has only the other; rejected where a side has several.
     """
-    near = (F.col("r.fingerprint") == F.col("m.fingerprint")) & (F.abs(F.col("r.ts") - F.col("m.ts")) <= within_ms)
-    pairs = responses.alias("r").join(messages.alias("m"), near).select("r.response_id", "m.message_id")
+    # times meet in spans of that length and their neighbours, so that a common text isn't paired with all its copies
+    span = lambda ts: F.floor(ts / within_ms)
+    r = responses.withColumn("span", span(F.col("ts"))).alias("r")
+    m = messages.withColumn("span", F.explode(F.sequence(span(F.col("ts")) - 1, span(F.col("ts")) + 1))).alias("m")
+    near = (F.col("r.fingerprint") == F.col("m.fingerprint")) & (F.col("r.span") == F.col("m.span")) & (F.abs(F.col("r.ts") - F.col("m.ts")) <= within_ms)
+    pairs = r.join(m, near).select("r.response_id", "m.message_id")
     many = lambda c: F.count("*").over(Window.partitionBy(c))
     pairs = pairs.withColumns({"a": many("response_id"), "b": many("message_id")})
     return pairs.select("response_id", "message_id", F.when((F.col("a") == 1) & (F.col("b") == 1), "linked").otherwise("rejected").alias("verdict"))

@@ -25,11 +25,11 @@ def summary(e: DataFrame) -> DataFrame:
     is_ = lambda kind: F.col("event_type") == kind
     blank = F.lit("")
     out = e.agg(
-        F.max("session_id").alias("session_id"), F.max("agent").alias("agent"), F.max("host_id").alias("host_id"), F.max("repo").alias("repo"), iso_second(F.min("ts")).alias("started_at"), iso_second(F.max("ts")).alias("ended_at"),
+        F.max("session_id").alias("session_id"), F.max("agent").alias("agent"), F.max("agent_version").alias("agent_version"), F.max("host_id").alias("host_id"), F.max("repo").alias("repo"), iso_second(F.min("ts")).alias("started_at"), iso_second(F.max("ts")).alias("ended_at"),
         (F.max("ts") - F.min("ts")).alias("duration_ms"), F.bool_or(is_("session.end")).alias("ended"), F.count("*").alias("events"),
         *(counted(is_(k)).alias(n) for n, k in (("turns", "turn"), ("tool_calls", "tool.call"), ("tool_denied", "tool.denied"), ("api_requests", "api.request"), ("api_errors", "api.error"), ("compactions", "compaction"))),
         F.count_distinct("agent_id").alias("subagents"), F.coalesce(names("model"), blank).alias("models"), F.coalesce(names("source"), blank).alias("sources"),
-        *(total(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "cost_usd")),
+        *(total(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "cost_usd", "estimated_input_tokens", "estimated_output_tokens")),
         F.max("configured_mcp_servers").alias("configured_mcp_servers"), F.max("configured_skills").alias("configured_skills"), F.coalesce(names("effort"), blank).alias("efforts"), names("client").alias("client"),
     ).filter("events > 0")
     failed = without_result_copies(e).agg(counted(~F.col("success")).alias("failures"))

@@ -106,8 +106,9 @@ def sessions(e: DataFrame, limit: int = 50) -> DataFrame:
         F.max("agent").alias("agent"), F.max("host_id").alias("host_id"), F.min("ts").alias("_first"), F.count("*").alias("events"), counted(_is("tool.call")).alias("tool_calls"),
         F.coalesce(names("model"), F.lit("")).alias("models"), total("input_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens"), total("cost_usd").alias("cost_usd"), names("client").alias("client"),
     )
-    right = without_result_copies(e).filter(~F.col("success")).groupBy(F.col("session_id").alias("_s")).agg(F.count("*").alias("failures"))
     newest = left.orderBy(F.desc("_first"), "session_id").limit(limit)
+    shown = e.join(F.broadcast(newest.select("session_id")), "session_id", "left_semi")  # at most 500 ids
+    right = without_result_copies(shown).filter(~F.col("success")).groupBy(F.col("session_id").alias("_s")).agg(F.count("*").alias("failures"))
     out = newest.join(right, F.col("session_id") == F.col("_s"), "left").withColumn("failures", F.coalesce("failures", F.lit(0).cast("long"))).withColumn("started_at", iso_second(F.col("_first")))
     return out.orderBy(F.desc("_first"), "session_id").drop("_s", "_first")
 
@@ -195,10 +196,14 @@ def mcp_tax(e: DataFrame) -> DataFrame:
         F.count("*").alias("sessions_configured"), counted(is_used).alias("sessions_used"), counted(~is_used).alias("sessions_unused"), F.count("first_input_tokens").alias("sessions_with_usage"),
         F.round(total(share)).cast("long").alias("fixed_tokens_est"), F.round(total_where(~is_used, share)).cast("long").alias("unused_tokens_est"), F.median("first_input_tokens").alias("_with"),
     )
-    # every server against the sessions without it: the server list is small and grows with configurations, not events
+    # the sessions without a server are all sessions less those with it, as histograms of their first context: one row per
+    # server and size, however many sessions there are
+    known = priced.filter("first_input_tokens is not null").withColumnRenamed("first_input_tokens", "size")
+    sizes = known.groupBy("size").agg(F.count("*").alias("sessions"))
+    having = known.select(F.explode(F.array_distinct("servers")).alias("_server"), "size").groupBy("_server", "size").agg(F.count("*").alias("having"))
     servers = per.select(F.col("mcp_server").alias("_server"))
-    known = priced.filter("first_input_tokens is not null").select("servers", "first_input_tokens")
-    without = known.join(servers, ~F.array_contains("servers", F.col("_server"))).groupBy("_server").agg(F.median("first_input_tokens").alias("_without"))
+    left = sizes.crossJoin(servers).join(having, ["_server", "size"], "left").withColumn("others", F.col("sessions") - F.coalesce("having", F.lit(0)))
+    without = left.filter("others > 0").groupBy("_server").agg(F.percentile("size", F.lit(0.5), F.col("others")).alias("_without"))
     out = per.join(without, F.col("mcp_server") == F.col("_server"), "left")
     return out.withColumn("marginal_first_tokens_est", F.round(F.col("_with") - F.col("_without")).cast("long")).drop("_with", "_without", "_server").orderBy(F.desc_nulls_last("unused_tokens_est"), F.desc_nulls_last("fixed_tokens_est"), "mcp_server")
 
@@ -324,6 +329,5 @@ def subscription_models(e: DataFrame) -> DataFrame:
 
 def subscription_usage(e: DataFrame) -> DataFrame:
     """The latest request's state per agent and account; snapshots are never summed."""
-    w = Window.partitionBy("agent", "user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    rows = e.filter(_is("api.request")).withColumn("_n", F.row_number().over(w)).filter("_n = 1")
-    return rows.select("agent", "user_id", F.col("ts").alias("observed_at"), "billing_route", "provider")
+    state = F.struct(F.col("ts").alias("observed_at"), "billing_route", "provider")
+    return e.filter(_is("api.request")).groupBy("agent", "user_id").agg(F.max_by(state, F.struct("ts", "event_id")).alias("x")).select("agent", "user_id", "x.*")

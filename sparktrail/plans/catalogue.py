@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparktrail.functions.scalars import token_estimate
 from sparktrail.operators import patterns, pricing, session_detail, usage
 
+from . import derived
 from .event_log import SILENT_BEFORE_MS, TODAY, event_log
 from .oracle import FETCHED, ORACLE, PLAN_PRICES, PRICES, SERVERS
 
@@ -99,8 +100,12 @@ def _branch(name: str) -> Callable[[DataFrame], DataFrame]:
 _OVER_EVENTS |= {f"pattern_{name}": _branch(name) for name in patterns.BRANCHES}
 
 
+_OVER_EVENTS |= derived.OVER_EVENTS
+DAYS |= derived.DAYS
+
+
 def _busiest(e: DataFrame) -> str:
-    return e.groupBy("session_id").count().orderBy(F.desc("count"), "session_id").first()["session_id"]
+    return e.filter("session_id is not null").groupBy("session_id").count().orderBy(F.desc("count"), "session_id").first()["session_id"]
 
 
 def _timeline(e: DataFrame) -> DataFrame:
@@ -129,4 +134,4 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES = {name: _query(name) for name in (*_OVER_EVENTS, *_OVER_SESSION)} | {"token_estimates": token_estimates}
-ORACLE_SQL = dict(ORACLE)
+ORACLE_SQL = ORACLE | derived.SQL

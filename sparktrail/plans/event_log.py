@@ -10,7 +10,7 @@ TODAY, SILENT_BEFORE_MS = "2024-01-30", 1_706_572_800_000
 
 # Expressions that both engines read alike; {div} is integer division.
 BASE = {
-    "session_id": "'s' || CAST(u AS {text}) || '-' || CAST(ms {div} 864000000 AS {text})",
+    "session_id": "CASE WHEN h % 97 <> 0 THEN 's' || CAST(u AS {text}) || '-' || CAST(ms {div} 864000000 AS {text}) END",
     "host_id": "'host-' || CAST(u % 7 AS {text})",
     "agent": "CASE WHEN u % 4 = 3 THEN 'codex' ELSE 'claude-code' END",
     "repo": "CASE WHEN u % 5 <> 0 THEN 'org/repo-' || CAST(u % 5 AS {text}) END",
@@ -35,6 +35,8 @@ TYPED = {
 FINAL = {
     "event_id": "CAST(e AS {text}) || '-' || tag", "session_id": "session_id", "host_id": "host_id", "agent": "agent", "repo": "repo", "source": "source", "event_type": "event_type", "ts": "ts",
     "agent_id": "agent_id", "client": "client", "user_id": "user_id", "turn_id": "turn_id", "model": "model",
+    "agent_version": "CASE WHEN u % 6 <> 0 THEN '1.' || CAST(u % 3 AS {text}) || '.' || CAST(ms {div} 864000000 AS {text}) END",
+    "estimated_input_tokens": "CASE WHEN event_type = 'turn' THEN h % 400 END", "estimated_output_tokens": "CASE WHEN event_type = 'subagent.stop' THEN h % 900 END",
     "agent_type": "CASE agent_id WHEN 'ag0' THEN 'Explore' WHEN 'ag1' THEN 'review' END",
     "query_source": "CASE WHEN agent_id IS NULL THEN 'main' ELSE 'subagent' END",
     "tool_name": "CASE WHEN event_type LIKE 'tool.%' THEN CASE tool_ix WHEN 0 THEN 'Bash' WHEN 1 THEN 'Read' WHEN 2 THEN 'mcp__github__search' WHEN 3 THEN 'mcp__jira__create' WHEN 4 THEN 'mcp__playwright__navigate' WHEN 5 THEN 'Skill' WHEN 6 THEN 'Edit' ELSE 'WebFetch' END END",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import date
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,14 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_foreign_events(spark: SparkSession, folder: str) -> DataFrame:
-    """A file set of unknown origin under dt=*: the day within the files counts, whatever the directories say."""
+    """A file set of unknown origin under dt=*: the day within the files counts, whatever the directories say.
+
+    Files of other names, or of directories that are no days, are left out.
+    """
     try:
-        return conform(spark.read.schema(EVENT_SCHEMA).parquet(f"{folder.rstrip('/')}/dt=*/*.parquet"))
+        found = spark.read.schema(EVENT_SCHEMA).parquet(f"{folder.rstrip('/')}/dt=*/*.parquet")
+        fine = [f for f in found.inputFiles() if valid_key(unquote(f))]
+        return conform(spark.read.schema(EVENT_SCHEMA).parquet(*fine)) if fine else empty_events(spark)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return empty_events(spark)
@@ -95,14 +101,28 @@ def rekeyed(events: DataFrame) -> DataFrame:
     meant = (F.col("agent") == "codex") & (F.col("source") == "log") & F.col("event_type").isin("session.start", "turn", "api.request")
     record = F.struct(*(F.col(c) for c in sorted(COLUMNS) if c != "event_id"))
     new = F.when(meant, content_id(F.col("host_id"), F.col("source"), F.col("event_type"), record)).otherwise(F.col("event_id"))
-    return events.withColumn("event_id", new).dropDuplicates(COLUMNS)
+    out = events.withColumn("event_id", new).dropDuplicates(COLUMNS)
+    twice = out.groupBy("event_id").count().filter("count > 1").limit(1).collect()
+    if twice:
+        raise Conflict(f"event {twice[0]['event_id']} would stand for different contents")
+    return out
+
+
+def next_cursor(page: DataFrame, cursor: int) -> int:
+    """The cursor after a page was applied; an empty page leaves it."""
+    return page.agg(F.coalesce(F.max("sequence"), F.lit(cursor)).alias("x")).first()["x"]
 
 
-def apply_changes(ledger: DataFrame, tombstones: DataFrame, page: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_changes(ledger: DataFrame, tombstones: DataFrame, page: DataFrame, cursor: int | None = None) -> tuple[DataFrame, DataFrame]:
     """A page of remote changes (scope, sequence, event_id, deleted, payload): the last one of an id counts, deletions stay.
 
-    Returns the new ledger and tombstones.
+    With a cursor, every sequence of the page must be given, used once and lie beyond it. Returns the new ledger and
+    tombstones.
     """
+    if cursor is not None:
+        seen = page.agg(F.count("*").alias("n"), F.count_distinct("sequence").alias("distinct"), F.min("sequence").alias("low")).first()
+        if seen["n"] != seen["distinct"] or (seen["n"] and seen["low"] <= cursor):
+            raise Conflict(f"the page doesn't continue from {cursor}")
     last = page.groupBy("scope", "event_id").agg(F.max_by(F.struct("deleted", "payload"), "sequence").alias("x"), F.bool_or("deleted").alias("gone"))
     stones = tombstones.unionByName(last.filter("gone").select("scope", "event_id")).distinct()
     fresh = last.filter("not gone").select("scope", "event_id", F.col("x.payload").alias("payload"))

@@ -18,21 +18,23 @@ class Heartbeats(StreamingQueryListener):
 
     def __init__(self):
         self.last: dict[str, tuple] = {}
+        self.names: dict[str, str] = {}  # some events carry a stream's id only
 
     def _beat(self, name: str, rows: int | None = None, error: str | None = None) -> None:
         self.last[name] = (name, int(time.time() * 1000), rows, error)
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
-        self._beat(event.name or str(event.id))
+        self.names[str(event.id)] = event.name or str(event.id)
+        self._beat(self.names[str(event.id)])
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         self._beat(event.progress.name or str(event.progress.id), event.progress.numInputRows)
 
     def onQueryIdle(self, event) -> None:  # noqa: N802
-        self._beat(str(event.id))
+        self._beat(self.names.get(str(event.id), str(event.id)))
 
     def onQueryTerminated(self, event) -> None:  # noqa: N802
-        self._beat(str(event.id), error=event.exception)
+        self._beat(self.names.get(str(event.id), str(event.id)), error=event.exception)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.last.values()), BEATS)

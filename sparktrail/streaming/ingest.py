@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -83,9 +84,21 @@ _READ_ONLY = re.compile(r"^\s*(?:--[^\n]*\n\s*)*(select|with|values)\b", re.I)
 
 
 def run_query(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:
-    """One read-only statement of at most 65,536 bytes over temporary views."""
+    """One read-only statement of at most 65,536 bytes over temporary views.
+
+    The text must also stand as a subquery, where the grammar has neither inserts nor commands, whatever they begin with.
+    """
     if len(text.encode()) > 65_536 or not _READ_ONLY.match(text):
         raise ValueError("a single query is expected")
     for name, df in views.items():
         df.createOrReplaceTempView(name)
+    try:
+        spark.sql(f"SELECT * FROM (\n{text}\n)")
+    except ParseException as e:
+        raise ValueError("a single query is expected") from e
     return spark.sql(text)
+
+
+def json_rows(query: DataFrame) -> DataFrame:
+    """Each row of a query as one JSON object; nulls are kept."""
+    return query.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in query.columns)), {"ignoreNullFields": "false"}).alias("row"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparktrail.functions import normalize, scalars
-from sparktrail.operators import resolution
+from sparktrail.operators import billing, folds, resolution
 from sparktrail.schema import COLUMNS, EVENT_SCHEMA, conform, empty_events, required
 from sparktrail.sources import events as tables
 from sparktrail.streaming import health, ingest
@@ -266,6 +266,51 @@ def test_days_become_final(spark, tmp_path):
 def test_only_queries(spark):
     view = spark.range(3)
     assert ingest.run_query(spark, "select count(*) n from v", v=view).first()["n"] == 3
-    for text in ("drop view v", "insert into v values (1)", "select 1 -- " + "x" * 70_000):
+    assert ingest.run_query(spark, "with x as (select id from v) select sum(id) s from x -- all of it", v=view).first()["s"] == 3
+    assert ingest.json_rows(spark.sql("select 1 a, cast(null as int) b")).first()["row"] == '{"a":1,"b":null}'
+    for text in ("drop view v", "insert into v values (1)", "with x as (select 1 a) insert into v select * from x", "with x as (select 1 a) from x insert into v select a", "select 1; drop view v", "select 1 -- " + "x" * 70_000):
         with pytest.raises(ValueError):
             ingest.run_query(spark, text)
+
+
+def test_foreign_files_need_plain_names(spark, tmp_path):
+    folder = str(tmp_path / "set")
+    for name in ("dt=2024-01-02", "dt=2024-13-02", "dt=_schema"):
+        events(spark, {"event_id": name}).coalesce(1).write.parquet(f"{folder}/{name}")
+    assert [r["event_id"] for r in tables.read_foreign_events(spark, folder).collect()] == ["dt=2024-01-02"]
+
+
+def test_pages_continue_from_the_cursor(spark):
+    none = spark.createDataFrame([], "scope string, event_id string, payload string")
+    stones = spark.createDataFrame([], "scope string, event_id string")
+    page = lambda *rows: spark.createDataFrame(rows, "scope string, sequence long, event_id string, deleted boolean, payload string")
+    good = page(("r", 5, "a", False, "1"), ("r", 6, "b", False, "2"))
+    assert tables.apply_changes(none, stones, good, cursor=4)[0].count() == 2 and tables.next_cursor(good, 4) == 6
+    for bad in (page(("r", 4, "a", False, "1")), page(("r", 5, "a", False, "1"), ("r", 5, "b", False, "2"))):
+        with pytest.raises(tables.Conflict):
+            tables.apply_changes(none, stones, bad, cursor=4)
+    assert tables.next_cursor(page(), 4) == 4
+
+
+def test_backfill_ends_where_the_collector_began(spark):
+    assert folds.backfill_boundary(["2024-01-02", "2024-01-03", "_schema"], 5) == 1_704_153_600_000 and folds.backfill_boundary(["_schema"], 5) == 5
+    files = spark.createDataFrame([("a", 3, 10), ("b", 1, 99), ("c", 2, 10)], "file string, modified_ms long, last_ts long")
+    done = spark.createDataFrame([("c",)], "file string")
+    assert [tuple(r) for r in folds.backfill_plan(files, done, 50).collect()] == [("b", 1, "overlap"), ("c", 2, "done"), ("a", 3, "backfill")]
+
+
+def test_login_evidence_of_transcripts_and_diagnostics(spark):
+    import json
+
+    ask = lambda id_, *betas: json.dumps({"type": "api-request", "sessionId": "s", "id": id_, "params": {"betas": list(betas)}})
+    usage = {"input_tokens": 1, "output_tokens": 2, "cache_read_input_tokens": 3, "cache_creation_input_tokens": 4}
+    say = lambda id_, ref, entry="cli": json.dumps({"type": "assistant", "sessionId": "s", "requestId": id_, "requestRef": ref, "entrypoint": entry, "timestamp": "2024-01-02T00:00:00Z", "message": {"model": "m", "usage": usage}})
+    lines = [ask("a", "oauth"), ask("b", "oauth"), ask("b"), say("req_1", "a"), say("req_2", "b"), say("msg_3", "a"), say("req_4", "a", "sdk"), say("req_5", "none"), "{broken"]
+    rows = spark.createDataFrame([("f", k, x) for k, x in enumerate(lines)], "file string, line_no int, line string")
+    got = {r["request_id"]: r["subscribed"] for r in billing.transcript_evidence(rows, "oauth", ("cli",)).collect()}
+    assert got == {"req_1": True, "req_2": False, "msg_3": False, "req_4": False, "req_5": False}
+    turn = "turn.id=123e4567-e89b-12d3-a456-426614174000"
+    bodies = [f'{turn}: endpoint="/responses" auth_header_attached=true auth_header_name="authorization" auth_mode="Chatgpt"', f"{turn} auth_mode=Some(ApiKey) tags_json={{}}", "no turn auth_mode= tags_json=", f"{turn} other"]
+    logs = spark.createDataFrame([(k, 7, "t", b) for k, b in enumerate(bodies)], "id long, ts long, thread_id string, body string")
+    got = [tuple(r) for r in billing.diagnostics_evidence(logs, -1).select("id", "ts", "kind", "subscribed", "route").orderBy("id").collect()]
+    assert got == [(0, 7000, "request", True, "unknown"), (1, 7000, "turn", False, "api_key")]

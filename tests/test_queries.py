@@ -137,3 +137,39 @@ def test_costs(spark):
 
 def test_all_columns_conform(spark):
     assert conform(spark.createDataFrame([(1,)], "ts int")).schema == EVENT_SCHEMA
+
+
+def test_null_sessions_are_no_session(spark):
+    fail = result("mcp__gh__x", False, tool_kind="mcp", mcp_server="gh", session_id=None)
+    call = {"event_type": "tool.call", "tool_name": "Bash", "tool_kind": "bash", "session_id": None}
+    assert patterns.bypass(log(spark, [fail, call])).count() == 0
+    api = {"event_type": "api.request", "model": "m", "input_tokens": 5, "output_tokens": 5, "session_id": None}
+    assert [r["api_requests"] for r in usage.models(log(spark, [api | {"source": "otel"}, api | {"source": "log"}])).collect()] == [1]
+
+
+def test_costs_of_overlapping_spans(spark):
+    api = lambda n: {"event_type": "api.request", "source": "otel", "input_tokens": n, "output_tokens": 1}
+    deny = {"event_type": "tool.denied", "tool_name": "Bash"}
+    call = {"event_type": "tool.call", "tool_name": "Bash", "tool_kind": "bash"}
+    e = log(spark, [api(900), deny, api(10), call, api(20), call, api(50), result("t", True)])
+    got = sorted(r["wasted_tokens_est"] for r in patterns.hits(e, "deny_detour").collect())
+    assert got == [11, 32]
+
+
+def test_the_rest_works_without_the_training_data_operators(tmp_path):
+    """In a copy without the subpackage and its tests."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "sparktrail", tmp_path / "sparktrail", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "bench.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    for present in (True, False):
+        if not present:
+            (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+        code = "import __spark_entry__ as e, bench; q, s = e.queries(), e.oracle_sql(); assert 'tools' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q) and set(s) <= set(q)"
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
