@@ -1,6 +1,6 @@
 """Toxic passages: maximal scoring segments over token log-odds.
 
-Tokens are words (ASCII letters in lower case, ASCII punctuation at no place), each scored as a whole and by its
+Tokens are words (ASCII and Latin-1 letters in lower case, ASCII punctuation at no place), each scored as a whole and by its
 beginnings, so that inflected forms of a stem count. Log-odds between toxic and other labelled documents have an
 informative Dirichlet prior; those that are not significant fall back to the mean of what clean documents hold. A
 linear scan finds all maximal scoring segments; the Karlin-Altschul parameters of clean text turn segment scores into
@@ -10,7 +10,7 @@ E-values, whose evidence summed over a document's significant passages is calibr
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,15 @@ _INSIDE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80
 BEGINNINGS = (4, 5)
 
 
+def lower(raw: np.ndarray) -> np.ndarray:
+    """UTF-8 with ASCII letters and those of Latin-1 (two bytes, the first 0xC3) in lower case."""
+    out = _PLAIN[raw]
+    latin = np.zeros(len(raw), bool)
+    latin[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    out[latin] += 0x20
+    return out
+
+
 def units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of each token and its beginnings (tokens x 3), tokens' byte starts and ends, and the rows' token offsets."""
     inside = _INSIDE[raw]
@@ -38,7 +47,7 @@ def units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     begins[edge] = inside[edge]
     ends[edge - 1] = inside[edge - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = prefix_sums(_PLAIN[raw])
+    sums = prefix_sums(lower(raw))
     chars = np.flatnonzero((raw & 0xC0) != 0x80)
     chars = np.append(chars, np.full(max(BEGINNINGS), len(raw)))
     at = np.searchsorted(chars, start)
@@ -58,7 +67,7 @@ class Model:
     other: float
     rate: float = 1.0  # lambda of the extreme-value distribution
     scale: float = 0.1  # K, where there is no clean document to fit it to
-    slope: float = 0.0
+    slopes: np.ndarray = field(default_factory=lambda: np.zeros(2))
     intercept: float = -4.0
 
     def __post_init__(self):
@@ -177,19 +186,24 @@ def _rate(scores: np.ndarray, weights: np.ndarray) -> float:
     return max(low, 0.05)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, with a small ridge."""
-    a = b = 0.0
+def evidence_features(total: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """What the calibration sees of a document: its evidence, and its evidence by a hundred tokens, on logarithmic scales."""
+    return np.stack([np.log1p(total), np.log1p(100 * total / np.maximum(tokens, 1))], axis=1)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and intercept by Newton's method, with a small ridge."""
+    x = np.column_stack([x, np.ones(len(x))])
+    ridge = np.r_[np.full(x.shape[1] - 1, 0.1), 0.01]
+    b = np.zeros(x.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         w = p * (1 - p) + 1e-9
-        g = np.array([((y - p) * x).sum() - 0.1 * a, (y - p).sum() - 0.01 * b])
-        h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.01]])
-        step = np.linalg.solve(h, g)
-        a, b = a + step[0], b + step[1]
+        step = np.linalg.solve((x * w[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * b)
+        b += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(a), float(b)
+    return b[:-1], float(b[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = 20_000, prior: float = 0.05, z: float = 2.5) -> Model:
@@ -245,12 +259,12 @@ def _calibrated(model: Model, sample: DataFrame) -> Model:
         model.scale = sums["n"] / sums["total"]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = [(np.log1p(evidence(model, s)[0]), y) for s, y in _scored(batches, model)]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.float64()), pa.array([int(p[1]) for p in pairs], pa.int32())], ["x", "y"])
+        rows = [(evidence(model, s)[0], len(s), int(y)) for s, y in _scored(batches, model)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.float64(), pa.int64(), pa.int32()))], ["total", "tokens", "y"])
 
-    rows = sample.mapInArrow(features, "x double, y int").collect()  # at most `limit` pairs of numbers
-    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]) > 0
-    model.slope, model.intercept = _logistic(x, y)
+    rows = sample.mapInArrow(features, "total double, tokens long, y int").collect()  # three numbers of at most `limit` documents
+    x = evidence_features(np.array([r["total"] for r in rows]), np.array([r["tokens"] for r in rows]))
+    model.slopes, model.intercept = _logistic(x, np.array([r["y"] for r in rows]) > 0)
     return model
 
 
@@ -289,7 +303,7 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
                     total, found = evidence(model, scores[a : first[k + 1]])
                     x.append(total)
                     passages.append([{"start": int(start[a + s] - base[k]), "end": int(end[a + e - 1] - base[k]), "evidence": v} for s, e, v in found])
-                p = 1 / (1 + np.exp(-(model.slope * np.log1p(np.array(x)) + model.intercept)))
+                p = 1 / (1 + np.exp(-np.clip(evidence_features(np.array(x), np.diff(first)) @ model.slopes + model.intercept, -40, 40)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(passages, kind)], [*names, "toxic_score", "toxic_predicted", "toxic_passages"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
