@@ -74,8 +74,7 @@ def op9_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vectors import search
 
-    vectors = _table(spark, sf_dir, "embeddings")
-    return search(vectors, vectors.filter("vec_id % 20 = 0"))
+    return search(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -18,8 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of the index that a task scans at a time, and queries that it answers; both bound its memory.
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2_048
+from .store import materialize
+
+#: Rows of the index that a task scans at a time, and queries that it answers; both bound its memory. A row is sent to every
+#: block of queries, so large blocks of queries keep the shuffle small: rows * queries / BLOCK_QUERIES vectors.
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 16_384
 
 
 @dataclass
@@ -28,6 +31,7 @@ class Quantiser:
 
     books: np.ndarray
     weight: float  # of the squared parallel residual, relative to the rest
+    dims: int = 0  # of the vectors that it was fitted to
 
     def parts(self, x: np.ndarray) -> np.ndarray:
         s, _, d = self.books.shape
@@ -97,10 +101,10 @@ def train(x: np.ndarray, width: int = 2, threshold: float = 0.2, rounds: int = 5
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of vectors that take part: not null, no null or non-finite component, not zero."""
+    """(row, vec_id, embedding) of vectors that take part: not null, no null or non-finite component, not zero."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     kind = "double" if isinstance(vectors.schema["embedding"].dataType.elementType, T.DoubleType) else "float"
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>")).filter("vec_id is not null and embedding is not null").filter(fine)
+    return vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>")).filter("vec_id is not null and embedding is not null").filter(fine)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -114,25 +118,25 @@ def index(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                x = _matrix(part.column(1)).astype(np.float64)
+                x = _matrix(part.column(2)).astype(np.float64)
                 codes = quantiser.assign(x)
                 residual = quantiser.residual(x, codes)
                 codes = codes.astype(np.uint8)
                 codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
                 packed = codes[:, ::2] | codes[:, 1::2] << 4
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(residual)], ["vec_id", "embedding", "codes", "residual"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(residual)], ["row", "vec_id", "embedding", "codes", "residual"])
 
-    return rows.mapInArrow(encode, f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, codes binary, residual double")
+    return rows.mapInArrow(encode, f"row long, vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, codes binary, residual double")
 
 
-def scan(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, residual: np.ndarray, q: Quantiser, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of the k best of a block for each query. Equal vectors are scanned once and all counted.
+def scan(queries: np.ndarray, query_rows: np.ndarray, x: np.ndarray, rows_of: np.ndarray, ids: np.ndarray, codes: np.ndarray, residual: np.ndarray, q: Quantiser, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, vec_id, score) of the k best of a block for each query. Equal vectors are scanned once and all counted.
 
     After the `rerank` best by their codes, all vectors are reranked whose approximate score plus |query| * residual reaches
     the k-th exact score (one more for the query itself); so none of the k best is missed.
     """
     order = np.argsort(ids, kind="stable")
-    x, ids, codes, residual = np.ascontiguousarray(x[order]), ids[order], codes[order], residual[order]
+    x, ids, rows_of, codes, residual = np.ascontiguousarray(x[order]), ids[order], rows_of[order], codes[order], residual[order]
     _, first, copy = np.unique(x.view(f"V{x.itemsize * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
     by_copy = np.argsort(copy, kind="stable")  # ids of each distinct vector, smallest first
     bounds = np.searchsorted(copy[by_copy], np.arange(len(first) + 1))
@@ -174,45 +178,72 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndar
             kth = np.partition(exact, len(exact) - enough)[len(exact) - enough]
             top = rows[exact >= kth - slack]
             exact = (x64[top] * some64[r]).sum(1)  # rounds alike wherever a vector stands, so that ties are ties
-            found = [(-s, i) for t, s in zip(top, exact, strict=True) for i in ids[by_copy[bounds[t] : bounds[t + 1]][: k + 1]] if i != query_ids[a + r]]
+            found = [(-s, ids[j]) for t, s in zip(top, exact, strict=True) for j in by_copy[bounds[t] : bounds[t + 1]][: k + 1] if rows_of[j] != query_rows[a + r]]
             found.sort()
-            out.extend((query_ids[a + r], i, -s) for s, i in found[:k])
+            out.extend((a + r, i, -s) for s, i in found[:k])
     cols = list(zip(*out, strict=True)) if out else [[], [], []]
     return np.array(cols[0], np.int64), np.array(cols[1], np.int64), np.array(cols[2], np.float64)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 1600, sample: int = 10_000) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest by inner product among all vectors but those of its own id.
+def fit(rows: DataFrame, sample: int) -> Quantiser | None:
+    """A quantiser of at most `sample` vectors, those with the smallest hashes, trained in a task; None without any.
+
+    The vectors of the most frequent length count.
+    """
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = [np.asarray(v.values) for batch in batches for v in batch.column(0)]
+        if some:
+            lengths = np.array([len(v) for v in some])
+            dims = int(np.bincount(lengths).argmax())
+            q = train(np.array([v for v in some if len(v) == dims], np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array([dims]), pa.array([q.weight]), pa.array(list(q.books.shape[:1]), pa.int64()), pa.array([q.books.tobytes()])], ["dims", "weight", "parts", "books"])
+
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(sample).select("embedding").repartition(1)
+    found = picked.mapInArrow(learn, "dims long, weight double, parts long, books binary").first()
+    if found is None:
+        return None
+    q = Quantiser(np.frombuffer(found["books"]).reshape(found["parts"], 16, -1).copy(), found["weight"])
+    q.dims = found["dims"]
+    return q
+
+
+def search(vectors: DataFrame, asked: str, k: int = 20, rerank: int = 1600, sample: int = 10_000) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest by inner product of each row that fulfils `asked`, an SQL condition.
+
+    All rows but the query's own are candidates. A repeated row is a query of its own and the other's candidate, so its id
+    has k rows for each; equal scores go by vec_id. Vectors that are null, zero, or hold null or non-finite components take
+    no part, nor do rows without an id, nor vectors of another length than most of the sample. An empty table gives no rows.
 
-    The quantiser is fitted on at most `sample` vectors (by hash of vec_id); every usable vector is indexed. Vectors of
-    another length than most of the sample take no part. Blocks of queries meet blocks of vectors; of each block a task
-    reranks `rerank` distinct vectors per query and all others that could be nearer, and passes on k. Fewer candidates than k give fewer rows.
+    The quantiser is fitted on at most `sample` vectors; every usable vector is indexed, once, and written. Blocks of queries
+    meet blocks of vectors; of each block a task reranks `rerank` distinct vectors per query and all others that could be
+    nearer, and passes on k. Fewer candidates than k give fewer rows.
     """
-    rows, asked = usable(vectors), usable(queries)
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    some = [r["embedding"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()]
-    if not some:
-        return spark.createDataFrame([], schema)
-    lengths = np.array([len(v) for v in some])
-    dims = int(np.bincount(lengths).argmax())
-    quantiser = train(np.array([v for v in some if len(v) == dims], np.float64))
-    rows, asked = rows.filter(F.size("embedding") == dims), asked.filter(F.size("embedding") == dims)
-    row_blocks, query_blocks = math.ceil(rows.count() / BLOCK_ROWS), max(1, math.ceil(asked.count() / BLOCK_QUERIES))
+    rows = materialize(usable(vectors), "vectors")
+    quantiser = fit(rows, sample)
+    if quantiser is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    indexed = materialize(index(rows.filter(F.size("embedding") == quantiser.dims), quantiser), "vector-index")
+    queries = indexed.filter(asked).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    row_blocks, query_blocks = math.ceil(indexed.count() / BLOCK_ROWS), max(1, math.ceil(queries.count() / BLOCK_QUERIES))
     block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    table = index(rows, quantiser).withColumn("row_block", block("vec_id", row_blocks)).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).withColumn("query_block", block("query_id", query_blocks)).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    table = indexed.withColumn("row_block", block("row", row_blocks)).withColumn("query_block", every(query_blocks))
+    queries = queries.withColumn("query_block", block("query_row", query_blocks)).withColumn("row_block", every(row_blocks))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.combine_chunks()
         if not left.num_rows or not right.num_rows:
-            a, b, c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            at, b, c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
             codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(right.num_rows, -1)
             matrix = lambda c: _matrix(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c)
-            a, b, c = scan(matrix(left.column("query")), np.asarray(left.column("query_id")), matrix(right.column("embedding")), np.asarray(right.column("vec_id")), codes, np.asarray(right.column("residual")), quantiser, k, rerank)
-        return pa.table({"query_id": a, "vec_id": b, "score": c})
+            whole = {c: np.asarray(right.column(c)) for c in ("row", "vec_id", "residual")}
+            at, b, c = scan(matrix(left.column("query")), np.asarray(left.column("query_row")), matrix(right.column("embedding")), whole["row"], whole["vec_id"], codes, whole["residual"], quantiser, k, rerank)
+        place = pa.array(at)
+        return pa.table({"query_row": left.column("query_row").take(place), "query_id": left.column("query_id").take(place), "vec_id": b, "score": c})
 
-    best = asked.groupBy("query_block", "row_block").cogroup(table.groupBy("query_block", "row_block")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
+    best = queries.groupBy("query_block", "row_block").cogroup(table.groupBy("query_block", "row_block")).applyInArrow(meet, "query_row long, query_id long, vec_id long, score double")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

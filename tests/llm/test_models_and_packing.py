@@ -281,7 +281,7 @@ def test_vector_search(spark, monkeypatch):
         monkeypatch.setattr(vectors, "BLOCK_ROWS", size)
         monkeypatch.setattr(vectors, "BLOCK_QUERIES", 20)
         got = defaultdict(list)
-        for r in vectors.search(df, df.filter("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        for r in vectors.search(df, "vec_id % 20 = 0").orderBy("query_id", "rank").collect():
             got[r["query_id"]].append((r["vec_id"], r["score"]))
         assert sorted(got) == list(range(0, 700, 20))
         x64, hits = x.astype(np.float64), 0
@@ -293,11 +293,36 @@ def test_vector_search(spark, monkeypatch):
             assert found == sorted(found, key=lambda f: (-f[1], f[0]))
         assert hits >= 0.95 * 20 * len(got)
     wide = spark.createDataFrame([(i, [float(v) + 1e-9 for v in x[i]]) for i in range(30)], "vec_id long, embedding array<double>")
-    row = vectors.search(wide, wide.filter("vec_id = 0")).filter("rank = 1").first()
+    row = vectors.search(wide, "vec_id = 0").filter("rank = 1").first()
     assert row["score"] == pytest.approx(max((x[1:30].astype(float) + 1e-9) @ (x[0].astype(float) + 1e-9)), abs=1e-13)
     few = df.filter("vec_id < 6")
-    assert vectors.search(few, few.filter("vec_id = 0")).count() == 5
-    assert vectors.search(df.limit(0), df.limit(0)).count() == 0
+    assert vectors.search(few, "vec_id = 0").count() == 5
+    assert vectors.search(df.limit(0), "vec_id = 0").count() == 0
+
+
+def test_repeated_rows_are_queries_and_candidates_of_their_own(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, rows[0], rows[7]], "vec_id long, embedding array<float>")
+    found = [(r["rank"], r["vec_id"]) for r in vectors.search(df, "vec_id = 0").orderBy("rank").collect()]
+    ids = np.array([i for i, _ in rows] + [0, 7])
+    s = np.concatenate([x, x[[0, 7]]]).astype(np.float64) @ x[0].astype(np.float64)
+    want = sorted((-v, i) for v, i in zip(s[1:], ids[1:], strict=True))[:20]
+    assert found == sorted((k + 1, int(i)) for k, (_, i) in enumerate(want) for _ in range(2))
+
+
+def test_the_codes_decide_what_is_reranked():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 32)).astype(np.float32)
+    ids, q = np.arange(6000), vectors.train(x[:3000].astype(np.float64))
+    codes = q.assign(x.astype(np.float64))
+    packed = (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
+    asked = np.arange(0, 6000, 300)
+    truth = [set(np.argsort(-np.where(ids == i, -np.inf, x.astype(float) @ x[i].astype(float)))[:20]) for i in asked]
+    for residual, least in ((np.zeros(6000), 0.9), (q.residual(x.astype(np.float64), codes), 1.0)):  # without and with the bound
+        a, b, _ = vectors.scan(x[asked], asked, x, ids, ids, packed, residual, q, 20, 300)
+        assert np.mean([len(t & set(b[a == k])) / 20 for k, t in enumerate(truth)]) >= least
 
 
 def test_no_neighbour_is_lost_in_a_group_of_near_equal_vectors():
@@ -311,11 +336,11 @@ def test_no_neighbour_is_lost_in_a_group_of_near_equal_vectors():
     residual = np.concatenate([q.residual(x[i : i + 2048].astype(np.float64), codes[i : i + 2048]) for i in range(0, len(x), 2048)])
     packed = (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
     asked = np.array([0, 17, 4000, 6000, 9000])
-    a, b, _ = vectors.scan(x[asked], asked, x, ids, packed, residual, q, 20, 1600)
-    for one in asked:
+    a, b, _ = vectors.scan(x[asked], asked, x, ids, ids, packed, residual, q, 20, 1600)
+    for place, one in enumerate(asked):
         s = x.astype(np.float64) @ x[one].astype(np.float64)
         s[one] = -np.inf
-        assert set(b[a == one]) == set(np.argsort(-s)[:20])
+        assert set(b[a == place]) == set(np.argsort(-s)[:20])
 
 
 def test_anisotropic_loss_falls():
