@@ -25,18 +25,25 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_foreign_events(spark: SparkSession, folder: str) -> DataFrame:
-    """A file set of unknown origin under dt=*: the day within the files counts, whatever the directories say.
+    """A file set of unknown origin under dt=*: the day within the files counts, whatever the directories say."""
+    try:
+        return conform(spark.read.schema(EVENT_SCHEMA).parquet(f"{folder.rstrip('/')}/dt=*/*.parquet"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return empty_events(spark)
+        raise
 
-    Files of other names, or of directories that are no days, are left out.
-    """
+
+def read_shared_events(spark: SparkSession, folder: str) -> DataFrame:
+    """A file set that others write to: only files of plain names in directories that are days are read."""
     try:
-        found = spark.read.schema(EVENT_SCHEMA).parquet(f"{folder.rstrip('/')}/dt=*/*.parquet")
-        fine = [f for f in found.inputFiles() if valid_key(unquote(f))]
-        return conform(spark.read.schema(EVENT_SCHEMA).parquet(*fine)) if fine else empty_events(spark)
+        found = spark.read.schema(EVENT_SCHEMA).parquet(f"{folder.rstrip('/')}/dt=*/*.parquet").inputFiles()
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return empty_events(spark)
         raise
+    fine = [f for f in found if valid_key(unquote(f))]
+    return conform(spark.read.schema(EVENT_SCHEMA).parquet(*fine)) if fine else empty_events(spark)
 
 
 _KEY = re.compile(r"(?:^|/)dt=(\d{4}-\d{2}-\d{2})/[A-Za-z0-9._-]+\.parquet$")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sparktrail.functions import normalize, scalars
+from sparktrail.functions import desktop, normalize, scalars
 from sparktrail.operators import billing, folds, resolution
 from sparktrail.schema import COLUMNS, EVENT_SCHEMA, conform, empty_events, required
 from sparktrail.sources import events as tables
@@ -273,11 +273,12 @@ def test_only_queries(spark):
             ingest.run_query(spark, text)
 
 
-def test_foreign_files_need_plain_names(spark, tmp_path):
+def test_shared_files_need_plain_names(spark, tmp_path):
     folder = str(tmp_path / "set")
     for name in ("dt=2024-01-02", "dt=2024-13-02", "dt=_schema"):
         events(spark, {"event_id": name}).coalesce(1).write.parquet(f"{folder}/{name}")
-    assert [r["event_id"] for r in tables.read_foreign_events(spark, folder).collect()] == ["dt=2024-01-02"]
+    assert [r["event_id"] for r in tables.read_shared_events(spark, folder).collect()] == ["dt=2024-01-02"]
+    assert tables.read_shared_events(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_pages_continue_from_the_cursor(spark):
@@ -314,3 +315,38 @@ def test_login_evidence_of_transcripts_and_diagnostics(spark):
     logs = spark.createDataFrame([(k, 7, "t", b) for k, b in enumerate(bodies)], "id long, ts long, thread_id string, body string")
     got = [tuple(r) for r in billing.diagnostics_evidence(logs, -1).select("id", "ts", "kind", "subscribed", "route").orderBy("id").collect()]
     assert got == [(0, 7000, "request", True, "unknown"), (1, 7000, "turn", False, "api_key")]
+
+
+def test_desktop_conversations(spark):
+    uid = lambda k: f"00000000-0000-0000-0000-{k:012d}"
+    words = lambda t: [{"type": "text", "text": t}, {"type": "image"}]
+    messages = [
+        {"uuid": uid(1), "sender": "human", "created_at": "2024-01-02T00:00:00Z", "content": words("abcde")},
+        {"uuid": uid(2), "sender": "assistant", "stop_reason": "end", "created_at": "2024-01-02T00:00:01Z", "parent_message_uuid": uid(1), "content": words("é")},
+        {"uuid": uid(3), "sender": "assistant", "created_at": "2024-01-02T00:00:02Z", "content": words("not done")},
+        {"uuid": "x", "sender": "human", "created_at": "2024-01-02T00:00:03Z"},
+        {"uuid": uid(4), "sender": "human", "created_at": "2024-01-02T00:00:04Z", "attachedFolders": ["/secret"]},
+    ]
+    tree = lambda sid, m, product="hub": json.dumps({"product": product, "conversationUuid": sid, "tree": {"kind": "hub_transcript", "conversationUuid": sid, "messages": m}})
+    bodies = [tree(uid(9), messages), tree(uid(9), messages), tree(uid(8), messages[:2]), tree(uid(7), messages, "other"), "{broken"]
+    raw = spark.createDataFrame([(b,) for b in bodies], "body string")
+    out = desktop.conversations(raw, "h", spark.createDataFrame([(uid(8),), (uid(9),)], "session_id string"))
+    got = [(r["session_id"][-1], r["event_type"], (r["turn_id"] or "")[-1:], r["estimated_input_tokens"], r["estimated_output_tokens"]) for r in out.collect()]
+    one = lambda s: [(s, "message.received", "1", None, None), (s, "message.tokens.estimated", "1", 2, None), (s, "message.tokens.estimated", "1", None, 1), (s, "turn", "1", None, None)]
+    want = [*one("9"), ("9", "turn", "4", None, None), ("9", desktop.FOLDER, "4", None, None), *one("8"), ("8", desktop.FOLDER, "1", None, None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and "secret" not in str(out.collect())
+    seen = lambda org, model="claude-x", source="server_model_change": json.dumps({"version": 1, "conversationUuid": uid(9), "messageUuid": uid(2), "orgUuid": org, "model": model, "modelSource": source})
+    raw = spark.createDataFrame([(b,) for b in (seen("o"), seen("o"), seen("p"), seen("o", "gpt"), seen("o", source="guess"))], "body string")
+    models = desktop.response_models(raw, spark.createDataFrame([(uid(9), "o")], "session_id string, org_id string"), out, "h").collect()
+    assert [(r["event_type"], r["model"], r["correlation_key"]) for r in models] == [("message.model.server_model_change", "claude-x", uid(2))]
+
+
+def test_completed_responses(spark):
+    uid = lambda k: f"00000000-0000-0000-0000-{k:012d}"
+    user = lambda k, content: json.dumps({"uuid": k, "message": {"role": "user", "content": content}})
+    usage = {"input_tokens": 3, "output_tokens": 4, "cache_read_input_tokens": -1}
+    said = lambda id_, use=usage, **more: json.dumps({"uuid": uid(5), "timestamp": "2024-01-02T00:00:00Z", "message": {"role": "assistant", "id": id_, "model": "claude-x", "stop_reason": "end", "usage": use, "content": [{"type": "text", "text": "hi"}]} | more})
+    lines = [user(uid(1), "hello"), user(uid(2), [{"type": "tool_result"}]), said("a", usage | {"output_tokens": 1}), said("a"), said("b", {"input_tokens": 0, "output_tokens": 0}), said("c", stop_reason=None), said("d", model="gpt"), user("odd", "again"), said("e")]
+    rows = spark.createDataFrame([("f", "s", k, x) for k, x in enumerate(lines)], "file string, session_id string, line_no int, line string")
+    got = {r["response_id"]: (r["output_tokens"], r["cache_read_tokens"], r["user_message_uuid"], r["text"]) for r in desktop.completed_responses(rows).collect()}
+    assert got == {"a": (4, None, uid(1), "hi"), "e": (4, None, None, "hi")}
