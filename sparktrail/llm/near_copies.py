@@ -1,6 +1,6 @@
 """Near copies by the Jaccard similarity of word shingles: wide SimHash, multi-index hashing, exact verification.
 
-The fingerprint is cut into segments. Two documents are a match if some segment differs in one bit at most and the complete
+The fingerprint is cut into segments. Two documents are a match if some segment differs in one bit at most and the
 fingerprints in no more than a pair of the wanted similarity may. Of a segment that differs in one bit, one half is the same
 in both: fingerprints are dealt by half segments, and a task enumerates the Hamming ball of the other half, fetches what the
 table holds there and compares whole fingerprints. Chains of matches are groups; within a group shingle sets are compared
@@ -37,7 +37,10 @@ _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder
 
 @dataclass(frozen=True)
 class Layout:
-    """Fingerprints of `bits`, cut into segments of `segment` bits, that match at a distance of `distance` at most."""
+    """Fingerprints of `bits`, cut into segments of `segment` bits, that match if their first `compared` bits differ in
+    `distance` at most. Those bits are all of a fingerprint of up to 256, and enough to tell texts apart of a longer one,
+    whose segments only serve to find it: what a row carries doesn't grow.
+    """
 
     bits: int
     segment: int
@@ -47,6 +50,10 @@ class Layout:
     def segments(self) -> int:
         return self.bits // self.segment
 
+    @property
+    def compared(self) -> int:
+        return min(self.bits, 256)
+
     @property
     def half(self) -> int:
         return self.segment // 2
@@ -63,7 +70,8 @@ def layout(documents: int, similarity: float) -> Layout:
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     hit = (1 - p) ** segment + segment * p * (1 - p) ** (segment - 1)
     bits = -(-math.ceil(math.log(MISS) / math.log1p(-hit)) * segment // 64) * 64
-    return Layout(bits, segment, math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p))))
+    compared = min(bits, 256)
+    return Layout(bits, segment, math.ceil(compared * p + 4 * math.sqrt(compared * p * (1 - p))))
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,10 +153,11 @@ def _halves(batches: Iterator[pa.RecordBatch], x: Layout) -> Iterator[pa.RecordB
     for batch in batches:
         for i in range(0, batch.num_rows, 2048):
             part = batch.slice(i, 2048)
-            codes = _codes(_matrix(part.column(1), x.bits), x)
+            whole = _matrix(part.column(1), x.bits)
+            codes, carried = _codes(whole, x), np.ascontiguousarray(whole[:, : x.compared // 64])
             at = pa.array(np.repeat(np.arange(part.num_rows), codes.shape[1]))
             flat = codes.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(flat >> x.half), pa.array(flat), part.column(0).take(at), part.column(1).take(at)], ["key", "code", "node", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat >> x.half), pa.array(flat), part.column(0).take(at), pa.array([r.tobytes() for r in carried], pa.binary()).take(at)], ["key", "code", "node", "fp"])
 
 
 def _bucket_keys(batches: Iterator[pa.RecordBatch], x: Layout) -> Iterator[pa.RecordBatch]:
@@ -166,7 +175,7 @@ class _Matches:
         self.x, self.left, self.right, self.held = x, [], [], 0
 
     def _compare(self, a_fp: np.ndarray, a: np.ndarray, b_fp: np.ndarray, b: np.ndarray, low: np.ndarray, size: np.ndarray) -> None:
-        """Complete distances of lookups a to the `size` table rows from `low` on."""
+        """Distances of lookups a to the `size` table rows from `low` on."""
         some = np.flatnonzero(size > 0)
         low, size, a, a_fp = low[some], size[some], a[some], a_fp[some]
         ends, i = np.cumsum(size), 0
@@ -226,7 +235,7 @@ def _matched(batches: Iterator[pa.RecordBatch], x: Layout) -> Iterator[pa.Record
     last = None  # the table that lookups refer to, by the number of rows it was made from
     for batch in batches:
         key, code, node = (np.asarray(batch.column(k)) for k in range(3))
-        fp = _matrix(batch.column(3), x.bits)
+        fp = _matrix(batch.column(3), x.compared)
         own = ~np.asarray(batch.column(4).cast(pa.int8())).astype(bool)
         if own.any():
             if rows > TABLE_ROWS:  # all but the key at hand are complete

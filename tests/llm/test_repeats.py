@@ -184,6 +184,19 @@ def test_layouts_miss_one_of_a_hundred_pairs_at_most(documents):
     assert (1 - hit) ** x.segments <= 0.01 and x.bits % 64 == 0 and x.segments < 256
 
 
+def test_long_fingerprints_carry_256_bits(spark):
+    x = near_copies.Layout(320, 20, 3)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 256, (3, 40), np.uint8)
+    near, far = base.copy(), base.copy()
+    near[:, 3] ^= 1  # within the bits that are compared
+    near[:, 39] ^= 255  # beyond them
+    far[:, 5:9] ^= 0x55
+    fps = [r.tobytes() for r in np.concatenate([base, near, far])]
+    found = {tuple(sorted((r["a"], r["b"]))) for r in near_copies.matches(spark.createDataFrame(list(enumerate(fps)), "node long, fp binary"), x).collect()}
+    assert found == {(0, 3), (1, 4), (2, 5)}
+
+
 def test_every_close_pair_of_fingerprints_is_matched(spark):
     rng = np.random.default_rng(4)
     x = near_copies.Layout(64, 16, 6)
