@@ -115,7 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = 8000) -> tuple[np.ndarr
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = 8000) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document; null and empty texts get the score of no features."""
+    """(doc_id, held_out, score, predicted) of every document; null and empty texts get the score of no features.
+
+    A repeated row is scored each time; it counts once in training. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

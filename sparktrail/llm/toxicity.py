@@ -282,7 +282,8 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[n
 def toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """All columns of docs, and toxic_score, toxic_predicted (0/1), toxic_passages array<struct<start, end, evidence>>.
 
-    Passages are byte ranges of the text. Null and empty texts have no passages and the score of no evidence.
+    Passages are byte ranges of the text. Null and empty texts have no passages and the score of no evidence. A repeated
+    row is scored each time; it counts once in training. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the training sample
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())]))
