@@ -77,17 +77,20 @@ def fingerprints(texts: DataFrame, secret: bytes) -> DataFrame:
     return texts.withColumn("fingerprint", digest("text"))
 
 
-def link_devices(left: DataFrame, right: DataFrame, rules: list[tuple[str, list[Column], bool]]) -> DataFrame:
+Rule = tuple[str, list[Column] | tuple[list[Column], list[Column]], bool]
+
+
+def link_devices(left: DataFrame, right: DataFrame, rules: list[Rule]) -> DataFrame:
     """(left_id, right_id, rule): the same observations under the ids of two devices.
 
-    Rules apply in order, each to what is still unmatched: (name, key columns, unique). Rows of equal keys are paired in
-    the order of ts and id, so that repeated observations keep their number; a unique rule only takes keys that are
-    found once on either side. A null in a key matches nothing.
+    Rules apply in order, each to what is still unmatched: (name, key columns, unique); the key may be a pair, of the left
+    and of the right side. Rows of equal keys are paired in the order of ts and id, so that repeated observations keep
+    their number; a unique rule only takes keys that are found once on either side. A null in a key matches nothing.
     """
     found = None
     for name, key, unique in rules:
         sides = []
-        for df, id_ in ((left, "left_id"), (right, "right_id")):
+        for df, id_, key in ((left, "left_id", key[0] if isinstance(key, tuple) else key), (right, "right_id", key[1] if isinstance(key, tuple) else key)):
             whole = F.to_json(F.struct(*(c.alias(f"k{k}") for k, c in enumerate(key))))
             known = F.lit(True)
             for c in key:
@@ -102,6 +105,40 @@ def link_devices(left: DataFrame, right: DataFrame, rules: list[tuple[str, list[
     return found
 
 
+#: What one observation may have differently on two devices (fixed values).
+OWN_COLUMNS = ("event_id", "host_id", "client", "user_id", "org_id", "team_id", "user_id_source", "redaction_applied")
+
+
+def device_rules(columns: list[str]) -> list[Rule]:
+    """The rules by which one person's history on an older device is found again in imported files, the surest first.
+
+    Left: rows of imported logs; right: rows observed before. All columns but a device's own; then records of the second
+    agent whose model and effort weren't known at the time; then the first agent's calls by their ids, hooks before the log
+    export; then its requests by model and counters, where a session has them once.
+    """
+
+    def observed(*excluded: str) -> Column:
+        # null fields are left out of the text, so that unknown columns don't count
+        same = F.to_json(F.struct(*(F.col(c) for c in sorted(columns) if c not in (*OWN_COLUMNS, *excluded))))
+        return F.when(F.col("session_id").isNotNull(), same)
+
+    def of(source: str, kinds: list[str], *key: str) -> list[Column]:
+        meant = (F.col("agent") == "claude-code") & (F.col("source") == source) & F.col("event_type").isin(kinds) & F.col("session_id").isNotNull()
+        return [F.when(meant, F.col("session_id")), *(F.col(c) for c in key)]
+
+    codex = (F.col("agent") == "codex") & (F.col("source") == "log") & F.col("event_type").isin("turn", "api.request")
+    calls = ["tool.call", "tool.result", "subagent.stop"]
+    by_id = lambda source: of(source, calls, "event_type", "correlation_key")
+    cached = [F.coalesce(c, F.lit(-1)) for c in ("cache_read_tokens", "cache_write_tokens")]
+    by_usage = lambda source: [*of(source, ["api.request"], "model", "input_tokens", "output_tokens"), *cached]
+    return [
+        ("same observation", [observed()], False),
+        ("same record, other context", [F.when(codex, observed("model", "effort"))], False),
+        *((f"same operation id, {source}", (by_id("log"), by_id(source)), True) for source in ("hook", "otel")),
+        ("unique model and usage", (by_usage("log"), by_usage("otel")), True),
+    ]
+
+
 def client_registry(files: DataFrame) -> DataFrame:
     """(host_id, session_id, client) from (host_id, session_id, file, line_no, client): each file's first known client, joined in order."""
     first = files.filter("client is not null").groupBy("host_id", "session_id", "file").agg(F.min_by("client", "line_no").alias("client"))

@@ -36,6 +36,14 @@ def session_files(spark: SparkSession, folder: str, files_at_once: int = 100) ->
     return texts.select("file", F.posexplode("lines").alias("line_no", "line")).filter("line <> ''")
 
 
+def settled(files: DataFrame, now_ms: int, quiet_ms: int = 60_000, most_ms: int = 600_000) -> DataFrame:
+    """Of (file, modified_ms, waiting_since_ms), those to be read now: untouched for a minute, or waited for ten.
+
+    Session files are read after the exports that they complete, so a file that still grows waits, but not for ever.
+    """
+    return files.filter((now_ms - F.col("modified_ms") >= quiet_ms) | (now_ms - F.col("waiting_since_ms") >= most_ms))
+
+
 def writer(events_folder: str, normalise: Normaliser, rejects_folder: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: normalise, check, append. Bodies that aren't JSON go to the rejects."""
 

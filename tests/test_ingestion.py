@@ -350,3 +350,19 @@ def test_completed_responses(spark):
     rows = spark.createDataFrame([("f", "s", k, x) for k, x in enumerate(lines)], "file string, session_id string, line_no int, line string")
     got = {r["response_id"]: (r["output_tokens"], r["cache_read_tokens"], r["user_message_uuid"], r["text"]) for r in desktop.completed_responses(rows).collect()}
     assert got == {"a": (4, None, uid(1), "hi"), "e": (4, None, None, "hi")}
+
+
+def test_rules_for_a_history_from_another_device(spark):
+    call = {"agent": "claude-code", "session_id": "s", "event_type": "tool.call", "correlation_key": "t1", "ts": 5}
+    api = {"agent": "claude-code", "session_id": "s", "event_type": "api.request", "model": "m", "input_tokens": 1, "output_tokens": 2}
+    codex = {"session_id": "c", "agent": "codex", "source": "log", "event_type": "turn", "ts": 9}
+    new = events(spark, call | {"event_id": "l1", "source": "log"}, api | {"event_id": "l2", "source": "log", "ts": 7}, codex | {"event_id": "l3", "model": "x"}, {"event_id": "l4", "session_id": "s", "source": "log", "event_type": "turn", "ts": 1}, {"event_id": "l5", "session_id": None, "source": "log"})
+    old = events(spark, call | {"event_id": "r1", "source": "hook", "ts": 6}, api | {"event_id": "r2", "source": "otel"}, codex | {"event_id": "r3", "host_id": "other"}, {"event_id": "r4", "host_id": "other", "user_id": "u", "session_id": "s", "source": "log", "event_type": "turn", "ts": 1}, {"event_id": "r5", "session_id": None, "source": "log"})
+    found = {(r["left_id"], r["right_id"]): r["rule"] for r in resolution.link_devices(new, old, resolution.device_rules(COLUMNS)).collect()}
+    assert found == {("l4", "r4"): "same observation", ("l3", "r3"): "same record, other context", ("l1", "r1"): "same operation id, hook", ("l2", "r2"): "unique model and usage"}
+
+
+def test_files_settle(spark):
+    files = spark.createDataFrame([("quiet", 0, 0), ("busy", 99_000, 90_000), ("late", 699_000, 0)], "file string, modified_ms long, waiting_since_ms long")
+    assert [r["file"] for r in ingest.settled(files, 100_000).collect()] == ["quiet"]
+    assert {r["file"] for r in ingest.settled(files, 700_000).collect()} == {"quiet", "busy", "late"}
