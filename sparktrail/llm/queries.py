@@ -77,6 +77,35 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def _looped(doc_id: int | None, n: int):
+    """The places of a document's words where every tenth document gets a periodic tail (null ids: none)."""
+    import zlib
+
+    import numpy as np
+
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    at = np.arange(n)
+    at[a:] = a + (at[a:] - a) % (1 + (n - a) // (3 + g % 8))
+    return at
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import periodic_runs
+
+    out = periodic_runs(_table(spark, sf_dir, "documents"), least=24, times=3, rewrite=_looped)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -89,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_phrases": op8_phrases,
         "op9_classifier": op9_classifier,
         "op10_vectors": op10_vectors,
+        "op13_periodic": op13_periodic,
     }
 
 
