@@ -77,6 +77,17 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+#: The rules that op12's contract names.
+URL_RULES = "allow org/, block example.org/es/, block example.org/en/1, allow com/fr/, block com/de/"
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import filter_urls, rules
+
+    out = filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules(URL_RULES))
+    return out.select("page.page_id", "host", "path", "rule", "verdict", "score")
+
+
 def _looped(doc_id: int | None, n: int):
     """The places of a document's words where every tenth document gets a periodic tail (null ids: none)."""
     import zlib
@@ -118,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_phrases": op8_phrases,
         "op9_classifier": op9_classifier,
         "op10_vectors": op10_vectors,
+        "op12_url_filters": op12_url_filters,
         "op13_periodic": op13_periodic,
     }
 
