@@ -77,6 +77,12 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import count_words, group_variants
+
+    return group_variants(count_words(_table(spark, sf_dir, "documents"), drop_every=199))
+
+
 #: The rules that op12's contract names.
 URL_RULES = "allow org/, block example.org/es/, block example.org/en/1, allow com/fr/, block com/de/"
 
@@ -129,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_phrases": op8_phrases,
         "op9_classifier": op9_classifier,
         "op10_vectors": op10_vectors,
+        "op11_spelling": op11_spelling,
         "op12_url_filters": op12_url_filters,
         "op13_periodic": op13_periodic,
     }
