@@ -73,14 +73,17 @@ def mix(docs: DataFrame, weights: Column | None = None, max_epochs: int = 3, car
 def mixed_documents(docs: DataFrame, weights: Column | None = None, max_epochs: int = 3) -> DataFrame:
     """The mix as rows of docs: a row per whole time that a document is taken, and one with its first words at the cut.
 
-    The text at a cut is those words joined by one space; n_chars, where it exists, is then counted anew.
+    The text at a cut is those words joined by one space; n_chars, where it exists, is then counted anew. Null texts and
+    those without words are never taken; a null source is a source of its own; each of several equal rows is taken for
+    itself; an empty table gives no rows. Other columns come through unchanged, whatever their names.
     """
     out = mix(docs, weights, max_epochs, carry=True).filter("taken > 0")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    out = out.select("document", "size", "taken", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("copy"))
     left = F.col("taken") - (F.col("copy") - 1) * F.col("size")
     some = F.split(F.regexp_replace("document.text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    text = F.when(left >= F.col("size"), F.col("document.text")).otherwise(F.array_join(F.slice(some, F.lit(1), F.greatest(left, F.lit(1)).cast("int")), " "))
-    out = out.select(*(text.alias(c) if c == "text" else F.col(f"document.`{c}`") for c in docs.columns), (left < F.col("size")).alias("__cut"))
+    begin = F.when(left < F.col("size"), F.array_join(F.slice(some, F.lit(1), F.greatest(left, F.lit(1)).cast("int")), " "))
+    out = out.select("document", begin.alias("begin"))
+    new = {"text": F.coalesce("begin", "document.text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__cut"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.drop("__cut")
+        new["n_chars"] = F.when(F.col("begin").isNotNull(), F.char_length("begin").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("document.n_chars"))
+    return out.select(*(new.get(c, F.col("document").getField(c)).alias(c) for c in docs.columns))

@@ -135,6 +135,7 @@ def remove_phrases(docs: DataFrame, length: int = 20, gram: int = 6) -> DataFram
 
     Earlier: in a smaller doc_id (null last, equal ones by row), or before in the same row. spans: removed word ranges;
     kept: the remaining words joined by one space, null where nothing was removed. A null text has no words.
+    An empty table gives no rows.
     """
     w = Windows(length, gram, True)
     rows, _ = with_rows(docs.select("doc_id", "text"))

@@ -116,7 +116,11 @@ def _judged(stats: DataFrame, min_words: int = 20, max_repeat_percent: int = 30,
 
 
 def without_frequent_lines(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The kept documents with their frequent lines taken out of `text`; all other columns as they were."""
+    """The kept documents with their frequent lines taken out of `text`; all other columns as they were.
+
+    Null and empty texts fail the base rules and go; repeated rows count and are judged each time; a null host is a host of
+    its own; an empty table gives no rows.
+    """
     stored = numbered(docs)
     rows = stored.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc").getField(host).cast("string").alias("host"), F.col("doc.text").cast("string").alias("text"))
     verdicts = _judged(materialize(_statistics_of(rows), "line-statistics"), **limits).filter("kept").select("row", "frequent")

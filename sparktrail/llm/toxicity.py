@@ -280,7 +280,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[n
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """All columns of docs, and toxic_score, toxic_predicted (0/1), toxic_passages array<struct<start, end, evidence>>.
+    """All columns of docs but any of these names, and toxic_score, toxic_predicted (0/1), toxic_passages array<struct<start, end, evidence>>.
 
     Passages are byte ranges of the text. Null and empty texts have no passages and the score of no evidence. A repeated
     row is scored each time; it counts once in training. An empty table gives no rows.
@@ -312,5 +312,10 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(doc_id, held_out, score, predicted, passages) of every document, learned from labels.toxic of those not held out.
+
+    Null and empty texts get the score of no evidence, null ids aren't held out, a repeated row is scored each time, an
+    empty table gives no rows. Of docs only doc_id and text are read.
+    """
     out = toxicity(docs.select("doc_id", "text"), fit(docs, labels), threshold)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"), F.size("toxic_passages").alias("passages"))
