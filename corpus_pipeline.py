@@ -19,9 +19,14 @@ from sparktrail.llm.toxicity import fit, toxicity
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is predicted go; the model learns from the labelled documents among docs."""
+    """Documents whose toxicity is predicted go; the model learns from the labelled documents among docs.
+
+    The other columns travel in a struct beside the text, so that no name of theirs is taken for one of the scores.
+    """
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity(docs, model).filter("toxic_predicted = 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")
+    kept = toxicity(docs.select(rest, "text"), model).filter("toxic_predicted = 0")
+    return kept.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
