@@ -6,11 +6,12 @@ tools are never read, as the schemas of the JSON parsers don't have them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktrail.schema import conform
 
+from .carry import Carried, Carry, by_windows
 from .columns import day_of
 from .scalars import event_id, folder_hash, mcp_server, mcp_tool, tool_kind
 
@@ -127,91 +128,141 @@ _LINE = (
 _CONTENT = "array<struct<type: string, id: string, name: string, input: struct<skill: string>, tool_use_id: string, is_error: boolean>>"
 
 
-def transcripts(lines: DataFrame, host: str) -> DataFrame:
-    """Events of session log files: rows (file, line_no, line), any number of files.
+_MADE = (
+    "event_type string, key string, ts long, session_id string, agent_version string, cwd string, agent_id string, turn_id string, model string, provider string, effort string, "
+    "input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, reasoning_tokens long, tool_name string, skill_name string, "
+    "correlation_key string, correlation_confidence string, success boolean, duration_ms long, configured_skills string"
+)
+_MADE_TYPES = dict(x.split() for x in _MADE.split(", "))
 
-    State that a line-by-line reader would carry is windows over a file: the current turn is the last prompt's, a request
-    counts at its first line, and a result finds its call by id. A file ends with session.end, or subagent.stop if it is
-    a subagent's, which carries the last list of skills that was shown.
-    """
-    x = lines.withColumn("j", F.from_json("line", _LINE)).select("file", "line_no", "j.*").withColumn("ts", millis(F.col("timestamp")))
-    x = x.withColumn("parts", F.from_json("message.content", _CONTENT))
-    order = Window.partitionBy("file").orderBy("line_no")
-    prompt = (F.col("type") == "user") & ~F.coalesce("isMeta", F.lit(False)) & ~F.coalesce("isCompactSummary", F.lit(False)) & ~F.coalesce(F.exists("parts", lambda p: p["type"] == "tool_result"), F.lit(False))
-    turn = F.last(F.when(prompt, F.coalesce("promptId", "uuid")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    x = x.withColumns({"prompt": F.coalesce(prompt, F.lit(False)), "turn": turn})
-    base = {"host_id": F.lit(host), "agent": F.lit("claude-code"), "source": F.lit("log"), "session_id": F.col("sessionId"), "agent_version": F.col("version"), "cwd_hash": folder_hash(F.col("cwd")), "agent_id": F.col("agentId"), "query_source": F.when(F.col("agentId").isNotNull(), "subagent").otherwise("main"), "turn_id": F.col("turn"), "ts": F.col("ts"), "dt": day_of(F.col("ts"))}
 
-    def events(rows: DataFrame, kind: str, key: Column, **more: Column) -> DataFrame:
-        return conform(rows, **(base | {"event_type": F.lit(kind), "event_id": event_id(F.lit(host), F.lit("log"), F.lit(kind), key)} | more))
+def _made(kind: str | Column, key: Column, when: Column | None = None, **fields: Column) -> Column:
+    """An event as a struct of _MADE; null where `when` doesn't hold."""
+    values = fields | {"event_type": F.lit(kind) if isinstance(kind, str) else kind, "key": key}
+    whole = F.struct(*(values.get(c, F.lit(None)).cast(t).alias(c) for c, t in _MADE_TYPES.items()))
+    return whole if when is None else F.when(when, whole)
 
+
+def _transcript_facts(lines: DataFrame) -> DataFrame:
+    """What single lines of session files say: (file, line_no, line) with their fields."""
+    x = lines.withColumn("j", F.from_json("line", _LINE)).select(*lines.columns, "j.*").withColumn("ts", millis(F.col("timestamp")))
+    x = x.withColumn("parts", F.from_json("message.content", _CONTENT))
+    no = F.lit(False)
+    prompt = (F.col("type") == "user") & ~F.coalesce("isMeta", no) & ~F.coalesce("isCompactSummary", no) & ~F.coalesce(F.exists("parts", lambda p: p["type"] == "tool_result"), no)
+    asked = (F.col("type") == "assistant") & F.col("message.usage").isNotNull() & F.col("ts").isNotNull() & ~F.coalesce("isApiErrorMessage", no)
+    listed = F.coalesce("attachment.names", "attachment.addedNames")
+    timed = lambda kind: F.when(F.col("ts").isNotNull(), F.filter("parts", lambda p: p["type"] == kind))
+    x = x.withColumns({"prompt": F.coalesce(prompt, no), "calls": timed("tool_use"), "results": timed("tool_result")})
+    return x.withColumns(
+        {
+            "prompt_turn": F.when(F.col("prompt"), F.coalesce("promptId", "uuid")),
+            "request": F.when(asked, F.coalesce("requestId", "message.id")),
+            "skills": F.when(F.col("attachment.type") == "skill_listing", F.to_json(F.array_sort(F.array_distinct(listed)))),
+            "defined": F.transform("calls", lambda p: F.struct(p["id"].alias("id"), p["name"].alias("name"), F.col("ts"))),
+            "referred": F.transform("results", lambda p: p["tool_use_id"]),
+        }
+    )
+
+
+#: A line's turn is the last prompt's, a request counts at its first line, a result finds its call by id.
+TRANSCRIPT = Carried(last=("prompt_turn", "skills"), first=("sessionId", "version", "cwd", "agentId"), fresh="request", named=("defined", "referred"))
+
+
+def transcripts(lines: DataFrame, host: str, carry: Carry = by_windows) -> DataFrame:
+    """Events of session log files: rows (file, line_no, line), any number of files, whole ones unless `carry` keeps state.
+
+    A file begins with session.start at its first time, unless it is a subagent's, and ends with session.end or
+    subagent.stop; the former carries the last list of skills that was shown. Each line is read once, however many kinds of
+    events it gives.
+    """
+    spec = TRANSCRIPT
+    x = carry(_transcript_facts(lines), spec)
+    if "type" not in x.columns:  # state hands on the line alone
+        x = _transcript_facts(x)
     own = F.concat_ws("#", "file", F.col("line_no").cast("string"))
-    turns = events(x.filter("prompt and ts is not null"), "turn", F.coalesce("uuid", own))
-    compacted = events(x.filter("isCompactSummary and ts is not null"), "compaction", F.coalesce("uuid", own))
-    seen = Window.partitionBy("file", F.coalesce("requestId", "message.id")).orderBy("line_no")
-    asked = x.filter("type = 'assistant' and message.usage is not null and ts is not null and not coalesce(isApiErrorMessage, false)").withColumn("n", F.row_number().over(seen)).filter("n = 1")
-    u = F.col("message.usage")
-    requests = events(asked, "api.request", F.coalesce("requestId", "message.id", own), model=F.col("message.model"), input_tokens=u["input_tokens"], output_tokens=u["output_tokens"], cache_read_tokens=u["cache_read_input_tokens"], cache_write_tokens=u["cache_creation_input_tokens"], provider=F.lit("anthropic"))
-    failed = events(x.filter("isApiErrorMessage and ts is not null"), "api.error", F.coalesce("uuid", own), model=F.col("message.model"))
-    parts = x.filter("ts is not null").withColumn("p", F.explode("parts"))
-    calls = parts.filter("p.type = 'tool_use'")
-    named = lambda name: {"tool_name": name, "tool_kind": tool_kind(name), "mcp_server": mcp_server(name), "mcp_tool": mcp_tool(name)}
-    tool_calls = events(calls, "tool.call", F.coalesce("p.id", own), correlation_key=F.col("p.id"), correlation_confidence=F.lit("exact"), skill_name=F.when(F.col("p.name") == "Skill", F.col("p.input.skill")), **named(F.col("p.name")))
-    known = calls.groupBy(F.col("file").alias("_f"), F.col("p.id").alias("_id")).agg(F.min_by(F.struct(F.col("p.name").alias("name"), F.col("ts").alias("at")), "line_no").alias("c"))
-    results = parts.filter("p.type = 'tool_result'").join(known, (F.col("file") == F.col("_f")) & (F.col("p.tool_use_id") == F.col("_id")), "left")
-    tool_results = events(results, "tool.result", F.coalesce("p.tool_use_id", own), correlation_key=F.col("p.tool_use_id"), correlation_confidence=F.lit("exact"), success=~F.coalesce("p.is_error", F.lit(False)), duration_ms=F.when(F.col("ts") >= F.col("c.at"), F.col("ts") - F.col("c.at")), **named(F.col("c.name")))
-    names = F.coalesce("attachment.names", "attachment.addedNames")
-    ends = x.filter("ts is not null").groupBy("file").agg(
-        *(F.first(c, ignorenulls=True).alias(c) for c in ("sessionId", "version", "cwd", "agentId")), F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"), F.max_by("turn", "line_no").alias("turn"),
-        F.max_by(names, F.when(F.col("attachment.type") == "skill_listing", F.col("line_no"))).alias("skills"),
+    line = {"ts": F.col("ts"), "session_id": F.col("sessionId"), "agent_version": F.col("version"), "cwd": F.col("cwd"), "agent_id": F.col("agentId"), "turn_id": F.col("last_prompt_turn")}
+    whole = {"session_id": F.col("first_sessionId"), "agent_version": F.col("first_version"), "cwd": F.col("first_cwd"), "agent_id": F.col("first_agentId")}
+    timed, main, u = F.col("ts").isNotNull(), F.col("first_agentId").isNull(), F.col("message.usage")
+    no = F.lit(False)
+    ends = F.coalesce("ended", no) & F.col("to_ts").isNotNull()
+    calls = F.transform("calls", lambda p: _made("tool.call", F.coalesce(p["id"], own), correlation_key=p["id"], correlation_confidence=F.lit("exact"), skill_name=F.when(p["name"] == "Skill", p["input"]["skill"]), tool_name=p["name"], **line))
+
+    def result(p: Column) -> Column:
+        call = F.element_at(F.col("known"), p["tool_use_id"])
+        took = F.when(F.col("ts") >= call["ts"], F.col("ts") - call["ts"])
+        return _made("tool.result", F.coalesce(p["tool_use_id"], own), correlation_key=p["tool_use_id"], correlation_confidence=F.lit("exact"), success=~F.coalesce(p["is_error"], no), duration_ms=took, tool_name=call["name"], **line)
+
+    counters = {"input_tokens": u["input_tokens"], "output_tokens": u["output_tokens"], "cache_read_tokens": u["cache_read_input_tokens"], "cache_write_tokens": u["cache_creation_input_tokens"]}
+    single = F.array(
+        _made("session.start", F.col("file"), F.col("begins") & main, **whole | {"ts": F.col("ts")}),
+        _made("turn", F.coalesce("uuid", own), F.col("prompt") & timed, **line),
+        _made("compaction", F.coalesce("uuid", own), F.coalesce("isCompactSummary", no) & timed, **line),
+        _made("api.request", F.col("request"), F.coalesce("fresh", no), model=F.col("message.model"), provider=F.lit("anthropic"), **counters, **line),
+        _made("api.error", F.coalesce("uuid", own), F.coalesce("isApiErrorMessage", no) & timed, model=F.col("message.model"), **line),
+    )
+    last = F.array(
+        _made("session.end", F.col("file"), ends & main, configured_skills=F.col("last_skills"), turn_id=F.col("last_prompt_turn"), **whole | {"ts": F.col("to_ts")}),
+        _made("subagent.stop", F.col("file"), ends & ~main, duration_ms=F.col("to_ts") - F.col("from_ts"), turn_id=F.col("last_prompt_turn"), **whole | {"ts": F.col("to_ts")}),
+    )
+    none = F.array().cast(f"array<struct<{_MADE}>>")
+    made = F.concat(F.array_compact(single), F.coalesce(calls, none), F.coalesce(F.transform("results", result), none), F.array_compact(last))
+    e = x.select(F.explode(made).alias("e")).select("e.*")
+    tool = F.col("tool_name")
+    return conform(
+        e, event_id=event_id(F.lit(host), F.lit("log"), F.col("event_type"), F.col("key")), dt=day_of(F.col("ts")), host_id=F.lit(host), agent=F.lit("claude-code"), source=F.lit("log"), cwd_hash=folder_hash(F.col("cwd")),
+        query_source=F.when(F.col("agent_id").isNotNull(), "subagent").otherwise("main"), tool_kind=tool_kind(tool), mcp_server=mcp_server(tool), mcp_tool=mcp_tool(tool),
     )
-    main = ends.filter("agentId is null").withColumn("ts", F.col("from_ts"))
-    starts = events(main, "session.start", F.col("file"), turn_id=F.lit(None))
-    last = ends.withColumn("ts", F.col("to_ts"))
-    listed = F.when(F.col("skills").isNotNull(), F.to_json(F.array_sort(F.array_distinct("skills"))))
-    stops = events(last.filter("agentId is null"), "session.end", F.col("file"), configured_skills=listed).unionByName(events(last.filter("agentId is not null"), "subagent.stop", F.col("file"), duration_ms=F.col("to_ts") - F.col("from_ts")))
-    out = turns
-    for part in (compacted, requests, failed, tool_calls, tool_results, starts, stops):
-        out = out.unionByName(part)
-    return out
 
 
 _ROLLOUT = "timestamp string, type string, payload string"
 
 
-def rollouts(lines: DataFrame, host: str) -> DataFrame:
-    """Events of the second agent's session files: rows (file, line_no, line).
-
-    Session, model, effort and turn are carried forward within a file; a usage total equal to the one before is no request.
-    """
+def _rollout_facts(lines: DataFrame) -> DataFrame:
     get = lambda k: F.get_json_object("payload", f"$.{k}")
-    x = lines.withColumn("j", F.from_json("line", _ROLLOUT)).select("file", "line_no", "j.*").withColumn("ts", millis(F.col("timestamp"))).filter("ts is not null")
-    order = Window.partitionBy("file").orderBy("line_no")
-    carried = order.rowsBetween(Window.unboundedPreceding, 0)
-    kept = lambda kind, k: F.last(F.when(F.col("type") == kind, get(k)), ignorenulls=True).over(carried)
-    x = x.withColumns({"session_id": kept("session_meta", "id"), "agent_version": kept("session_meta", "cli_version"), "model": kept("turn_context", "model"), "effort": kept("turn_context", "effort"), "turn_id": kept("turn_context", "turn_id"), "event": F.when(F.col("type") == "event_msg", get("type"))})
-    total = F.when(F.col("event") == "token_count", get("info.total_token_usage"))
-    before = F.last(total, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    x = x.withColumns({"total": total, "before": before})
-    own = F.concat_ws("#", "file", F.col("line_no").cast("string"))
-    base = {"host_id": F.lit(host), "agent": F.lit("codex"), "source": F.lit("log"), "dt": day_of(F.col("ts")), "provider": F.lit("openai")}
+    x = lines.withColumn("j", F.from_json("line", _ROLLOUT)).select(*lines.columns, "j.*").withColumn("ts", millis(F.col("timestamp")))
+    said = lambda kind, k: F.when((F.col("type") == kind) & F.col("ts").isNotNull(), get(k))
+    event = F.when((F.col("type") == "event_msg") & F.col("ts").isNotNull(), get("type"))
+    return x.withColumns(
+        {
+            "event": event, "session": said("session_meta", "id"), "cli": said("session_meta", "cli_version"), "named_model": said("turn_context", "model"), "named_effort": said("turn_context", "effort"),
+            "turn": said("turn_context", "turn_id"), "usage": F.when(event == "token_count", get("info.total_token_usage")),
+        }
+    )
+
+
+#: Session, model, effort and turn hold until they are said anew; a usage total is compared with the one before.
+ROLLOUT = Carried(last=("session", "cli", "named_model", "named_effort", "turn"), previous=("usage",))
+
 
-    def events(rows: DataFrame, kind: str, **more: Column) -> DataFrame:
-        return conform(rows, **(base | {"event_type": F.lit(kind), "event_id": event_id(F.lit(host), F.lit("log"), F.lit(kind), own)} | more))
+def rollouts(lines: DataFrame, host: str, carry: Carry = by_windows) -> DataFrame:
+    """Events of the second agent's session files: rows (file, line_no, line), whole files unless `carry` keeps state.
 
+    A usage total equal to the one before is no request. Lines without a time don't count.
+    """
+    x = carry(_rollout_facts(lines), ROLLOUT)
+    if "type" not in x.columns:
+        x = _rollout_facts(x)
+    get = lambda k: F.get_json_object("payload", f"$.{k}")
     n = lambda k: get(f"info.last_token_usage.{k}").try_cast("bigint")
-    used = x.filter("total is not null and not (total <=> before)")
-    out = events(x.filter("type = 'session_meta'"), "session.start").unionByName(events(x.filter("event = 'task_started'"), "turn"))
-    out = out.unionByName(events(used, "api.request", input_tokens=n("input_tokens"), output_tokens=n("output_tokens"), cache_read_tokens=n("cached_input_tokens"), reasoning_tokens=n("reasoning_output_tokens")))
-    done = x.filter("event = 'item_completed'").withColumns({"tool": F.coalesce(get("item.tool"), F.when(get("item.command").isNotNull(), "shell")), "server": get("item.server"), "key": get("item.id"), "code": get("item.exit_code").try_cast("bigint"), "took": get("item.duration_ms").try_cast("bigint")}).filter("tool is not null")
-    name = F.when(F.col("server").isNotNull(), F.concat(F.lit("mcp__"), "server", F.lit("__"), "tool")).otherwise(F.col("tool"))
-    pair = done.withColumn("kind", F.explode(F.array(F.lit("tool.call"), F.lit("tool.result"))))
-    ended = F.col("kind") == "tool.result"
-    tools = conform(
-        pair, **base, event_type=F.col("kind"), event_id=event_id(F.lit(host), F.lit("log"), F.col("kind"), F.coalesce("key", own)), tool_name=name, tool_kind=tool_kind(name, shells=True), mcp_server=mcp_server(name), mcp_tool=mcp_tool(name),
-        correlation_key=F.col("key"), success=F.when(ended, F.col("code") == 0), duration_ms=F.when(ended, F.col("took")),
+    own = F.concat_ws("#", "file", F.col("line_no").cast("string"))
+    line = {"ts": F.col("ts"), "session_id": F.col("last_session"), "agent_version": F.col("last_cli"), "model": F.col("last_named_model"), "effort": F.col("last_named_effort"), "turn_id": F.col("last_turn")}
+    tool = F.coalesce(get("item.tool"), F.when(get("item.command").isNotNull(), "shell"))
+    name = F.when(get("item.server").isNotNull(), F.concat(F.lit("mcp__"), get("item.server"), F.lit("__"), tool)).otherwise(tool)
+    key, done = get("item.id"), (F.col("event") == "item_completed") & tool.isNotNull()
+    used = F.col("usage").isNotNull() & ~F.col("usage").eqNullSafe(F.col("previous_usage"))
+    made = F.array_compact(F.array(
+        _made("session.start", own, (F.col("type") == "session_meta") & F.col("ts").isNotNull(), **line),
+        _made("turn", own, F.col("event") == "task_started", **line),
+        _made("api.request", own, used, input_tokens=n("input_tokens"), output_tokens=n("output_tokens"), cache_read_tokens=n("cached_input_tokens"), reasoning_tokens=n("reasoning_output_tokens"), **line),
+        _made("tool.call", F.coalesce(key, own), done, tool_name=name, correlation_key=key, **line),
+        _made("tool.result", F.coalesce(key, own), done, tool_name=name, correlation_key=key, success=get("item.exit_code").try_cast("bigint") == 0, duration_ms=get("item.duration_ms").try_cast("bigint"), **line),
+    ))
+    e = x.select(F.explode(made).alias("e")).select("e.*")
+    tool = F.col("tool_name")
+    return conform(
+        e, event_id=event_id(F.lit(host), F.lit("log"), F.col("event_type"), F.col("key")), dt=day_of(F.col("ts")), host_id=F.lit(host), agent=F.lit("codex"), source=F.lit("log"), provider=F.lit("openai"),
+        tool_kind=tool_kind(tool, shells=True), mcp_server=mcp_server(tool), mcp_tool=mcp_tool(tool),
     )
-    return out.unionByName(tools)
 
 
 _PLUGIN = "session_id string, response_id string, model string, timestamp_ms long, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long"
