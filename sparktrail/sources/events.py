@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from datetime import date
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +36,15 @@ def read_foreign_events(spark: SparkSession, folder: str) -> DataFrame:
 def read_shared_events(spark: SparkSession, folder: str) -> DataFrame:
     """A file set that others write to: only files of plain names in directories that are days are read."""
     try:
-        found = spark.read.schema(EVENT_SCHEMA).parquet(f"{folder.rstrip('/')}/dt=*/*.parquet").inputFiles()
+        files = spark.read.schema(EVENT_SCHEMA).parquet(f"{folder.rstrip('/')}/dt=*/*.parquet")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return empty_events(spark)
         raise
-    fine = [f for f in found if valid_key(unquote(f))]
-    return conform(spark.read.schema(EVENT_SCHEMA).parquet(*fine)) if fine else empty_events(spark)
+    # the path is asked for in the scan, which leaves out whole files: no list of them comes to the driver
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    day = F.regexp_extract(path, _KEY.pattern, 1)
+    return conform(files.filter((day != "") & F.try_to_date(day).isNotNull() & ~path.rlike(r"(^|/)\.\.(/|$)")))
 
 
 _KEY = re.compile(r"(?:^|/)dt=(\d{4}-\d{2}-\d{2})/[A-Za-z0-9._-]+\.parquet$")
@@ -86,6 +87,10 @@ class Conflict(ValueError):
     """A replay that differs from what was recorded."""
 
 
+def differing(new: dict, old: dict) -> list[str]:
+    return [c for c in COLUMNS if new[c] != old[c]]
+
+
 def checked_inserts(events: DataFrame, existing: DataFrame) -> DataFrame:
     """New events; an identical replay adds nothing, one that differs is an error that names the fields."""
     once = events.dropDuplicates(COLUMNS)

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sparktrail.functions import normalize
 from sparktrail.schema import required
 from sparktrail.sources.events import checked_inserts, read_events, write_events
+from sparktrail.sources.identity import IdIndex
 
 Normaliser = Callable[[DataFrame], DataFrame]
 
@@ -44,8 +45,14 @@ def settled(files: DataFrame, now_ms: int, quiet_ms: int = 60_000, most_ms: int
     return files.filter((now_ms - F.col("modified_ms") >= quiet_ms) | (now_ms - F.col("waiting_since_ms") >= most_ms))
 
 
-def writer(events_folder: str, normalise: Normaliser, rejects_folder: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: normalise, check, append. Bodies that aren't JSON go to the rejects."""
+def writer(events_folder: str, normalise: Normaliser, rejects_folder: str | None = None, ids_folder: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: normalise, check, append. Bodies that aren't JSON go to the rejects.
+
+    A batch is compared with the days that it touches, and with the index of ids for all others. Events are written before
+    their ids: a batch that failed in between comes again, finds its rows in its days, and adds their ids then. A table
+    without an index gets one first.
+    """
+    ids_folder = ids_folder or f"{events_folder.rstrip('/')}_ids"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -56,11 +63,16 @@ def writer(events_folder: str, normalise: Normaliser, rejects_folder: str | None
                 if not bad.isEmpty():
                     bad.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(rejects_folder)
             events = required(normalise(batch)).persist()
+            index = IdIndex(spark, ids_folder)
+            if index.read() is None:
+                index.rebuild(read_events(spark, events_folder))
+            index.check(events, events_folder)
             days = [r["dt"] for r in events.select("dt").distinct().collect()]  # a batch's days are few; they prune the table
             known = read_events(spark, events_folder).filter(F.col("dt").isin(days))
             fresh = checked_inserts(events, known)
             if not fresh.isEmpty():
                 write_events(fresh, events_folder)
+            index.add(events)
             events.unpersist()
         finally:
             batch.unpersist()
@@ -89,21 +101,31 @@ def deduplicated(events: DataFrame, horizon: str = "1 hour") -> DataFrame:
 
 
 _READ_ONLY = re.compile(r"^\s*(?:--[^\n]*\n\s*)*(select|with|values)\b", re.I)
+#: Functions that call any method of the virtual machine.
+_REACHING_OUT = re.compile(r"\b(?:reflect|try_reflect|java_method)\b", re.I)
 
 
 def run_query(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:
-    """One read-only statement of at most 65,536 bytes over temporary views.
+    """One read-only statement of at most 65,536 bytes over the given views and nothing else.
 
     The text must also stand as a subquery, where the grammar has neither inserts nor commands, whatever they begin with.
+    Every relation that the parser finds in it must be a view or a name that the query itself defines, so that neither files
+    nor other tables are read; functions that reach out of SQL are refused, also where only their name is written.
     """
     if len(text.encode()) > 65_536 or not _READ_ONLY.match(text):
         raise ValueError("a single query is expected")
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
+    if found := _REACHING_OUT.search(text):
+        raise ValueError(f"{found[0]} isn't allowed")
     try:
-        spark.sql(f"SELECT * FROM (\n{text}\n)")
+        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(f"SELECT * FROM (\n{text}\n)").toString()
     except ParseException as e:
         raise ValueError("a single query is expected") from e
+    own = {name.strip().lower() for names in re.findall(r"\bCTE \[([^\]]*)\]", parsed) for name in names.split(",")}
+    for name in re.findall(r"'UnresolvedRelation \[([^\n]*?)\], \[", parsed):
+        if name.lower() not in own | {v.lower() for v in views}:
+            raise ValueError(f"{name} isn't a view")
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
     return spark.sql(text)
 
 
