@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktrail.session import stored
+
 FACTS = ("message.usage.link", "message.usage.link.rejected", "session.client")
 
 
@@ -80,28 +82,46 @@ def fingerprints(texts: DataFrame, secret: bytes) -> DataFrame:
 Rule = tuple[str, list[Column] | tuple[list[Column], list[Column]], bool]
 
 
-def link_devices(left: DataFrame, right: DataFrame, rules: list[Rule]) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, rule: Rule, strict: bool) -> DataFrame:
+    name, key, unique = rule
+    sides = []
+    for df, columns in ((left, key[0] if isinstance(key, tuple) else key), (right, key[1] if isinstance(key, tuple) else key)):
+        known = F.lit(True)
+        for c in columns:
+            known = known & c.isNotNull()
+        order, whole = Window.partitionBy("k").orderBy("ts", "event_id"), Window.partitionBy("k")
+        rows = df.filter(known).withColumn("k", F.to_json(F.struct(*(c.alias(f"k{i}") for i, c in enumerate(columns)))))
+        sides.append(rows.select("k", "event_id", "reasoning_tokens", F.row_number().over(order).alias("n"), F.count("*").over(whole).alias("of")))
+    a, b = (x.alias(k) for x, k in zip(sides, "ab", strict=True))
+    both = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.n") == F.col("b.n")))
+    once = (F.col("a.of") == 1) & (F.col("b.of") == 1)
+    left_id = F.col("a.event_id")
+    if unique and strict:
+        left_id = F.when(~once, F.raise_error(F.concat(F.lit(f"ambiguous {name}: "), "a.event_id")).cast("string")).otherwise(left_id)
+    elif unique:
+        both = both.filter(once)
+    other = F.col("a.reasoning_tokens") != F.col("b.reasoning_tokens")
+    left_id = F.when(other, F.raise_error(F.concat(F.lit("conflicting reasoning tokens: "), "a.event_id")).cast("string")).otherwise(left_id)
+    return both.select(left_id.alias("left_id"), F.col("b.event_id").alias("right_id"), F.lit(name).alias("rule"))
+
+
+def unmatched(df: DataFrame, found: DataFrame | None, id_: str) -> DataFrame:
+    return df if found is None else df.join(found.select(F.col(id_).alias("event_id")), "event_id", "left_anti").select(*df.columns)
+
+
+def link_devices(left: DataFrame, right: DataFrame, rules: list[Rule], strict: bool = True) -> DataFrame:
     """(left_id, right_id, rule): the same observations under the ids of two devices.
 
     Rules apply in order, each to what is still unmatched: (name, key columns, unique); the key may be a pair, of the left
     and of the right side. Rows of equal keys are paired in the order of ts and id, so that repeated observations keep
-    their number; a unique rule only takes keys that are found once on either side. A null in a key matches nothing.
+    their number. A key of a unique rule that both sides have, and one of them several times, is an error, or without
+    `strict` matches nothing. Matched rows whose known reasoning tokens differ are an error. A null in a key matches nothing.
     """
     found = None
-    for name, key, unique in rules:
-        sides = []
-        for df, id_, key in ((left, "left_id", key[0] if isinstance(key, tuple) else key), (right, "right_id", key[1] if isinstance(key, tuple) else key)):
-            whole = F.to_json(F.struct(*(c.alias(f"k{k}") for k, c in enumerate(key))))
-            known = F.lit(True)
-            for c in key:
-                known = known & c.isNotNull()
-            order = Window.partitionBy("k").orderBy("ts", "event_id")
-            rows = df.filter(known).withColumn("k", whole).withColumns({"n": F.row_number().over(order), "of": F.count("*").over(Window.partitionBy("k"))})
-            if found is not None:
-                rows = df.filter(known).join(found.select(F.col(id_).alias("event_id")), "event_id", "left_anti").withColumn("k", whole).withColumns({"n": F.row_number().over(order), "of": F.count("*").over(Window.partitionBy("k"))})
-            sides.append((rows.filter("of = 1") if unique else rows).select("k", "n", F.col("event_id").alias(id_)))
-        part = sides[0].join(sides[1], ["k", "n"]).select("left_id", "right_id", F.lit(name).alias("rule"))
-        found = part if found is None else found.unionByName(part)
+    for rule in rules:
+        part = _pairs(unmatched(left, found, "left_id"), unmatched(right, found, "right_id"), rule, strict)
+        # each rule looks at all pairs so far on both sides: stored, they are worked out once
+        found = stored(part if found is None else found.unionByName(part))
     return found
 
 

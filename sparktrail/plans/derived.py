@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktrail.functions import normalize, scalars
-from sparktrail.operators import billing, folds, resolution, usage
+from sparktrail.operators import billing, devices, folds, resolution, usage
 from sparktrail.operators.patterns import patterns_rank
+from sparktrail.schema import conform
+from sparktrail.session import stored
 from sparktrail.streaming.health import collector_health
 
 from .event_log import TODAY
@@ -275,18 +277,39 @@ def _latest(e: DataFrame) -> DataFrame:
 
 
 def _devices(e: DataFrame) -> DataFrame:
-    """One device's rows under other ids on another: keyed observations first, then unique usage."""
-    here = e.select("event_id", "ts", "correlation_key", "event_type", "source", "input_tokens", "output_tokens")
-    there = here.filter("ts % 3 <> 0").withColumn("event_id", F.concat(F.lit("r-"), "event_id"))
-    rules = [("key", [F.col("correlation_key"), F.col("event_type"), F.col("source")], False), ("usage", [F.col("input_tokens"), F.col("output_tokens"), F.col("ts")], True)]
-    return resolution.link_devices(here, there, rules)
-
-
-_KEYED = "SELECT event_id, to_json([correlation_key, event_type, source]) AS k, row_number() OVER (PARTITION BY correlation_key, event_type, source ORDER BY ts, event_id) AS n FROM {} WHERE correlation_key IS NOT NULL"
-_SIZED = "SELECT any_value(event_id) AS event_id, input_tokens, output_tokens, ts FROM {0} WHERE input_tokens IS NOT NULL AND output_tokens IS NOT NULL AND event_id NOT IN (SELECT {1} FROM a) GROUP BY input_tokens, output_tokens, ts HAVING count(*) = 1"
-_DEVICES = _q(["here AS (SELECT event_id, ts, correlation_key, event_type, source, input_tokens, output_tokens FROM log)", "there AS (SELECT * REPLACE ('r-' || event_id AS event_id) FROM here WHERE ts % 3 <> 0)",
-               f"a AS (SELECT x.event_id AS left_id, y.event_id AS right_id FROM ({_KEYED.format('here')}) x JOIN ({_KEYED.format('there')}) y USING (k, n))"],
-    f"SELECT left_id, right_id, 'key' AS rule FROM a UNION ALL SELECT x.event_id, y.event_id, 'usage' FROM ({_SIZED.format('here', 'left_id')}) x JOIN ({_SIZED.format('there', 'right_id')}) y USING (input_tokens, output_tokens, ts)")
+    """A history that one device observed live and another imports from files, made of the log.
+
+    The old device lacks a third of the files' rows, doesn't know the model of another third of the second agent's, and has
+    exported turns a moment later; the new one has copies of half the hooks' calls as its files would have them.
+    """
+    e = stored(conform(e).withColumn("host_id", F.lit("old")))
+    log, claude = F.col("source") == "log", F.col("agent") == "claude-code"
+    third, turned = F.col("ts") % 3 == 0, F.col("event_type").isin("turn", "api.request")
+    renamed = lambda df, prefix, **new: df.withColumns({"event_id": F.concat(F.lit(prefix), "event_id"), **new})
+    vague = (F.col("agent") == "codex") & log & turned & (F.col("ts") % 3 == 1)
+    forgotten = {c: F.when(~vague, F.col(c)) for c in ("model", "effort")}
+    exported = renamed(e.filter(log & claude & third & (F.col("event_type") == "turn")), "o-", source=F.lit("otel"), ts=F.col("ts") + F.col("ts") % 90)
+    previous = renamed(e.filter((~log & claude) | (log & ~third)), "p-", **forgotten).unionByName(exported)
+    bound = log & claude & F.col("event_type").isin("session.start", "session.end") & third
+    ends = e.filter(bound & F.col("session_id").isNotNull()).groupBy("session_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last"))
+    one = ends.select(F.when(F.col("event_type") == "session.start", F.col("first")).otherwise(F.col("last")).alias("event_id"))
+    files = e.filter(log & ~bound).unionByName(e.filter(bound).join(one, "event_id", "left_semi"))
+    calls = e.filter(claude & (F.col("source") == "hook") & F.col("event_type").isin("tool.call", "tool.result") & (F.col("ts") % 2 == 0))
+    current = renamed(files, "c-").unionByName(renamed(calls, "k-", source=F.lit("log"), ts=F.col("ts") + 3)).withColumn("host_id", F.lit("new"))
+    return devices.reconcile(current, previous, match_prompt_times=True)
+
+
+_DEVICES = _q([
+    "files AS (SELECT *, agent = 'claude-code' AS claude, ts % 3 = 0 AS missing, agent = 'codex' AND event_type IN ('turn', 'api.request') AND ts % 3 = 1 AND (model IS NOT NULL OR effort IS NOT NULL) AS vague FROM log WHERE source = 'log' AND session_id IS NOT NULL)",
+    "live AS (SELECT * FROM log WHERE source = 'hook' AND agent = 'claude-code' AND session_id IS NOT NULL)",
+    "bounds AS (SELECT session_id, event_type, CASE event_type WHEN 'session.start' THEN arg_min(event_id, (ts, event_id)) ELSE arg_max(event_id, (ts, event_id)) END AS event_id, CASE event_type WHEN 'session.start' THEN min(ts) ELSE max(ts) END AS ts FROM files WHERE claude AND missing AND event_type IN ('session.start', 'session.end') GROUP BY session_id, event_type)",
+    "resumed AS (SELECT session_id, event_type, CASE event_type WHEN 'session.start' THEN arg_min(event_id, (ts, event_id)) ELSE arg_max(event_id, (ts, event_id)) END AS event_id, max(ts) AS ts FROM live WHERE event_type IN ('session.start', 'session.end') GROUP BY session_id, event_type)"],
+    """SELECT 'c-' || event_id AS left_id, 'p-' || event_id AS right_id, CASE WHEN vague THEN 'same record, other context' ELSE 'same observation' END AS rule FROM files WHERE NOT missing
+  UNION ALL SELECT 'k-' || event_id, 'p-' || event_id, 'same operation id, hook' FROM live WHERE event_type IN ('tool.call', 'tool.result') AND ts % 2 = 0 AND correlation_key IS NOT NULL
+  UNION ALL SELECT 'c-' || f.event_id, 'p-' || o.event_id, 'unique model and usage' FROM files f JOIN log o ON o.source = 'otel' AND o.event_type = 'api.request' AND o.agent = 'claude-code' AND o.session_id = f.session_id AND o.model = f.model AND o.input_tokens = f.input_tokens AND o.output_tokens = f.output_tokens
+      AND coalesce(o.cache_read_tokens, -1) = coalesce(f.cache_read_tokens, -1) AND coalesce(o.cache_write_tokens, -1) = coalesce(f.cache_write_tokens, -1) WHERE f.claude AND f.missing AND f.event_type = 'api.request'
+  UNION ALL SELECT 'c-' || b.event_id, 'p-' || r.event_id, 'transcript boundary within a live session' FROM bounds b JOIN resumed r USING (session_id, event_type) WHERE b.event_type = 'session.start' OR r.ts >= b.ts
+  UNION ALL SELECT 'c-' || event_id, 'o-' || event_id, 'the only turn near in time' FROM files WHERE claude AND missing AND event_type = 'turn'""")
 
 
 OVER_EVENTS: dict[str, Callable[[DataFrame], DataFrame]] = {

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -38,3 +39,18 @@ def ship(spark: SparkSession) -> None:
         archive = shutil.make_archive(f"{target}/sparktrail_code", "zip", staged)
     spark.sparkContext.addPyFile(archive)  # served by the driver to every executor
     _shipped.add(app)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df worked out once and read back from the session's checkpoint folder, which cuts its lineage.
+
+    A cluster must have that folder (spark.checkpoint.dir); in local mode a temporary one stands in.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sparktrail-"))
+    path = f"{context.getCheckpointDir().rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
