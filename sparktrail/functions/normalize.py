@@ -285,5 +285,5 @@ def usage_limits(raw: DataFrame) -> DataFrame:
 
 
 def latest_limits(limits: DataFrame) -> DataFrame:
-    """The last report of each agent and account; reports are never summed."""
-    return limits.groupBy("agent", "account").agg(F.max_by(F.struct("observed_at", "windows"), "observed_at").alias("x")).select("agent", "account", "x.*")
+    """The last report of each agent and account (of equally late ones the greatest); reports are never summed."""
+    return limits.groupBy("agent", "account").agg(F.max(F.struct("observed_at", "windows")).alias("x")).select("agent", "account", "x.*")

@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEAR_MS, EARLY_MS = 60_000, 1000
 
 
+@dataclass(frozen=True)
+class Evidence:
+    """What is known beside the requests; see `observed_routes` and `classified` for the columns."""
+
+    origins: DataFrame
+    event_routes: DataFrame
+    review_turns: DataFrame
+    turn_auth: DataFrame
+    request_auth: DataFrame
+    responses: DataFrame
+    key_requests: DataFrame
+
+
+def route_requests(requests: DataFrame, known: Evidence) -> DataFrame:
+    """requests with `route`, by all evidence."""
+    told = observed_routes(requests, known.origins, known.event_routes, known.review_turns)
+    return classified(told, known.turn_auth, known.request_auth, known.responses, known.key_requests).drop("explicit_route", "auth_session_id")
+
+
 def _near(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """Pairs of equal, known keys whose times are at most NEAR_MS apart; both have `ts`, the right one's becomes `at`.
 
@@ -26,7 +47,8 @@ def observed_routes(requests: DataFrame, origins: DataFrame, event_routes: DataF
     automatic review is judged by the thread that asked for it, if there is only one. Of all routes router goes first, then
     API key; two providers that contradict each other make the route unknown.
     """
-    a = origins.select(F.col("remote_id").alias("_remote"), F.col("local_id").alias("_local"), F.col("host_id").alias("_host"), F.col("provider").alias("_provider"), F.col("route").alias("_route"))
+    one = origins.groupBy(F.col("remote_id").alias("_remote")).agg(F.min(F.struct("local_id", "host_id", "provider", "route")).alias("o"))  # a request has one origin
+    a = one.select("_remote", F.col("o.local_id").alias("_local"), F.col("o.host_id").alias("_host"), F.col("o.provider").alias("_provider"), F.col("o.route").alias("_route"))
     u = requests.join(a, F.col("event_id") == F.col("_remote"), "left").withColumn("host_id", F.coalesce("_host", "host_id"))
     one = review_turns.groupBy(F.col("host_id").alias("_rh"), F.col("turn_id").alias("_rt")).agg(F.min("thread_id").alias("_thread"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
     review = (F.col("agent") == "codex") & (F.col("model") == "codex-auto-review") & (F.col("turn_id") == F.col("_rt")) & (F.col("host_id") == F.col("_rh"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktrail.functions.columns import day_of, json_list, rate, total
+from sparktrail.session import stored
 
 from .dedup import is_first_observation, tool_results
 from .usage import first_context, snapshots
@@ -28,11 +29,32 @@ def _json(**fields: Column) -> Column:
 
 def with_detours(e: DataFrame) -> DataFrame:
     """Add `first` (the row stands for its tool result) and `detours`: bash and browser calls among the next five events."""
+    if {"first", "detours"} <= set(e.columns):
+        return e
     call = (F.col("event_type") == "tool.call") & F.col("tool_kind").isin("bash", "browser")
     ahead = F.collect_list(F.when(call, F.struct("event_id", "tool_name", "ts"))).over(_in_session().rowsBetween(1, AHEAD))
     return e.withColumn("first", is_first_observation()).withColumn("detours", ahead)
 
 
+#: What the branches read of an event.
+READ = (
+    "session_id event_id ts event_type source tool_name tool_kind mcp_server success duration_ms correlation_key agent_id query_source model "
+    "input_tokens output_tokens cache_read_tokens cache_write_tokens configured_mcp_servers"
+).split()
+
+
+def observed(e: DataFrame) -> DataFrame:
+    """What all branches share, from one scan of the log and one deal by session: the columns that they read, which row stands
+    for its tool result, the detours and tools around it. Stored, as each branch then reads a few columns of some rows.
+    """
+    rows = e.select(*READ).repartition("session_id")  # all windows below are within a session, so this is the only shuffle
+    return stored(with_last_tools(with_detours(rows)))
+
+
+def results_once(e: DataFrame) -> DataFrame:
+    return e.filter("first") if "first" in e.columns else tool_results(e)
+
+
 def failed_mcp() -> Column:
     return F.col("first") & ~F.col("success") & (F.col("tool_kind") == "mcp")
 
@@ -82,7 +104,7 @@ def deny_detour(e: DataFrame) -> DataFrame:
 
 def retry_spiral(e: DataFrame) -> DataFrame:
     """Three or more failures of a tool in a row; results of unknown success don't count."""
-    rows = tool_results(e).filter("tool_name is not null and success is not null")
+    rows = results_once(e).filter("tool_name is not null and success is not null")
     order = Window.partitionBy("session_id", "tool_name").orderBy("ts", "event_id")
     # successes so far stay the same during a run of failures
     runs = rows.withColumn("run", F.count_if("success").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("not success")
@@ -100,20 +122,29 @@ def permission_denied_loop(e: DataFrame) -> DataFrame:
     return _hit("permission_denied_loop", found, F.col("tool_name"), F.col("k"), F.col("a"), F.col("b"), F.col("n"), F.lit("{}"))
 
 
+def with_last_tools(e: DataFrame) -> DataFrame:
+    """Add `by_agent` and `plain`, the tools of the last results before a row of the same agent and of no agent, and `has_log`.
+
+    An exported stream has no agent of its own: its tools are those of rows without an agent.
+    """
+    if {"by_agent", "plain", "has_log"} <= set(e.columns):
+        return e
+    agent = F.coalesce(F.concat(F.lit("+"), "agent_id"), F.lit("-"))
+    before = Window.partitionBy("session_id", agent).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    result = F.col("event_type") == "tool.result"
+    by_agent = F.last(F.when(result, F.col("tool_name")), ignorenulls=True).over(before)
+    plain = F.last(F.when(result & F.col("agent_id").isNull(), F.col("tool_name")), ignorenulls=True).over(_in_session().rowsBetween(Window.unboundedPreceding, -1))
+    has_log = F.max((F.col("event_type") == "api.request") & (F.col("source") == "log")).over(Window.partitionBy("session_id"))
+    return e.withColumns({"by_agent": by_agent, "has_log": has_log, "plain": plain})
+
+
 def context_jump(e: DataFrame) -> DataFrame:
     """A conversation's context that grows at once by 20,000 tokens and half, and stays; blamed on the last tool result.
 
     Log requests make the streams of a session that has any, otherwise the otel requests of the main conversation do.
     The last tool is a running value over the session's rows of the same agent: one pass, no join.
     """
-    agent = F.coalesce(F.concat(F.lit("+"), "agent_id"), F.lit("-"))
-    before = Window.partitionBy("session_id", agent).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    last_tool = F.last(F.when((F.col("event_type") == "tool.result"), F.col("tool_name")), ignorenulls=True)
-    has_log = F.max((F.col("event_type") == "api.request") & (F.col("source") == "log")).over(Window.partitionBy("session_id"))
-    rows = e.withColumn("by_agent", last_tool.over(before)).withColumn("has_log", has_log)
-    # an otel stream has no agent of its own: its tools are those of rows without an agent
-    plain = F.last(F.when((F.col("event_type") == "tool.result") & F.col("agent_id").isNull(), F.col("tool_name")), ignorenulls=True).over(_in_session().rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("plain", plain).filter("event_type = 'api.request'")
+    rows = with_last_tools(e).filter("event_type = 'api.request'")
     log = F.col("source") == "log"
     otel = (F.col("source") == "otel") & ~F.col("has_log") & (F.col("query_source").isNull() | (F.col("query_source") == "main"))
     zero = F.lit(0)
@@ -133,7 +164,7 @@ def compaction(e: DataFrame) -> DataFrame:
 
 def long_tool_tail(e: DataFrame) -> DataFrame:
     """MCP results of ten seconds and three medians of their server and tool."""
-    rows = tool_results(e).filter("tool_kind = 'mcp' and mcp_server is not null and duration_ms is not null")
+    rows = results_once(e).filter("tool_kind = 'mcp' and mcp_server is not null and duration_ms is not null")
     medians = rows.groupBy(F.col("mcp_server").alias("_m"), F.col("tool_name").alias("_t")).agg(F.median("duration_ms").alias("median_ms"))
     slow = rows.filter("duration_ms >= 10000").join(medians, (F.col("mcp_server") == F.col("_m")) & (F.col("tool_name") == F.col("_t"))).filter("duration_ms >= 3 * median_ms")
     detail = _json(tool_name=F.col("tool_name"), duration_ms=F.col("duration_ms"), median_ms=F.round("median_ms"))
@@ -160,8 +191,13 @@ BRANCH_OF = {"context_bloat": ["context_jump", "compaction"]}
 
 
 def hits(e: DataFrame, pattern: str | None = None) -> DataFrame:
-    """Hits of one pattern or of all, each with the otel tokens of its session within its time span (null: none known)."""
+    """Hits of one pattern or of all, each with the otel tokens of its session within its time span (null: none known).
+
+    All patterns together read the log once, see `observed`.
+    """
     e = e.filter("session_id is not null")
+    if not pattern:
+        e = observed(e)
     wanted = BRANCH_OF.get(pattern, [pattern]) if pattern else list(BRANCHES)
     parts = [BRANCHES[name](e) for name in wanted if pattern or name not in DETOURS]
     if not pattern:

@@ -204,6 +204,14 @@ class Marks:
         one = marks.sparkSession.createDataFrame([(pattern_id, subject, dt, note, host_id)], "pattern_id string, subject string, dt string, note string, host_id string").withColumn("id", key)
         return marks.unionByName(one).dropDuplicates(["id"])
 
+    @staticmethod
+    def added(marks: DataFrame, rows: DataFrame, today: str) -> DataFrame:
+        """marks and the rows (pattern_id, subject, dt, note, host_id), each once; a row that `create` would refuse is an error."""
+        key = F.substring(F.sha2(F.concat_ws("|", "pattern_id", "subject", "dt", "note", "host_id"), 256), 1, 32)
+        fine = (F.try_to_date(F.col("dt")) <= F.lit(today).cast("date")) & (F.col("pattern_id") != "") & (F.col("subject") != "") & F.char_length("note").between(1, 500)
+        checked = F.when(F.coalesce(fine, F.lit(False)), key).otherwise(F.raise_error(F.concat_ws("|", F.lit("not a mark"), "pattern_id", "subject", "dt")).cast("string"))
+        return marks.unionByName(rows.withColumn("id", checked)).dropDuplicates(["id"])
+
     @staticmethod
     def listed(marks: DataFrame, pattern_id: str, subject: str, where: Column) -> DataFrame:
         return marks.filter((F.col("pattern_id") == pattern_id) & (F.col("subject") == subject)).withColumn("repo", F.lit(None).cast("string")).filter(where).drop("repo").orderBy(F.desc("dt"), "id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparktrail.functions.columns import counted, iso_second, json_list, names, rate, total, total_where
 
+from .billing import Evidence, route_requests
 from .dedup import preferred_usage, tool_results, without_result_copies
 
 
@@ -189,23 +190,26 @@ def mcp_tax(e: DataFrame) -> DataFrame:
     """A session's first context, split equally among its configured servers and paid on every request."""
     priced = snapshots(e).join(first_context(e).select("session_id", "api_requests", "first_input_tokens"), "session_id", "left")
     used = e.filter(_is("tool.call") & F.col("mcp_server").isNotNull() & F.col("session_id").isNotNull()).select(F.col("session_id").alias("_s"), F.col("mcp_server").alias("_m")).distinct()
-    each = priced.withColumn("mcp_server", F.explode("servers")).join(used, (F.col("session_id") == F.col("_s")) & (F.col("mcp_server") == F.col("_m")), "left")
-    share = F.col("first_input_tokens").cast("double") / F.col("n") * F.col("api_requests")
+    placed = priced.select("session_id", "n", "api_requests", F.col("first_input_tokens").alias("size"), F.posexplode("servers").alias("at", "mcp_server"), "servers").withColumn("once", F.array_position("servers", F.col("mcp_server")) == F.col("at") + 1)
+    each = placed.join(used, (F.col("session_id") == F.col("_s")) & (F.col("mcp_server") == F.col("_m")), "left")
+    share = F.col("size").cast("double") / F.col("n") * F.col("api_requests")
     is_used = F.col("_s").isNotNull()
-    per = each.groupBy("mcp_server").agg(
-        F.count("*").alias("sessions_configured"), counted(is_used).alias("sessions_used"), counted(~is_used).alias("sessions_unused"), F.count("first_input_tokens").alias("sessions_with_usage"),
-        F.round(total(share)).cast("long").alias("fixed_tokens_est"), F.round(total_where(~is_used, share)).cast("long").alias("unused_tokens_est"), F.median("first_input_tokens").alias("_with"),
+    # one row per server and size of the first context, however many sessions there are
+    by_size = each.groupBy("mcp_server", "size").agg(
+        F.count("*").alias("configured"), counted(is_used).alias("used"), total(share).alias("share"), total_where(~is_used, share).alias("unused_share"), counted(F.col("once")).alias("having"),
     )
-    # the sessions without a server are all sessions less those with it, as histograms of their first context: one row per
-    # server and size, however many sessions there are
-    known = priced.filter("first_input_tokens is not null").withColumnRenamed("first_input_tokens", "size")
-    sizes = known.groupBy("size").agg(F.count("*").alias("sessions"))
-    having = known.select(F.explode(F.array_distinct("servers")).alias("_server"), "size").groupBy("_server", "size").agg(F.count("*").alias("having"))
-    servers = per.select(F.col("mcp_server").alias("_server"))
-    left = sizes.crossJoin(servers).join(having, ["_server", "size"], "left").withColumn("others", F.col("sessions") - F.coalesce("having", F.lit(0)))
+    known = F.col("size").isNotNull()
+    per = by_size.groupBy("mcp_server").agg(
+        total("configured").alias("sessions_configured"), total("used").alias("sessions_used"), total(F.col("configured") - F.col("used")).alias("sessions_unused"), F.coalesce(total_where(known, "configured"), F.lit(0)).alias("sessions_with_usage"),
+        F.round(total("share")).cast("long").alias("fixed_tokens_est"), F.round(total("unused_share")).cast("long").alias("unused_tokens_est"),
+        F.percentile("size", F.lit(0.5), F.col("configured")).alias("_with"), F.map_from_entries(F.collect_list(F.when(known, F.struct("size", "having")))).alias("_having"),
+    )
+    # the sessions without a server are all sessions less those with it
+    sizes = priced.filter("first_input_tokens is not null").groupBy(F.col("first_input_tokens").alias("size")).agg(F.count("*").alias("sessions"))
+    left = sizes.crossJoin(F.broadcast(per.select(F.col("mcp_server").alias("_server"), "_having"))).withColumn("others", F.col("sessions") - F.coalesce(F.element_at("_having", F.col("size")), F.lit(0)))
     without = left.filter("others > 0").groupBy("_server").agg(F.percentile("size", F.lit(0.5), F.col("others")).alias("_without"))
     out = per.join(without, F.col("mcp_server") == F.col("_server"), "left")
-    return out.withColumn("marginal_first_tokens_est", F.round(F.col("_with") - F.col("_without")).cast("long")).drop("_with", "_without", "_server").orderBy(F.desc_nulls_last("unused_tokens_est"), F.desc_nulls_last("fixed_tokens_est"), "mcp_server")
+    return out.withColumn("marginal_first_tokens_est", F.round(F.col("_with") - F.col("_without")).cast("long")).drop("_with", "_without", "_server", "_having").orderBy(F.desc_nulls_last("unused_tokens_est"), F.desc_nulls_last("fixed_tokens_est"), "mcp_server")
 
 
 def subagents(e: DataFrame, with_total: bool = True) -> DataFrame:
@@ -239,16 +243,28 @@ def subagents(e: DataFrame, with_total: bool = True) -> DataFrame:
 def coverage(e: DataFrame, all_events: DataFrame, silent_before_ms: int) -> DataFrame:
     """What the log has and lacks, in one row. Hosts are counted over all events."""
     has = F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull()
-    events = e.agg(F.count("*").alias("events"), counted(F.col("user_id").isNull()).alias("events_user_id_null"), counted(_is("tool.result")).alias("tool_results_raw"), counted(_is("tool.result") & F.col("correlation_key").isNull()).alias("_unkeyed"), iso_second(F.max("ts")).alias("last_event_ts"))
-    per_session = e.filter("session_id is not null").groupBy("session_id").agg(F.bool_or(_is("api.request") & has).alias("has"))
-    s = per_session.agg(F.count("*").alias("sessions"), counted(~F.col("has")).alias("sessions_without_usage"))
-    keys = e.filter(_is("tool.result") & F.col("correlation_key").isNotNull()).groupBy("session_id", "correlation_key").agg(F.bool_or(F.col("source") == "hook").alias("h"), F.bool_or(F.col("source") == "otel").alias("o"))
-    k = keys.agg(counted(F.col("h")).alias("tool_results_hook"), counted(F.col("o")).alias("tool_results_otel"), counted(F.col("h") & F.col("o")).alias("tool_results_matched"), F.count("*").alias("_keys"))
-    agents = e.filter(F.col("agent_id").isNotNull() & F.col("event_type").isin("api.request", "subagent.stop")).groupBy("session_id", "agent_id").agg(F.bool_or(has).alias("has"))
-    a = agents.agg(F.count("*").alias("subagents"), counted(F.col("has")).alias("subagents_with_usage"))
+    result, keyed = _is("tool.result"), F.col("correlation_key").isNotNull()
+    # a row says something of the whole, of its session, of its result's key and of its agent: each is a group, summed before the shuffle
+    fact = lambda kind, when, key: F.when(when, F.struct(F.lit(kind).alias("kind"), F.col("session_id").alias("s"), key.cast("string").alias("k")))
+    nothing = F.lit(None)
+    facts = F.array_compact(F.array(
+        F.struct(F.lit("all").alias("kind"), nothing.cast("string").alias("s"), nothing.cast("string").alias("k")), fact("session", F.col("session_id").isNotNull(), nothing),
+        fact("key", result & keyed, F.col("correlation_key")), fact("agent", F.col("agent_id").isNotNull() & F.col("event_type").isin("api.request", "subagent.stop"), F.col("agent_id")),
+    ))
+    grouped = e.withColumn("fact", F.explode(facts)).groupBy("fact").agg(
+        F.count("*").alias("n"), counted(F.col("user_id").isNull()).alias("no_user"), counted(result).alias("results"), counted(result & ~keyed).alias("unkeyed"), F.max("ts").alias("last"),
+        F.bool_or(_is("api.request") & has).alias("asked"), F.bool_or(has).alias("has"), F.bool_or(F.col("source") == "hook").alias("hook"), F.bool_or(F.col("source") == "otel").alias("otel"),
+    )
+    of = lambda kind: F.col("fact.kind") == kind
+    whole = lambda c: F.coalesce(F.sum(F.when(of("all"), F.col(c))), F.lit(0)).cast("long")
+    out = grouped.agg(
+        whole("n").alias("events"), whole("no_user").alias("events_user_id_null"), whole("results").alias("tool_results_raw"), iso_second(F.max(F.when(of("all"), F.col("last")))).alias("last_event_ts"),
+        counted(of("session")).alias("sessions"), counted(of("session") & ~F.col("asked")).alias("sessions_without_usage"), counted(of("key") & F.col("hook")).alias("tool_results_hook"), counted(of("key") & F.col("otel")).alias("tool_results_otel"),
+        counted(of("key") & F.col("hook") & F.col("otel")).alias("tool_results_matched"), counted(of("agent")).alias("subagents"), counted(of("agent") & F.col("has")).alias("subagents_with_usage"),
+        (whole("unkeyed") + counted(of("key"))).alias("tool_results_deduped"),
+    )
     h = all_events.groupBy("host_id").agg(F.max("ts").alias("last")).agg(F.count("*").alias("hosts"), counted(F.col("last") < silent_before_ms).alias("hosts_silent_24h"))
-    out = events.crossJoin(s).crossJoin(k).crossJoin(a).crossJoin(h)  # five tables of one row
-    return out.withColumn("tool_results_deduped", F.col("_unkeyed") + F.col("_keys")).drop("_unkeyed", "_keys")
+    return out.crossJoin(h)  # one row each
 
 
 def coverage_summary(c: DataFrame) -> DataFrame:
@@ -317,17 +333,26 @@ def routed(requests: DataFrame) -> DataFrame:
     return requests.withColumn("route", F.when(F.col("provider") == "router", "router").otherwise(F.coalesce("billing_route", F.lit("unknown"))))
 
 
-def billing_routes(e: DataFrame) -> DataFrame:
-    r = routed(preferred_usage(e))
+def _with_routes(e: DataFrame, evidence: Evidence | None) -> DataFrame:
+    r = preferred_usage(e)
+    return routed(r) if evidence is None else route_requests(r, evidence)
+
+
+def billing_routes(e: DataFrame, evidence: Evidence | None = None) -> DataFrame:
+    """Requests by the way in which they were paid for; without evidence only what the requests themselves say counts."""
     known = ["subscription", "api_key", "router"]
-    return r.agg(*(counted(F.col("route") == k).alias(k) for k in known), counted(~F.col("route").isin(known)).alias("unknown"))
+    return _with_routes(e, evidence).agg(*(counted(F.col("route") == k).alias(k) for k in known), counted(~F.col("route").isin(known)).alias("unknown"))
+
+
+def subscription_models(e: DataFrame, evidence: Evidence | None = None) -> DataFrame:
+    return grouped_usage(_with_routes(e, evidence).filter("route = 'subscription'"))
 
 
-def subscription_models(e: DataFrame) -> DataFrame:
-    return grouped_usage(routed(preferred_usage(e)).filter("route = 'subscription'"))
+def subscription_usage(limits: DataFrame) -> DataFrame:
+    """One row for each window of the latest report of each agent and account, of (agent, account, observed_at, windows).
 
+    Reports are states, never summed; a report whose windows were all dropped still has a row, without a window.
+    """
+    from sparktrail.functions.normalize import latest_limits
 
-def subscription_usage(e: DataFrame) -> DataFrame:
-    """The latest request's state per agent and account; snapshots are never summed."""
-    state = F.struct(F.col("ts").alias("observed_at"), "billing_route", "provider")
-    return e.filter(_is("api.request")).groupBy("agent", "user_id").agg(F.max_by(state, F.struct("ts", "event_id")).alias("x")).select("agent", "user_id", "x.*")
+    return latest_limits(limits).select("agent", "account", "observed_at", F.explode_outer("windows").alias("w")).select("agent", "account", "observed_at", "w.*")

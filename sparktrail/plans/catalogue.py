@@ -44,9 +44,6 @@ _OVER_EVENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "subagents": usage.subagents,
     "models": usage.models,
     "models_daily": usage.models_daily,
-    "billing_routes": usage.billing_routes,
-    "subscription_models": usage.subscription_models,
-    "subscription_usage": usage.subscription_usage,
     "patterns": patterns.patterns,
     "patterns_rank": patterns.patterns_rank,
     "pattern_hits": lambda e: patterns.pattern_hits(e, "mcp_bypass", "github"),

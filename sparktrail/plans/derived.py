@@ -15,7 +15,7 @@ from sparktrail.session import stored
 from sparktrail.streaming.health import collector_health
 
 from .event_log import TODAY
-from .oracle import ORACLE, SERVERS, _q
+from .oracle import _PREF, _W14, ORACLE, SERVERS, _q, _usage
 
 NOW_MS = 1_706_659_200_000
 
@@ -38,7 +38,7 @@ def _applications(e: DataFrame) -> DataFrame:
 
 _APPLICATIONS = f"WITH s AS ({ORACLE['sessions']}) SELECT *, 'cli' AS kind FROM s WHERE list_contains(string_split(client, ','), 'claude_code_cli') UNION ALL SELECT *, 'unknown' FROM s WHERE coalesce(client, '') = ''"
 
-_LATENCY = _q(["newest AS (SELECT duration_ms FROM log WHERE duration_ms IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 2000)", "placed AS (SELECT duration_ms, row_number() OVER (ORDER BY duration_ms) AS place, count(*) OVER () AS n FROM newest)"],
+_LATENCY = _q(["newest AS (SELECT duration_ms FROM log WHERE source = 'hook' AND duration_ms IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 2000)", "placed AS (SELECT duration_ms, row_number() OVER (ORDER BY duration_ms) AS place, count(*) OVER () AS n FROM newest)"],
     "SELECT count(*) AS samples, min(duration_ms) FILTER (WHERE place >= ceil(0.5 * n)) AS p50, min(duration_ms) FILTER (WHERE place >= ceil(0.99 * n)) AS p99 FROM placed HAVING count(*) > 0")
 
 _SERIES = f"""WITH d AS ({ORACLE['models_daily']}), t AS (SELECT model, CAST(sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)) AS BIGINT) AS tokens, count(CASE WHEN input_tokens IS NULL AND output_tokens IS NULL THEN 1 END) AS unknown_days FROM d GROUP BY model),
@@ -148,19 +148,30 @@ key_requests AS (SELECT host_id AS host, session_id, turn_id, ts + (output_token
 answers AS (SELECT host_id AS host, session_id, model, input_tokens AS i, output_tokens AS o, cache_read_tokens AS r, cache_write_tokens AS w, ts + (output_tokens % 4) * 25000 AS ts, event_id AS request_id, output_tokens % 4 <> 0 AS subscribed FROM u WHERE agent = 'claude-code')"""
 
 
-def _routes(e: DataFrame) -> DataFrame:
-    asked = e.filter("event_type = 'api.request'")
-    u = asked.withColumns({"billing_route": F.expr("CASE WHEN output_tokens % 4 = 0 THEN billing_route END"), "model": F.expr("CASE WHEN output_tokens % 9 = 0 THEN 'codex-auto-review' ELSE model END")})
-    key = ["host_id", "session_id AS auth_session_id", "turn_id"]
-    codex = asked.filter("agent = 'codex'")
-    origins = asked.filter("output_tokens % 17 = 1").selectExpr("event_id AS remote_id", "event_id || '-local' AS local_id", "'host-9' AS host_id", "CASE output_tokens % 3 WHEN 0 THEN 'router' WHEN 1 THEN 'openai' END AS provider", "CASE WHEN output_tokens % 8 = 1 THEN 'subscription' END AS route")
-    diagnosed = asked.filter("output_tokens % 13 = 2").selectExpr("event_id", "CASE output_tokens % 5 WHEN 0 THEN 'router' WHEN 1 THEN 'api_key' ELSE 'subscription' END AS route")
-    reviews = codex.filter("output_tokens % 9 = 0 and session_id is not null").selectExpr("host_id", "turn_id", "session_id AS thread_id")
-    turns = codex.filter("output_tokens % 2 = 0").selectExpr(*key, "ts - 500 AS ts", "CASE output_tokens % 3 WHEN 0 THEN 'subscription' WHEN 1 THEN 'api_key' ELSE 'unknown' END AS route")
-    requests = codex.filter("output_tokens % 3 <> 1").selectExpr(*key, "ts + (output_tokens % 4) * 25000 AS ts", "output_tokens % 5 <> 0 AS subscribed")
-    keyed = codex.filter("output_tokens % 7 = 0").selectExpr(*key, "ts + (output_tokens % 5) * 20000 AS ts")
-    answers = u.filter("agent = 'claude-code'").selectExpr("host_id", "session_id AS auth_session_id", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "ts + (output_tokens % 4) * 25000 AS ts", "event_id AS request_id", "output_tokens % 4 <> 0 AS subscribed")
-    return billing.classified(billing.observed_routes(u, origins, diagnosed, reviews), turns, requests, answers, keyed)
+def _paid(e: DataFrame) -> DataFrame:
+    """The log, of whose requests only a quarter say how they were paid, and a ninth are automatic reviews."""
+    asked = "event_type = 'api.request'"
+    return e.withColumns({"billing_route": F.expr(f"CASE WHEN {asked} AND output_tokens % 4 = 0 THEN billing_route END"), "model": F.expr(f"CASE WHEN {asked} AND output_tokens % 9 = 0 THEN 'codex-auto-review' ELSE model END")})
+
+
+def _evidence(e: DataFrame) -> billing.Evidence:
+    asked, key = e.filter("event_type = 'api.request'"), ["host_id", "session_id AS auth_session_id", "turn_id"]
+    codex, own = asked.filter("agent = 'codex'"), _paid(asked).filter("agent = 'claude-code'")
+    return billing.Evidence(
+        origins=asked.filter("output_tokens % 17 = 1").selectExpr("event_id AS remote_id", "event_id || '-local' AS local_id", "'host-9' AS host_id", "CASE output_tokens % 3 WHEN 0 THEN 'router' WHEN 1 THEN 'openai' END AS provider", "CASE WHEN output_tokens % 8 = 1 THEN 'subscription' END AS route"),
+        event_routes=asked.filter("output_tokens % 13 = 2").selectExpr("event_id", "CASE output_tokens % 5 WHEN 0 THEN 'router' WHEN 1 THEN 'api_key' ELSE 'subscription' END AS route"),
+        review_turns=codex.filter("output_tokens % 9 = 0 and session_id is not null").selectExpr("host_id", "turn_id", "session_id AS thread_id"),
+        turn_auth=codex.filter("output_tokens % 2 = 0").selectExpr(*key, "ts - 500 AS ts", "CASE output_tokens % 3 WHEN 0 THEN 'subscription' WHEN 1 THEN 'api_key' ELSE 'unknown' END AS route"),
+        request_auth=codex.filter("output_tokens % 3 <> 1").selectExpr(*key, "ts + (output_tokens % 4) * 25000 AS ts", "output_tokens % 5 <> 0 AS subscribed"),
+        key_requests=codex.filter("output_tokens % 7 = 0").selectExpr(*key, "ts + (output_tokens % 5) * 20000 AS ts"),
+        responses=own.selectExpr("host_id", "session_id AS auth_session_id", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "ts + (output_tokens % 4) * 25000 AS ts", "event_id AS request_id", "output_tokens % 4 <> 0 AS subscribed"),
+    )
+
+
+def _requests(e: DataFrame) -> tuple[DataFrame, billing.Evidence]:
+    """The log's requests and their evidence, which seven tables are made of: they are stored once."""
+    asked = stored(e.filter("event_type = 'api.request'"))
+    return _paid(asked), _evidence(asked)
 
 
 # what is known of each turn, from all three kinds of records at once; then one look at a request's own turn
@@ -185,10 +196,28 @@ _WEIGHED = """weighed AS (
          coalesce(e.routes, []) AS routes, coalesce(e.answers, []) AS answers, coalesce(e.login_at <= t.ts + 1000, false) AS login, coalesce(e.key_at <= t.ts + 1000, false) AS key,
          len(list_filter(e.asked_at, lambda x: abs(x - t.ts) <= 60000)) > 0 AS asked, len(list_filter(e.keyed_at, lambda x: abs(x - t.ts) <= 60000)) > 0 AS keyed
   FROM told t LEFT JOIN turns e ON e.host = t.host_id AND e.session_id = t.auth AND e.turn_id = t.turn_id LEFT JOIN answered w ON w.event_id = t.event_id)"""
-_CLASSIFIED = _q([_PAID, _TURNS, _ROUTED, _TOLD, _ANSWERED, _WEIGHED], """SELECT event_id, CASE
+_CLASSES = """classes AS (SELECT event_id, CASE
   WHEN provider = 'router' OR list_contains(said, 'router') THEN 'router' WHEN list_contains(said, 'api_key') THEN 'api_key' WHEN seen_provider <> provider THEN 'unknown' WHEN first_said IS NOT NULL THEN first_said
   WHEN answered OR (by_turn AND logged AND list_has_all(['subscription'], routes) AND NOT list_contains(answers, false) AND (login OR coalesce(asked, false))) THEN 'subscription'
-  WHEN by_turn AND list_has_all(['api_key'], routes) AND NOT list_contains(answers, true) AND (key OR coalesce(keyed, false)) THEN 'api_key' ELSE 'unknown' END AS route FROM weighed""")
+  WHEN by_turn AND list_has_all(['api_key'], routes) AND NOT list_contains(answers, true) AND (key OR coalesce(keyed, false)) THEN 'api_key' ELSE 'unknown' END AS route FROM weighed)"""
+_BILLED = [_PAID, _TURNS, _ROUTED, _TOLD, _ANSWERED, _WEIGHED, _CLASSES]
+_CLASSIFIED = _q(_BILLED, "SELECT event_id, route FROM classes")
+_BEST = _PREF.replace("FROM log", "FROM u")
+_ROUTE_COUNTS = _q([*_BILLED, _BEST], "SELECT count(*) FILTER (WHERE route = 'subscription') AS subscription, count(*) FILTER (WHERE route = 'api_key') AS api_key, count(*) FILTER (WHERE route = 'router') AS router, count(*) FILTER (WHERE route NOT IN ('subscription', 'api_key', 'router')) AS unknown FROM pref JOIN classes USING (event_id)", _W14)
+_SUBSCRIBED = _q([*_BILLED, _BEST, "sub AS (SELECT pref.* FROM pref JOIN classes USING (event_id) WHERE route = 'subscription')", *_usage("sub")], "SELECT * FROM usage_all", _W14)
+
+
+def _limits(e: DataFrame) -> DataFrame:
+    """Reports of two windows as each exported request would leave them, written as JSON and read again; some percents are out of range."""
+    rows = e.filter("event_type = 'api.request' and source = 'otel'")
+    window = lambda name, used, minutes: F.struct(F.lit(name).alias("name"), F.expr(used).cast("double").alias("used_percent"), F.lit(minutes).alias("window_minutes"), (F.col("ts") + minutes * 60_000).alias("resets_at"))
+    body = F.to_json(F.struct("agent", F.col("user_id").alias("account"), F.expr("ts * 1000 + output_tokens % 1000").alias("observed_at"), F.array(window("five hours", "output_tokens % 120", 300), window("week", "cache_read_tokens % 150", 10_080)).alias("windows")))
+    return usage.subscription_usage(normalize.usage_limits(rows.select(body.alias("body"))))
+
+
+_LIMITS = _q(["r AS (SELECT agent, user_id AS account, ts * 1000 + output_tokens % 1000 AS observed_at, ts, output_tokens % 120 AS short, cache_read_tokens % 150 AS long FROM log WHERE event_type = 'api.request' AND source = 'otel' QUALIFY row_number() OVER (PARTITION BY agent, user_id ORDER BY ts * 1000 + output_tokens % 1000 DESC) = 1)",
+              "w AS (SELECT agent, account, observed_at, 'five hours' AS name, CAST(short AS DOUBLE) AS used_percent, CAST(300 AS BIGINT) AS window_minutes, ts + 18000000 AS resets_at FROM r WHERE short <= 100 UNION ALL SELECT agent, account, observed_at, 'week', CAST(long AS DOUBLE), CAST(10080 AS BIGINT), ts + 604800000 FROM r WHERE long <= 100)"],
+    "SELECT * FROM w UNION ALL SELECT agent, account, observed_at, NULL, NULL, NULL, NULL FROM r WHERE short > 100 AND long > 100")
 
 
 # --- normalisers and scalars -----------------------------------------------------------------------------------------
@@ -257,15 +286,16 @@ _HEALTH = _q([], f"""SELECT collector, CASE WHEN ts IS NULL THEN 'never_seen' WH
 
 
 def _marks(e: DataFrame) -> DataFrame:
-    """Two changes noted for each server that was called, and the list of one of them."""
+    """A change noted on the day of the first call of each server and host, and again on that of the last; one server's list."""
+    calls = e.filter("event_type = 'tool.call' and mcp_server is not null").groupBy("mcp_server", "host_id").agg(F.min("dt").alias("first"), F.max("dt").alias("last"))
+    noted = calls.select(F.lit("mcp_bypass").alias("pattern_id"), F.col("mcp_server").alias("subject"), F.explode(F.array("first", "last", "last")).alias("dt"), F.concat(F.lit("calls of "), "mcp_server").alias("note"), "host_id")
     none = e.sparkSession.createDataFrame([], "pattern_id string, subject string, dt string, note string, host_id string, id string")
-    marks = none
-    for dt, note in (("2024-01-05", "first"), ("2024-01-15", "second"), ("2024-01-15", "second")):
-        marks = resolution.Marks.create(marks, "mcp_bypass", "github", dt, note, "host-1", TODAY)
-    return resolution.Marks.listed(marks, "mcp_bypass", "github", resolution.display_filter(device="host-1")).select("id", "pattern_id", "subject", "dt", "note", "host_id")
+    marks = resolution.Marks.added(none, noted, "9999-01-01")
+    return resolution.Marks.listed(marks, "mcp_bypass", "github", resolution.display_filter(device="all")).select("id", "pattern_id", "subject", "dt", "note", "host_id")
 
 
-_MARKS = "SELECT substr(sha256('mcp_bypass|github|' || dt || '|' || note || '|host-1'), 1, 32) AS id, 'mcp_bypass' AS pattern_id, 'github' AS subject, dt, note, 'host-1' AS host_id FROM (VALUES ('2024-01-05', 'first'), ('2024-01-15', 'second')) v(dt, note)"
+_MARKS = _q(["days AS (SELECT host_id, unnest(list_distinct([min(dt), max(dt)])) AS dt FROM log WHERE event_type = 'tool.call' AND mcp_server = 'github' GROUP BY host_id)"],
+    "SELECT substr(sha256('mcp_bypass|github|' || dt || '|calls of github|' || host_id), 1, 32) AS id, 'mcp_bypass' AS pattern_id, 'github' AS subject, dt, 'calls of github' AS note, host_id FROM days")
 
 
 def _latest(e: DataFrame) -> DataFrame:
@@ -315,7 +345,7 @@ _DEVICES = _q([
 OVER_EVENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "event_filters": _event_filters,
     "application_sessions": _applications,
-    "hook_latency": lambda e: folds.nearest_rank(e, "duration_ms"),
+    "hook_latency": lambda e: folds.nearest_rank(e.filter("source = 'hook'"), "duration_ms"),
     "model_series": lambda e: folds.model_series(usage.models_daily(e), 2),
     "folded_models": lambda e: folds.folded_series(usage.models_daily(e), folds.model_series(usage.models_daily(e), 2)),
     "mcp_page": lambda e: folds.merged_servers(usage.web_mcp(e), usage.web_unused_mcp(e, SERVERS)),
@@ -329,7 +359,10 @@ OVER_EVENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "fingerprint_links": _fingerprints,
     "device_links": _devices,
     "latest_events": _latest,
-    "billing_evidence": lambda e: _routes(e).select("event_id", "route"),
+    "billing_evidence": lambda e: billing.route_requests(*_requests(e)).select("event_id", "route"),
+    "billing_routes": lambda e: usage.billing_routes(*_requests(e)),
+    "subscription_models": lambda e: usage.subscription_models(*_requests(e)),
+    "subscription_usage": _limits,
     "hook_events": _hooked,
     "plugin_events": _reported,
     "exported_events": _exported,
@@ -338,10 +371,10 @@ OVER_EVENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "marks": _marks,
 }
 #: Days that a query covers; all for the others.
-DAYS = dict.fromkeys(["application_sessions", "model_series", "folded_models", "mcp_page"], 14) | {"focused_patterns": 30}
+DAYS = dict.fromkeys(["application_sessions", "model_series", "folded_models", "mcp_page", "billing_routes", "subscription_models"], 14) | {"focused_patterns": 30}
 SQL = {
     "event_filters": _EVENT_FILTERS, "application_sessions": _APPLICATIONS, "hook_latency": _LATENCY, "model_series": _SERIES, "folded_models": _FOLDED, "mcp_page": _SERVERS, "focused_patterns": _FOCUS, "session_context": _WITH_CONTEXT,
     "client_registry": _q([_REGISTRY], "SELECT * FROM registry"), "session_clients": _SESSION_CLIENTS, "classification_facts": _FACTS, "resolved_links": _LINKED, "resolved_scopes": _SCOPED, "fingerprint_links": _FINGERPRINTS, "device_links": _DEVICES,
-    "latest_events": _q([], "SELECT event_id, CASE WHEN ts % 2 = 0 THEN ts + 7 ELSE ts END AS ts, event_type FROM log"), "billing_evidence": _CLASSIFIED, "hook_events": _HOOKED, "plugin_events": _REPORTED, "exported_events": _EXPORTED, "tool_names": _NAMES,
+    "latest_events": _q([], "SELECT event_id, CASE WHEN ts % 2 = 0 THEN ts + 7 ELSE ts END AS ts, event_type FROM log"), "billing_evidence": _CLASSIFIED, "billing_routes": _ROUTE_COUNTS, "subscription_models": _SUBSCRIBED, "subscription_usage": _LIMITS, "hook_events": _HOOKED, "plugin_events": _REPORTED, "exported_events": _EXPORTED, "tool_names": _NAMES,
     "collector_health": _HEALTH, "marks": _MARKS,
 }
