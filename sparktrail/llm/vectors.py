@@ -3,7 +3,7 @@
 Vectors are quantised by products of four-bit codebooks whose training and assignment weigh the part of the residual
 parallel to the vector more than the rest, since only that part changes high inner products much. A search adds up
 table entries for the codes of a block of vectors, reranks the best of the block by exact inner products, and then every other
-vector that, by the norm of its residual, could still be among the nearest.
+vector that, by the norm of its residual, could well be among the nearest: however many these are, none is cut off.
 """
 
 from __future__ import annotations
@@ -129,11 +129,14 @@ def index(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
     return rows.mapInArrow(encode, f"row long, vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, codes binary, residual double")
 
 
-def scan(queries: np.ndarray, query_rows: np.ndarray, x: np.ndarray, rows_of: np.ndarray, ids: np.ndarray, codes: np.ndarray, residual: np.ndarray, q: Quantiser, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the query, vec_id, score) of the k best of a block for each query. Equal vectors are scanned once and all counted.
+def scan(queries: np.ndarray, query_rows: np.ndarray, x: np.ndarray, rows_of: np.ndarray, ids: np.ndarray, codes: np.ndarray, residual: np.ndarray, q: Quantiser, k: int, rerank: int, deviations: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, vec_id, score) of the k best of a block for each query, and how many vectors each query reranked.
 
-    After the `rerank` best by their codes, all vectors are reranked whose approximate score plus |query| * residual reaches
-    the k-th exact score (one more for the query itself); so none of the k best is missed.
+    Equal vectors are scanned once and all counted. After the `rerank` best by their codes, every vector is reranked whose
+    approximate score comes within a margin of the k-th exact score (one more for the query itself). The margin is what the
+    inner product of query and residual is likely to reach: |query| * residual / sqrt(dims), which is its standard deviation
+    for a residual of any direction, times `deviations`; with sqrt(dims) of them and more it is the bound that can't be passed.
+    Where many vectors have nearly the same codes, all of them are reranked, as none can be told from the others.
     """
     order = np.argsort(ids, kind="stable")
     x, ids, rows_of, codes, residual = np.ascontiguousarray(x[order]), ids[order], rows_of[order], codes[order], residual[order]
@@ -143,8 +146,9 @@ def scan(queries: np.ndarray, query_rows: np.ndarray, x: np.ndarray, rows_of: np
     x64, codes = x[first].astype(np.float64), codes[first].T.astype(np.intp)
     residual = residual[first]
     reach = np.linalg.norm(x64, axis=1) + residual
+    likely = residual * min(1.0, deviations / np.sqrt(x.shape[1])) + 1e-5 * reach  # the second term bears the rounding of table sums
     many, enough = min(rerank, len(first)), min(k + 1, len(first))
-    out: list[tuple] = []
+    out, looked_at = [], np.zeros(len(queries), np.int64)
     parts = q.parts(queries.astype(np.float64))
     pad = codes.shape[0] * 2 - len(q.books)
     for a in range(0, len(queries), 64):
@@ -157,32 +161,28 @@ def scan(queries: np.ndarray, query_rows: np.ndarray, x: np.ndarray, rows_of: np
             score += pairs[:, j].take(codes[j], axis=1)
         some64 = queries[a : a + 64].astype(np.float64)
         norm = np.linalg.norm(some64, axis=1)
-        # the second term bears the rounding of the table entries and of their sums
-        bound = score + norm[:, None] * (residual + 1e-5 * reach)
         best = np.argpartition(-score, many - 1, axis=1)[:, :many] if many < len(first) else np.tile(np.arange(many), (len(some), 1))
-        whole = None
+        found: list[tuple] = []
         for r in range(len(some)):
             slack = 1e-12 * norm[r] * reach.max()
             rows = best[r]
             exact = x64[rows] @ some64[r]
             kth = np.partition(exact, len(exact) - enough)[len(exact) - enough]
-            more = bound[r] >= kth - slack
-            more[rows] = False
-            n = int(np.count_nonzero(more))
-            if n > many:  # so many that one product for all queries at hand costs less
-                whole = x64 @ some64.T if whole is None else whole
-                rows, exact = np.arange(len(first)), whole[:, r]
-            elif n:
-                others = np.flatnonzero(more)
+            near = score[r] + norm[r] * likely >= kth - slack
+            near[rows] = False
+            others = np.flatnonzero(near)
+            if len(others):
                 rows, exact = np.concatenate([rows, others]), np.concatenate([exact, x64[others] @ some64[r]])
-            kth = np.partition(exact, len(exact) - enough)[len(exact) - enough]
+                kth = np.partition(exact, len(exact) - enough)[len(exact) - enough]
+            looked_at[a + r] = len(rows)
             top = rows[exact >= kth - slack]
             exact = (x64[top] * some64[r]).sum(1)  # rounds alike wherever a vector stands, so that ties are ties
-            found = [(-s, ids[j]) for t, s in zip(top, exact, strict=True) for j in by_copy[bounds[t] : bounds[t + 1]][: k + 1] if rows_of[j] != query_rows[a + r]]
-            found.sort()
-            out.extend((a + r, i, -s) for s, i in found[:k])
-    cols = list(zip(*out, strict=True)) if out else [[], [], []]
-    return np.array(cols[0], np.int64), np.array(cols[1], np.int64), np.array(cols[2], np.float64)
+            mine = [(-s, ids[j]) for t, s in zip(top, exact, strict=True) for j in by_copy[bounds[t] : bounds[t + 1]][: k + 1] if rows_of[j] != query_rows[a + r]]
+            mine.sort()
+            found.extend((a + r, i, -s) for s, i in mine[:k])
+        out.append([np.array(c, t) for c, t in zip(zip(*found, strict=True), (np.int64, np.int64, np.float64), strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)])
+    at, found_ids, scores = (np.concatenate([c[i] for c in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64)))
+    return at, found_ids, scores, looked_at
 
 
 def fit(rows: DataFrame, sample: int) -> Quantiser | None:
@@ -208,7 +208,7 @@ def fit(rows: DataFrame, sample: int) -> Quantiser | None:
     return q
 
 
-def search(vectors: DataFrame, asked: str, k: int = 20, rerank: int = 1600, sample: int = 10_000) -> DataFrame:
+def search(vectors: DataFrame, asked: str, k: int = 20, rerank: int = 400, sample: int = 10_000, deviations: float = 4.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by inner product of each row that fulfils `asked`, an SQL condition.
 
     All rows but the query's own are candidates. A repeated row is a query of its own and the other's candidate, so its id
@@ -216,8 +216,9 @@ def search(vectors: DataFrame, asked: str, k: int = 20, rerank: int = 1600, samp
     no part, nor do rows without an id, nor vectors of another length than most of the sample. An empty table gives no rows.
 
     The quantiser is fitted on at most `sample` vectors; every usable vector is indexed, once, and written. Blocks of queries
-    meet blocks of vectors; of each block a task reranks `rerank` distinct vectors per query and all others that could be
-    nearer, and passes on k. Fewer candidates than k give fewer rows.
+    meet blocks of vectors; of each block a task reranks `rerank` distinct vectors per query and all others within the margin
+    of `deviations` (see `scan`), and passes on k. Fewer candidates than k give fewer rows. A neighbour is missed only where its
+    residual and the query go together by more than that many standard deviations.
     """
     spark = vectors.sparkSession
     rows = materialize(usable(vectors), "vectors")
@@ -240,7 +241,7 @@ def search(vectors: DataFrame, asked: str, k: int = 20, rerank: int = 1600, samp
             codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(right.num_rows, -1)
             matrix = lambda c: _matrix(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c)
             whole = {c: np.asarray(right.column(c)) for c in ("row", "vec_id", "residual")}
-            at, b, c = scan(matrix(left.column("query")), np.asarray(left.column("query_row")), matrix(right.column("embedding")), whole["row"], whole["vec_id"], codes, whole["residual"], quantiser, k, rerank)
+            at, b, c, _ = scan(matrix(left.column("query")), np.asarray(left.column("query_row")), matrix(right.column("embedding")), whole["row"], whole["vec_id"], codes, whole["residual"], quantiser, k, rerank, deviations)
         place = pa.array(at)
         return pa.table({"query_row": left.column("query_row").take(place), "query_id": left.column("query_id").take(place), "vec_id": b, "score": c})
 

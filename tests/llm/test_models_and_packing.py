@@ -320,9 +320,36 @@ def test_the_codes_decide_what_is_reranked():
     packed = (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
     asked = np.arange(0, 6000, 300)
     truth = [set(np.argsort(-np.where(ids == i, -np.inf, x.astype(float) @ x[i].astype(float)))[:20]) for i in asked]
-    for residual, least in ((np.zeros(6000), 0.9), (q.residual(x.astype(np.float64), codes), 1.0)):  # without and with the bound
-        a, b, _ = vectors.scan(x[asked], asked, x, ids, ids, packed, residual, q, 20, 300)
+    own = q.residual(x.astype(np.float64), codes)
+    # without a margin, with the one that is used, and with the bound that can't be passed
+    for residual, deviations, least, most in ((np.zeros(6000), 4, 0.9, 0.051), (own, 4, 0.995, 0.2), (own, 6, 1.0, 1.0)):
+        a, b, _, looked_at = vectors.scan(x[asked], asked, x, ids, ids, packed, residual, q, 20, 300, deviations)
         assert np.mean([len(t & set(b[a == k])) / 20 for k, t in enumerate(truth)]) >= least
+        assert looked_at.min() >= 300 and looked_at.mean() <= most * 6000
+
+
+@pytest.mark.parametrize("kind", ["directions", "norms", "clusters"])
+def test_few_vectors_are_reranked_and_few_neighbours_missed(kind):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(16_384, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "norms":
+        x *= rng.lognormal(size=(len(x), 1))
+    if kind == "clusters":
+        x = rng.normal(size=(40, 64))[rng.integers(0, 40, len(x))] + 0.3 * rng.normal(size=x.shape)
+    x, ids = x.astype(np.float32), np.arange(len(x))
+    q = vectors.train(x[:4096].astype(np.float64))
+    codes = np.concatenate([q.assign(x[i : i + 2048].astype(np.float64)) for i in range(0, len(x), 2048)])
+    residual = np.concatenate([q.residual(x[i : i + 2048].astype(np.float64), codes[i : i + 2048]) for i in range(0, len(x), 2048)])
+    packed = (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
+    asked = np.arange(0, len(x), 400)
+    a, b, _, looked_at = vectors.scan(x[asked], asked, x, ids, ids, packed, residual, q, 20, 400, 4.0)
+    hits = 0
+    for place, one in enumerate(asked):
+        s = x.astype(np.float64) @ x[one].astype(np.float64)
+        s[one] = -np.inf
+        hits += len(set(b[a == place]) & set(np.argsort(-s)[:20]))
+    assert hits >= 0.99 * 20 * len(asked) and looked_at.mean() < 0.1 * len(x) and looked_at.max() < 0.2 * len(x)
 
 
 def test_no_neighbour_is_lost_in_a_group_of_near_equal_vectors():
@@ -336,7 +363,7 @@ def test_no_neighbour_is_lost_in_a_group_of_near_equal_vectors():
     residual = np.concatenate([q.residual(x[i : i + 2048].astype(np.float64), codes[i : i + 2048]) for i in range(0, len(x), 2048)])
     packed = (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
     asked = np.array([0, 17, 4000, 6000, 9000])
-    a, b, _ = vectors.scan(x[asked], asked, x, ids, ids, packed, residual, q, 20, 1600)
+    a, b, _, _ = vectors.scan(x[asked], asked, x, ids, ids, packed, residual, q, 20, 400, 4.0)
     for place, one in enumerate(asked):
         s = x.astype(np.float64) @ x[one].astype(np.float64)
         s[one] = -np.inf
