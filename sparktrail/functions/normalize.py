@@ -68,16 +68,47 @@ def hooks(raw: DataFrame, host: str, agent: str = "claude-code") -> DataFrame:
     )
 
 
-_ATTRIBUTES = "array<struct<key: string, value: struct<stringValue: string, intValue: string, doubleValue: double, boolValue: boolean>>>"
+_ATTRIBUTES = "array<struct<key: string, value: struct<stringValue: string, intValue: string, doubleValue: string, boolValue: boolean>>>"
 _LOGS = f"resourceLogs array<struct<resource: struct<attributes: {_ATTRIBUTES}>, scopeLogs: array<struct<logRecords: array<struct<timeUnixNano: string, observedTimeUnixNano: string, eventName: string, body: struct<stringValue: string>, traceId: string, spanId: string, attributes: {_ATTRIBUTES}>>>>>>"
 
 
 def attributes(column: str) -> Column:
-    """A map of names to texts from a list of typed attributes; the first of a name counts."""
-    text = lambda x: F.coalesce(x["value"]["stringValue"], x["value"]["intValue"], x["value"]["doubleValue"].cast("string"), x["value"]["boolValue"].cast("string"))
+    """A map of names to (kind, text) from a list of typed attributes; the first of a name counts.
+
+    kind: string, int, double or bool; lists, maps and bytes have neither kind nor text.
+    """
+    kinds = {"string": "stringValue", "int": "intValue", "double": "doubleValue", "bool": "boolValue"}
+
+    def read(x: Column) -> Column:
+        kind, text = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for name, field in reversed(kinds.items()):
+            value = x["value"][field].cast("string")
+            kind, text = F.when(value.isNotNull(), name).otherwise(kind), F.coalesce(value, text)
+        return F.struct(kind.alias("kind"), text.alias("text")).cast("struct<kind: string, text: string>")
+
     listed = F.filter(F.coalesce(column, F.array().cast(_ATTRIBUTES)), lambda x: x["key"].isNotNull())
     names = F.array_distinct(F.transform(listed, lambda x: x["key"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.transform(F.filter(listed, lambda x: x["key"] == n), text), 1)))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.transform(F.filter(listed, lambda x: x["key"] == n), read), 1)))
+
+
+def as_text(v: Column) -> Column:
+    return v["text"]
+
+
+def as_long(v: Column) -> Column:
+    """Whole numbers, also written as texts; of doubles the whole part. Texts of fractions, and booleans, aren't numbers."""
+    whole = F.trim(v["text"]).try_cast("bigint")
+    return F.when(v["kind"] == "double", v["text"].try_cast("double").try_cast("bigint")).when(v["kind"].isin("int", "string"), whole)
+
+
+def as_double(v: Column) -> Column:
+    return F.when(v["kind"] != "bool", F.trim(v["text"]).try_cast("double"))
+
+
+def as_flag(v: Column) -> Column:
+    """Booleans and their texts; of whole numbers whether they aren't 0."""
+    text = F.trim(v["text"])
+    return F.when(v["kind"] == "int", text.try_cast("bigint") != 0).when(v["kind"].isin("bool", "string"), F.when(text == "true", True).when(text == "false", False))
 
 
 def log_records(raw: DataFrame) -> DataFrame:
@@ -86,14 +117,14 @@ def log_records(raw: DataFrame) -> DataFrame:
     r = r.select("shared", F.explode("s.logRecords").alias("l")).withColumn("own", attributes("l.attributes"))
     merged = F.map_concat("own", F.map_filter("shared", lambda k, _: ~F.map_contains_key(F.col("own"), k)))
     time = lambda c: F.nullif(F.col(c).try_cast("bigint"), F.lit(0))
-    return r.select(merged.alias("a"), F.coalesce("l.eventName", F.element_at("own", "event.name"), "l.body.stringValue").alias("name"), F.coalesce(time("l.timeUnixNano"), time("l.observedTimeUnixNano")).alias("nanos"), F.col("l.traceId").alias("trace"), F.col("l.spanId").alias("span"))
+    return r.select(merged.alias("a"), F.coalesce(F.nullif("l.eventName", F.lit("")), as_text(F.element_at("own", "event.name")), "l.body.stringValue").alias("name"), F.coalesce(time("l.timeUnixNano"), time("l.observedTimeUnixNano")).alias("nanos"), F.col("l.traceId").alias("trace"), F.col("l.spanId").alias("span"))
 
 
 def otlp_logs(raw: DataFrame, host: str, now_ms: int) -> DataFrame:
     """Events of the first agent's log export."""
     r = log_records(raw).withColumn("short", F.regexp_replace("name", r"^claude_code\.", "")).withColumn("event_type", looked_up(F.col("short"), RECORDS)).filter("event_type is not null")
-    a = lambda k: F.element_at("a", k)
-    number = lambda k: a(k).try_cast("bigint")
+    a = lambda k: as_text(F.element_at("a", k))
+    number = lambda k: as_long(F.element_at("a", k))
     blank = F.lit("")
     key = F.concat_ws(":", F.lit("record"), F.coalesce(a("session.id"), blank), F.col("nanos").cast("string"), F.coalesce("trace", blank), F.coalesce("span", blank), F.coalesce(a("tool_use_id"), blank))
     stamp = F.coalesce(F.expr("nanos div 1000000"), F.lit(now_ms))
@@ -102,15 +133,15 @@ def otlp_logs(raw: DataFrame, host: str, now_ms: int) -> DataFrame:
         r, event_id=event_id(F.lit(host), F.lit("otel"), F.col("event_type"), key), ts=stamp, dt=day_of(stamp), org_id=a("organization.id"), user_id=a("user.email"), user_id_source=F.when(a("user.email").isNotNull(), "agent_email"),
         host_id=F.lit(host), agent=F.lit("claude-code"), source=F.lit("otel"), session_id=a("session.id"), correlation_key=a("tool_use_id"), correlation_confidence=F.when(a("tool_use_id").isNotNull(), "exact").otherwise("none"),
         tool_name=tool, tool_kind=tool_kind(tool), mcp_server=mcp_server(tool), mcp_tool=mcp_tool(tool), model=a("model"), effort=a("effort"), agent_type=a("agent.name"), query_source=a("query_source"),
-        input_tokens=number("input_tokens"), output_tokens=number("output_tokens"), cache_read_tokens=number("cache_read_tokens"), cache_write_tokens=number("cache_creation_tokens"), cost_usd=a("cost_usd").try_cast("double"),
-        duration_ms=number("duration_ms"), success=a("success").try_cast("boolean"), error_type=F.when(F.col("event_type") == "api.error", a("error")), decision=a("decision"), decision_source=F.when(F.col("event_type") == "hook.decision", a("source")),
+        input_tokens=number("input_tokens"), output_tokens=number("output_tokens"), cache_read_tokens=number("cache_read_tokens"), cache_write_tokens=number("cache_creation_tokens"), cost_usd=as_double(F.element_at("a", "cost_usd")),
+        duration_ms=number("duration_ms"), success=as_flag(F.element_at("a", "success")), error_type=F.when(F.col("event_type") == "api.error", a("error")), decision=a("decision"), decision_source=F.when(F.col("event_type") == "hook.decision", a("source")),
     )
 
 
 def codex_responses(raw: DataFrame, host: str, now_ms: int) -> DataFrame:
     """API requests of the second agent's log export; warm-ups (two input tokens at most, nothing else) are dropped."""
-    a = lambda k: F.element_at("a", k)
-    n = lambda k: a(f"{k}_token_count").try_cast("bigint")
+    a = lambda k: as_text(F.element_at("a", k))
+    n = lambda k: as_long(F.element_at("a", f"{k}_token_count"))
     r = log_records(raw).filter((a("event.name") == "codex.sse_event") & (a("event.kind") == "response.completed"))
     warm = (F.coalesce(n("input"), F.lit(0)) <= 2) & (F.coalesce(n("output"), F.lit(0)) + F.coalesce(n("cached"), F.lit(0)) + F.coalesce(n("reasoning"), F.lit(0)) == 0)
     stamp = F.coalesce(millis(a("event.timestamp")), F.expr("nanos div 1000000"), F.lit(now_ms))
