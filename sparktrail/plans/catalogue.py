@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparktrail.functions.scalars import token_estimate
 from sparktrail.operators import patterns, pricing, session_detail, usage
 
-from . import derived
+from . import derived, written
 from .event_log import SILENT_BEFORE_MS, TODAY, event_log
 from .oracle import FETCHED, ORACLE, PLAN_PRICES, PRICES, SERVERS
 
@@ -97,7 +97,7 @@ def _branch(name: str) -> Callable[[DataFrame], DataFrame]:
 _OVER_EVENTS |= {f"pattern_{name}": _branch(name) for name in patterns.BRANCHES}
 
 
-_OVER_EVENTS |= derived.OVER_EVENTS
+_OVER_EVENTS |= derived.OVER_EVENTS | written.OVER_EVENTS
 DAYS |= derived.DAYS
 
 
@@ -131,4 +131,4 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES = {name: _query(name) for name in (*_OVER_EVENTS, *_OVER_SESSION)} | {"token_estimates": token_estimates}
-ORACLE_SQL = ORACLE | derived.SQL
+ORACLE_SQL = ORACLE | derived.SQL | written.SQL
