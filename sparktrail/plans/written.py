@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktrail.functions import normalize
+from sparktrail.session import shared_folder, stored
+from sparktrail.sources.ledger import Ledger
 from sparktrail.sources.settings import configured_servers
-from sparktrail.session import stored
 
 from .oracle import _q
 
@@ -107,5 +108,23 @@ def host_servers(e: DataFrame) -> DataFrame:
 
 _HOST_SERVERS = _q([], "SELECT host_id, CAST(to_json(list_sort(list(DISTINCT name))) AS VARCHAR) AS servers FROM (SELECT host_id, unnest(from_json(configured_mcp_servers, '[\"VARCHAR\"]')) AS name FROM log WHERE configured_mcp_servers IS NOT NULL AND ts % 3 <> 0) GROUP BY host_id")
 
-OVER_EVENTS: dict[str, Callable[[DataFrame], DataFrame]] = {"transcript_events": transcript_events, "rollout_events": rollout_events, "host_servers": host_servers}
-SQL = {"transcript_events": _TRANSCRIPTS, "rollout_events": _ROLLOUTS, "host_servers": _HOST_SERVERS}
+def ledger_rows(e: DataFrame) -> DataFrame:
+    """Two pages of changes, made of the log's rows by their numbers, applied to a ledger of local rows."""
+    number = F.regexp_extract("event_id", r"^(\d+)-", 1).cast("long")
+    tag = F.array_position(F.array(*map(F.lit, ("call", "resh", "reso", "deny", "apio", "apil", "apie", "sess"))), F.regexp_extract("event_id", "-(.*)$", 1))
+    rows = stored(e.select("event_id", "event_type", number.alias("n"), (number * 8 + tag).alias("sequence")))
+    ledger, far = Ledger(e.sparkSession, shared_folder(e.sparkSession, "ledger")), 10**12
+    ledger.record(rows.filter("n % 7 = 0").select("event_id", F.col("event_type").alias("payload")))
+    ledger.apply_page("r", 0, far, rows.filter("n % 2 = 0").select("sequence", "event_id", F.lit(False).alias("deleted"), F.lit("v1").alias("payload")))
+    gone = F.col("n") % 5 == 0
+    ledger.apply_page("r", far, 2 * far, rows.filter("n % 3 = 0").select((F.col("sequence") + far).alias("sequence"), "event_id", gone.alias("deleted"), F.when(~gone, "v2").alias("payload")))
+    ledger.compact()
+    return ledger.rows()
+
+
+_LEDGER = _q(["rows_ AS (SELECT event_id, event_type, CAST(regexp_extract(event_id, '^(\\d+)-', 1) AS BIGINT) AS n FROM log)"],
+    "SELECT 'local' AS scope, event_id, event_type AS payload FROM rows_ WHERE n % 7 = 0 UNION ALL SELECT 'r', event_id, CASE WHEN n % 3 = 0 THEN 'v2' ELSE 'v1' END FROM rows_ WHERE (n % 2 = 0 OR n % 3 = 0) AND NOT (n % 15 = 0)")
+
+
+OVER_EVENTS: dict[str, Callable[[DataFrame], DataFrame]] = {"transcript_events": transcript_events, "rollout_events": rollout_events, "host_servers": host_servers, "ledger_rows": ledger_rows}
+SQL = {"transcript_events": _TRANSCRIPTS, "rollout_events": _ROLLOUTS, "host_servers": _HOST_SERVERS, "ledger_rows": _LEDGER}

@@ -41,16 +41,21 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df worked out once and read back from the session's checkpoint folder, which cuts its lineage.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the session's checkpoint folder, which all executors share (spark.checkpoint.dir).
 
-    A cluster must have that folder (spark.checkpoint.dir); in local mode a temporary one stands in.
+    A cluster must have it; in local mode a temporary one stands in.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sparktrail-"))
-    path = f"{context.getCheckpointDir().rstrip('/')}/stored-{uuid.uuid4().hex}"
+    return f"{context.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df worked out once and read back from the session's checkpoint folder, which cuts its lineage."""
+    path = shared_folder(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
