@@ -62,7 +62,8 @@ def _with_context(e: DataFrame) -> DataFrame:
 
 _LATEST = ", ".join(f"arg_max({c}, (ts, event_id)) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in _CONTEXT_COLUMNS if c != "cwd_hash")
 _WITH_CONTEXT = _q([f"known AS (SELECT session_id, {_LATEST} FROM log WHERE source = 'log' AND session_id IS NOT NULL GROUP BY session_id)"],
-    "SELECT o.event_id, coalesce(o.repo, k.repo) AS repo, CAST(NULL AS VARCHAR) AS cwd_hash, coalesce(o.provider, k.provider) AS provider, coalesce(o.turn_id, k.turn_id) AS turn_id, coalesce(o.model, k.model) AS model, coalesce(o.effort, k.effort) AS effort, coalesce(k.agent_version, o.agent_version) AS agent_version, o.billing_route"
+    "SELECT o.event_id, coalesce(o.repo, k.repo) AS repo, CAST(NULL AS VARCHAR) AS cwd_hash, coalesce(o.provider, k.provider) AS provider, coalesce(o.turn_id, k.turn_id) AS turn_id, coalesce(o.model, "
+        "k.model) AS model, coalesce(o.effort, k.effort) AS effort, coalesce(k.agent_version, o.agent_version) AS agent_version, o.billing_route"
     " FROM log o LEFT JOIN known k ON o.session_id = k.session_id WHERE o.event_type = 'api.request' AND o.source = 'otel'")
 
 
@@ -83,7 +84,8 @@ def _session_clients(e: DataFrame) -> DataFrame:
 
 
 _SESSION_CLIENTS = _q([_REGISTRY, "named AS (SELECT session_id, host_id, max(CASE client WHEN 'claude_desktop_code' THEN 'codex_desktop,zed' ELSE client END) AS client FROM log WHERE session_id IS NOT NULL GROUP BY ALL)"],
-    "SELECT n.session_id, n.host_id, CASE WHEN r.client IS NULL THEN n.client WHEN n.client IS NULL THEN r.client WHEN list_contains(string_split(n.client, ','), 'codex_desktop') THEN array_to_string(list_sort(list_distinct(list_concat(list_filter(string_split(n.client, ','), lambda x: x <> 'codex_desktop'), string_split(r.client, ',')))), ',') ELSE n.client END AS client"
+    "SELECT n.session_id, n.host_id, CASE WHEN r.client IS NULL THEN n.client WHEN n.client IS NULL THEN r.client WHEN list_contains(string_split(n.client, ','), 'codex_desktop') THEN "
+        "array_to_string(list_sort(list_distinct(list_concat(list_filter(string_split(n.client, ','), lambda x: x <> 'codex_desktop'), string_split(r.client, ',')))), ',') ELSE n.client END AS client"
     " FROM named n LEFT JOIN registry r ON r.session_id = n.session_id AND r.host_id = n.host_id AND n.host_id = 'host-2'")
 
 _FACTS = _q([_REGISTRY], "SELECT substr(sha256(host_id || '|log|session.client|originator-v1:' || session_id || ':' || client), 1, 32) AS event_id, host_id, session_id, client, CAST(0 AS BIGINT) AS ts, '1970-01-01' AS dt FROM registry WHERE client = 'chatgpt_desktop_cowork'")
@@ -104,11 +106,14 @@ def _linked(e: DataFrame) -> DataFrame:
 
 
 _LINKED = _q([
-    "mine AS (SELECT event_id, host_id, agent, event_type, session_id, turn_id, output_tokens, coalesce(correlation_key, CASE WHEN event_type = 'api.request' THEN turn_id END) AS k, CASE WHEN event_type = 'api.request' THEN 'claude_desktop' WHEN agent = 'codex' AND event_type = 'turn' THEN NULL ELSE client END AS client FROM log)",
+    "mine AS (SELECT event_id, host_id, agent, event_type, session_id, turn_id, output_tokens, coalesce(correlation_key, CASE WHEN event_type = 'api.request' THEN turn_id END) AS k, CASE WHEN "
+        "event_type = 'api.request' THEN 'claude_desktop' WHEN agent = 'codex' AND event_type = 'turn' THEN NULL ELSE client END AS client FROM log)",
     "no AS (SELECT DISTINCT host_id, session_id, k FROM mine WHERE event_type = 'api.request' AND session_id IS NOT NULL AND output_tokens % 10 = 0)",
-    "yes AS (SELECT host_id, session_id, k, min(output_tokens % 4) AS m FROM mine b WHERE event_type = 'api.request' AND session_id IS NOT NULL AND output_tokens % 3 = 0 AND NOT EXISTS (SELECT 1 FROM no WHERE no.host_id = b.host_id AND no.session_id = b.session_id AND no.k = b.k) GROUP BY ALL HAVING count(DISTINCT output_tokens % 4) = 1)",
+    "yes AS (SELECT host_id, session_id, k, min(output_tokens % 4) AS m FROM mine b WHERE event_type = 'api.request' AND session_id IS NOT NULL AND output_tokens % 3 = 0 AND NOT EXISTS (SELECT 1 FROM "
+        "no WHERE no.host_id = b.host_id AND no.session_id = b.session_id AND no.k = b.k) GROUP BY ALL HAVING count(DISTINCT output_tokens % 4) = 1)",
     "work AS (SELECT DISTINCT host_id, session_id FROM mine WHERE event_type = 'turn' AND agent = 'codex' AND session_id IS NOT NULL)"],
-    "SELECT b.event_id, CASE WHEN y.m IS NULL THEN b.session_id ELSE 'chat-' || b.session_id END AS session_id, CASE WHEN y.m IS NULL THEN b.turn_id ELSE 'm' || y.m END AS turn_id, CASE WHEN b.agent = 'codex' AND b.client IS NULL AND w.host_id IS NOT NULL THEN 'chatgpt_desktop_cowork' ELSE b.client END AS client, CASE WHEN y.m IS NOT NULL THEN 'content_match' END AS correlation_confidence"
+    "SELECT b.event_id, CASE WHEN y.m IS NULL THEN b.session_id ELSE 'chat-' || b.session_id END AS session_id, CASE WHEN y.m IS NULL THEN b.turn_id ELSE 'm' || y.m END AS turn_id, CASE WHEN b.agent "
+        "= 'codex' AND b.client IS NULL AND w.host_id IS NOT NULL THEN 'chatgpt_desktop_cowork' ELSE b.client END AS client, CASE WHEN y.m IS NOT NULL THEN 'content_match' END AS correlation_confidence"
     " FROM mine b LEFT JOIN yes y ON b.event_type = 'api.request' AND y.host_id = b.host_id AND y.session_id = b.session_id AND y.k = b.k LEFT JOIN work w ON w.host_id = b.host_id AND w.session_id = b.session_id")
 
 
@@ -158,7 +163,8 @@ def _evidence(e: DataFrame) -> billing.Evidence:
     asked, key = e.filter("event_type = 'api.request'"), ["host_id", "session_id AS auth_session_id", "turn_id"]
     codex, own = asked.filter("agent = 'codex'"), _paid(asked).filter("agent = 'claude-code'")
     return billing.Evidence(
-        origins=asked.filter("output_tokens % 17 = 1").selectExpr("event_id AS remote_id", "event_id || '-local' AS local_id", "'host-9' AS host_id", "CASE output_tokens % 3 WHEN 0 THEN 'router' WHEN 1 THEN 'openai' END AS provider", "CASE WHEN output_tokens % 8 = 1 THEN 'subscription' END AS route"),
+        origins=asked.filter("output_tokens % 17 = 1").selectExpr("event_id AS remote_id", "event_id || '-local' AS local_id", "'host-9' AS host_id", "CASE output_tokens % 3 WHEN 0 THEN 'router' WHEN "
+            "1 THEN 'openai' END AS provider", "CASE WHEN output_tokens % 8 = 1 THEN 'subscription' END AS route"),
         event_routes=asked.filter("output_tokens % 13 = 2").selectExpr("event_id", "CASE output_tokens % 5 WHEN 0 THEN 'router' WHEN 1 THEN 'api_key' ELSE 'subscription' END AS route"),
         review_turns=codex.filter("output_tokens % 9 = 0 and session_id is not null").selectExpr("host_id", "turn_id", "session_id AS thread_id"),
         turn_auth=codex.filter("output_tokens % 2 = 0").selectExpr(*key, "ts - 500 AS ts", "CASE output_tokens % 3 WHEN 0 THEN 'subscription' WHEN 1 THEN 'api_key' ELSE 'unknown' END AS route"),
@@ -203,7 +209,8 @@ _CLASSES = """classes AS (SELECT event_id, CASE
 _BILLED = [_PAID, _TURNS, _ROUTED, _TOLD, _ANSWERED, _WEIGHED, _CLASSES]
 _CLASSIFIED = _q(_BILLED, "SELECT event_id, route FROM classes")
 _BEST = _PREF.replace("FROM log", "FROM u")
-_ROUTE_COUNTS = _q([*_BILLED, _BEST], "SELECT count(*) FILTER (WHERE route = 'subscription') AS subscription, count(*) FILTER (WHERE route = 'api_key') AS api_key, count(*) FILTER (WHERE route = 'router') AS router, count(*) FILTER (WHERE route NOT IN ('subscription', 'api_key', 'router')) AS unknown FROM pref JOIN classes USING (event_id)", _W14)
+_ROUTE_COUNTS = _q([*_BILLED, _BEST], "SELECT count(*) FILTER (WHERE route = 'subscription') AS subscription, count(*) FILTER (WHERE route = 'api_key') AS api_key, count(*) FILTER (WHERE route = "
+    "'router') AS router, count(*) FILTER (WHERE route NOT IN ('subscription', 'api_key', 'router')) AS unknown FROM pref JOIN classes USING (event_id)", _W14)
 _SUBSCRIBED = _q([*_BILLED, _BEST, "sub AS (SELECT pref.* FROM pref JOIN classes USING (event_id) WHERE route = 'subscription')", *_usage("sub")], "SELECT * FROM usage_all", _W14)
 
 
@@ -215,8 +222,10 @@ def _limits(e: DataFrame) -> DataFrame:
     return usage.subscription_usage(normalize.usage_limits(rows.select(body.alias("body"))))
 
 
-_LIMITS = _q(["r AS (SELECT agent, user_id AS account, ts * 1000 + output_tokens % 1000 AS observed_at, ts, output_tokens % 120 AS short, cache_read_tokens % 150 AS long FROM log WHERE event_type = 'api.request' AND source = 'otel' QUALIFY row_number() OVER (PARTITION BY agent, user_id ORDER BY ts * 1000 + output_tokens % 1000 DESC) = 1)",
-              "w AS (SELECT agent, account, observed_at, 'five hours' AS name, CAST(short AS DOUBLE) AS used_percent, CAST(300 AS BIGINT) AS window_minutes, ts + 18000000 AS resets_at FROM r WHERE short <= 100 UNION ALL SELECT agent, account, observed_at, 'week', CAST(long AS DOUBLE), CAST(10080 AS BIGINT), ts + 604800000 FROM r WHERE long <= 100)"],
+_LIMITS = _q(["r AS (SELECT agent, user_id AS account, ts * 1000 + output_tokens % 1000 AS observed_at, ts, output_tokens % 120 AS short, cache_read_tokens % 150 AS long FROM log WHERE event_type = "
+    "'api.request' AND source = 'otel' QUALIFY row_number() OVER (PARTITION BY agent, user_id ORDER BY ts * 1000 + output_tokens % 1000 DESC) = 1)",
+              "w AS (SELECT agent, account, observed_at, 'five hours' AS name, CAST(short AS DOUBLE) AS used_percent, CAST(300 AS BIGINT) AS window_minutes, ts + 18000000 AS resets_at FROM r WHERE "
+                  "short <= 100 UNION ALL SELECT agent, account, observed_at, 'week', CAST(long AS DOUBLE), CAST(10080 AS BIGINT), ts + 604800000 FROM r WHERE long <= 100)"],
     "SELECT * FROM w UNION ALL SELECT agent, account, observed_at, NULL, NULL, NULL, NULL FROM r WHERE short > 100 AND long > 100")
 
 
@@ -270,7 +279,8 @@ def _names(e: DataFrame) -> DataFrame:
     return e.filter("tool_name is not null").select("event_id", scalars.tool_kind(t).alias("tool_kind"), scalars.mcp_server(t).alias("mcp_server"), scalars.mcp_tool(t).alias("mcp_tool"), scalars.repository(remote).alias("remote"), scalars.glob_matches(F.col("repo"), ["org/repo-[", "org/repo-?", "*-9"]).alias("allowed"), scalars.folder_hash(F.col("repo")).alias("folder"))
 
 
-_NAMES = _q([], f"SELECT event_id, {_KIND} AS tool_kind, {_MCP.format(2)} AS mcp_server, {_MCP.format(3)} AS mcp_tool, 'https://example.org/' || repo AS remote, coalesce(regexp_full_match(repo, 'org/repo-.|.*-9'), false) AS allowed, substr(sha256(repo), 1, 16) AS folder FROM log WHERE tool_name IS NOT NULL")
+_NAMES = _q([], f"SELECT event_id, {_KIND} AS tool_kind, {_MCP.format(2)} AS mcp_server, {_MCP.format(3)} AS mcp_tool, 'https://example.org/' || repo AS remote, coalesce(regexp_full_match(repo, "
+    f"'org/repo-.|.*-9'), false) AS allowed, substr(sha256(repo), 1, 16) AS folder FROM log WHERE tool_name IS NOT NULL")
 
 
 def _health(e: DataFrame) -> DataFrame:
@@ -332,7 +342,8 @@ def _devices(e: DataFrame) -> DataFrame:
 _DEVICES = _q([
     "files AS (SELECT *, agent = 'claude-code' AS claude, ts % 3 = 0 AS missing, agent = 'codex' AND event_type IN ('turn', 'api.request') AND ts % 3 = 1 AND (model IS NOT NULL OR effort IS NOT NULL) AS vague FROM log WHERE source = 'log' AND session_id IS NOT NULL)",
     "live AS (SELECT * FROM log WHERE source = 'hook' AND agent = 'claude-code' AND session_id IS NOT NULL)",
-    "bounds AS (SELECT session_id, event_type, CASE event_type WHEN 'session.start' THEN arg_min(event_id, (ts, event_id)) ELSE arg_max(event_id, (ts, event_id)) END AS event_id, CASE event_type WHEN 'session.start' THEN min(ts) ELSE max(ts) END AS ts FROM files WHERE claude AND missing AND event_type IN ('session.start', 'session.end') GROUP BY session_id, event_type)",
+    "bounds AS (SELECT session_id, event_type, CASE event_type WHEN 'session.start' THEN arg_min(event_id, (ts, event_id)) ELSE arg_max(event_id, (ts, event_id)) END AS event_id, CASE event_type WHEN "
+        "'session.start' THEN min(ts) ELSE max(ts) END AS ts FROM files WHERE claude AND missing AND event_type IN ('session.start', 'session.end') GROUP BY session_id, event_type)",
     "resumed AS (SELECT session_id, event_type, CASE event_type WHEN 'session.start' THEN arg_min(event_id, (ts, event_id)) ELSE arg_max(event_id, (ts, event_id)) END AS event_id, max(ts) AS ts FROM live WHERE event_type IN ('session.start', 'session.end') GROUP BY session_id, event_type)"],
     """SELECT 'c-' || event_id AS left_id, 'p-' || event_id AS right_id, CASE WHEN vague THEN 'same record, other context' ELSE 'same observation' END AS rule FROM files WHERE NOT missing
   UNION ALL SELECT 'k-' || event_id, 'p-' || event_id, 'same operation id, hook' FROM live WHERE event_type IN ('tool.call', 'tool.result') AND ts % 2 = 0 AND correlation_key IS NOT NULL
@@ -375,6 +386,7 @@ DAYS = dict.fromkeys(["application_sessions", "model_series", "folded_models", "
 SQL = {
     "event_filters": _EVENT_FILTERS, "application_sessions": _APPLICATIONS, "hook_latency": _LATENCY, "model_series": _SERIES, "folded_models": _FOLDED, "mcp_page": _SERVERS, "focused_patterns": _FOCUS, "session_context": _WITH_CONTEXT,
     "client_registry": _q([_REGISTRY], "SELECT * FROM registry"), "session_clients": _SESSION_CLIENTS, "classification_facts": _FACTS, "resolved_links": _LINKED, "resolved_scopes": _SCOPED, "fingerprint_links": _FINGERPRINTS, "device_links": _DEVICES,
-    "latest_events": _q([], "SELECT event_id, CASE WHEN ts % 2 = 0 THEN ts + 7 ELSE ts END AS ts, event_type FROM log"), "billing_evidence": _CLASSIFIED, "billing_routes": _ROUTE_COUNTS, "subscription_models": _SUBSCRIBED, "subscription_usage": _LIMITS, "hook_events": _HOOKED, "plugin_events": _REPORTED, "exported_events": _EXPORTED, "tool_names": _NAMES,
+    "latest_events": _q([], "SELECT event_id, CASE WHEN ts % 2 = 0 THEN ts + 7 ELSE ts END AS ts, "
+        "event_type FROM log"), "billing_evidence": _CLASSIFIED, "billing_routes": _ROUTE_COUNTS, "subscription_models": _SUBSCRIBED, "subscription_usage": _LIMITS, "hook_events": _HOOKED, "plugin_events": _REPORTED, "exported_events": _EXPORTED, "tool_names": _NAMES,
     "collector_health": _HEALTH, "marks": _MARKS,
 }

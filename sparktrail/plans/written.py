@@ -47,7 +47,8 @@ def transcript_events(e: DataFrame) -> DataFrame:
 
 
 _ID = "substr(sha256('h|log|{}|' || {}), 1, 32)"
-_TOOL = "CASE WHEN tool_name LIKE 'mcp\\_\\_%' ESCAPE '\\' THEN CASE split_part(tool_name, '__', 2) WHEN 'playwright' THEN 'browser' ELSE 'mcp' END WHEN tool_name = 'Bash' THEN 'bash' WHEN tool_name = 'Skill' THEN 'skill' WHEN tool_name = 'WebFetch' THEN 'browser' WHEN tool_name IS NOT NULL THEN 'builtin' END"
+_TOOL = ("CASE WHEN tool_name LIKE 'mcp\\_\\_%' ESCAPE '\\' THEN CASE split_part(tool_name, '__', 2) WHEN 'playwright' THEN 'browser' ELSE 'mcp' END WHEN tool_name = 'Bash' THEN 'bash' WHEN tool_name "
+    "= 'Skill' THEN 'skill' WHEN tool_name = 'WebFetch' THEN 'browser' WHEN tool_name IS NOT NULL THEN 'builtin' END")
 _SERVER = "CASE WHEN starts_with(tool_name, 'mcp__') THEN split_part(tool_name, '__', 2) END"
 
 _TRANSCRIPTS = _q([
@@ -86,9 +87,12 @@ def rollout_events(e: DataFrame) -> DataFrame:
 _SHELL = "CASE WHEN tool_name LIKE 'mcp\\_\\_%' ESCAPE '\\' THEN 'mcp' WHEN lower(tool_name) IN ('bash', 'shell', 'exec') THEN 'bash' WHEN tool_name IS NOT NULL THEN 'builtin' END"
 _ROLLOUTS = _q([
     "placed AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS n FROM log WHERE agent = 'codex' AND session_id IS NOT NULL)",
-    "kept AS (SELECT *, session_id || '#' || n AS own, CASE WHEN n > 1 AND event_type = 'turn' THEN event_id END AS said, CASE WHEN n > 1 AND event_type = 'turn' THEN model END AS said_model, CASE WHEN n > 1 AND event_type = 'api.request' AND output_tokens IS NOT NULL THEN output_tokens % 3 END AS total FROM placed)",
-    "carried AS (SELECT *, last_value(said IGNORE NULLS) OVER w AS turn, last_value(said_model IGNORE NULLS) OVER w AS now_model, last_value(total IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM kept WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))",
-    "made AS (SELECT CASE WHEN n = 1 THEN 'session.start' WHEN event_type = 'session.end' THEN 'turn' WHEN event_type = 'api.request' AND total IS DISTINCT FROM before AND total IS NOT NULL THEN 'api.request' WHEN event_type = 'tool.result' AND source = 'hook' THEN 'tool' END AS kind, * FROM carried)",
+    "kept AS (SELECT *, session_id || '#' || n AS own, CASE WHEN n > 1 AND event_type = 'turn' THEN event_id END AS said, CASE WHEN n > 1 AND event_type = 'turn' THEN model END AS said_model, CASE "
+        "WHEN n > 1 AND event_type = 'api.request' AND output_tokens IS NOT NULL THEN output_tokens % 3 END AS total FROM placed)",
+    "carried AS (SELECT *, last_value(said IGNORE NULLS) OVER w AS turn, last_value(said_model IGNORE NULLS) OVER w AS now_model, last_value(total IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY "
+        "ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM kept WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))",
+    "made AS (SELECT CASE WHEN n = 1 THEN 'session.start' WHEN event_type = 'session.end' THEN 'turn' WHEN event_type = 'api.request' AND total IS DISTINCT FROM before AND total IS NOT NULL THEN "
+        "'api.request' WHEN event_type = 'tool.result' AND source = 'hook' THEN 'tool' END AS kind, * FROM carried)",
     "sides AS (SELECT * EXCLUDE (event_type), unnest(CASE kind WHEN 'tool' THEN ['tool.call', 'tool.result'] ELSE [kind] END) AS event_type FROM made WHERE kind IS NOT NULL)"],
     f"""SELECT substr(sha256('h|log|' || event_type || '|' || CASE WHEN kind = 'tool' THEN event_id ELSE own END), 1, 32) AS event_id, event_type, ts, session_id, turn AS turn_id, CASE WHEN kind = 'tool' THEN tool_name END AS tool_name, CASE WHEN kind = 'tool' THEN {_SHELL} END AS tool_kind,
     CASE WHEN kind = 'tool' THEN {_SERVER} END AS mcp_server, now_model AS model, CASE WHEN kind = 'api.request' THEN input_tokens END AS input_tokens, CASE WHEN kind = 'api.request' THEN output_tokens END AS output_tokens,
