@@ -3,7 +3,8 @@
 Candidate blocks (see `repeats`) are dealt by anchor, which is the sharding: all places where a window of words can occur
 again are in its anchor's shard. A task confirms the windows that recur among its distinct blocks, compiles them into an
 automaton over word numbers, and streams the blocks through it to locate every occurrence. The earliest occurrence of
-each window stays, the others go. Documents outside the shards hold no window twice, so nothing of them is left out.
+each window stays, the others go. Documents outside the shards hold no window twice, so nothing of them is left out. Anchors
+with too many blocks for a task are cut into several shards, each with the windows that Spark's aggregation confirmed.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import Windows, blocks, candidates, covered, grouped_chunks, stretches_of, with_rows
+from .store import materialize
 from .text import POWERS, POWERS_2, prefix_sums, span_hash, utf8, window_hash, words
 
 #: Bytes of blocks that one automaton covers.
@@ -99,35 +101,72 @@ def _located(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, firsts, ends)], ["row", "first", "end"])
 
 
+def _located_in_shard(blocks_: pa.Table, patterns: pa.Table, length: int) -> pa.Table:
+    """(row, first, end) of the places of confirmed windows in a shard's blocks, but for the earliest of each.
+
+    blocks_: lead (struct with row and start), block. patterns: at (row, start of a block), k (a window of it), earliest. The
+    windows' texts are read off the blocks, compiled into an automaton over word numbers, and all blocks stream through it.
+    """
+    import ahocorasick
+
+    rows, firsts = [], []
+    if patterns.num_rows:
+        leads = blocks_.column("lead").to_pylist()
+        numbers: dict[bytes, int] = {}
+        sequences = [[numbers.setdefault(x, len(numbers) + 1) for x in t.split(b" ")] for t in blocks_.column("block").to_pylist()]
+        place = {(x["row"], x["start"]): i for i, x in enumerate(leads)}
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for at, k, earliest in zip(*(patterns.column(c).to_pylist() for c in ("at", "k", "earliest")), strict=True):
+            some = sequences[place[at["row"], at["start"]]]
+            automaton.add_word(tuple(some[k : k + length]), (earliest["row"], earliest["start"]))
+        automaton.make_automaton()
+        for lead, sequence in zip(leads, sequences, strict=True):
+            for end, first in automaton.iter(tuple(sequence)):
+                here = (lead["row"], lead["start"] + end - length + 1)
+                if here != first:
+                    rows.append(here[0])
+                    firsts.append(here[1])
+    first = pa.array(firsts, pa.int64())
+    return pa.table({"row": pa.array(rows, pa.int64()), "first": first, "end": pa.compute.add(first, 1)})
+
+
 def _hot_runs(hot: DataFrame, length: int) -> DataFrame:
-    """(row, first, end) for anchors with more blocks than one task takes, by aggregations that add up before the shuffle.
+    """(row, first, end) for anchors with more blocks than one task takes.
 
-    All but the earliest occurrence of a block are removed as a whole; the windows of the earliest ones are compared by
-    128-bit hashes, and all but the earliest place of each window go.
+    All but the earliest occurrence of a block are removed as a whole. The windows of the earliest ones are confirmed by an
+    aggregation that adds up before the shuffle, by 128-bit hashes; the blocks are dealt into shards of bounded size, each with
+    one copy of every confirmed window that it holds, and an automaton locates them there. All but the earliest place of
+    a window go.
     """
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, second = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 raw = np.frombuffer(text, np.uint8)
                 a, b, _ = words(raw, np.array([0, len(raw)]))
                 for family, out in ((POWERS, first), (POWERS_2, second)):
                     out.append(window_hash(span_hash(prefix_sums(raw, family), a, b, family), length, family).view(np.int64))
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, kind), pa.array(second, kind)], ["lead", "x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, kind), pa.array(second, kind)], ["shard", "lead", "x", "y"])
 
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "start")
     hot = hot.withColumn("block_id", F.sha2("block", 256)).withColumn("at", order)
     lead = hot.groupBy("block_id").agg(F.min("at").alias("lead"), F.first("block").alias("block"))
     rest = hot.join(lead.select(F.col("block_id").alias("lead_id"), "lead"), (F.col("block_id") == F.col("lead_id")) & (F.col("at") != F.col("lead")))
     rest = rest.select("row", F.col("start").alias("first"), (F.col("start") + F.col("windows")).alias("end"))
+    lead = materialize(lead, "hot-blocks")
+    total = lead.agg(F.sum(F.length("block"))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("block_id"), F.lit(total // SHARD_BYTES + 1)).alias("shard")
+    dealt = lead.select(shard, "lead", "block")
     kind = "struct<unknown: boolean, doc_id: long, row: long, start: long>"
-    windows = lead.select("lead", "block").mapInArrow(hashes, f"lead {kind}, x array<long>, y array<long>").select("lead", F.posexplode(F.arrays_zip("x", "y")).alias("k", "z"))
-    windows = windows.select(F.struct("lead.unknown", "lead.doc_id", "lead.row", (F.col("lead.start") + F.col("k")).alias("start")).alias("at"), "z.x", "z.y")
+    windows = dealt.mapInArrow(hashes, f"shard long, lead {kind}, x array<long>, y array<long>").select("shard", "lead", F.posexplode(F.arrays_zip("x", "y")).alias("k", "z"))
+    windows = windows.select("shard", "lead", "k", F.struct("lead.unknown", "lead.doc_id", "lead.row", (F.col("lead.start") + F.col("k")).alias("start")).alias("at"), "z.x", "z.y")
     earliest = windows.groupBy("x", "y").agg(F.min("at").alias("earliest"), F.count("*").alias("n")).filter("n > 1").select(F.col("x").alias("ex"), F.col("y").alias("ey"), "earliest")
-    later = windows.join(earliest, (F.col("x") == F.col("ex")) & (F.col("y") == F.col("ey")) & (F.col("at") != F.col("earliest")))
-    return rest.unionByName(later.select(F.col("at.row").alias("row"), F.col("at.start").alias("first"), (F.col("at.start") + 1).alias("end")))
+    held = windows.groupBy("shard", "x", "y").agg(F.min(F.struct("lead", "k")).alias("one"))
+    patterns = held.join(earliest, (F.col("x") == F.col("ex")) & (F.col("y") == F.col("ey"))).select("shard", F.col("one.lead").alias("at"), "one.k", "earliest")
+    located = dealt.groupBy("shard").cogroup(patterns.groupBy("shard")).applyInArrow(lambda a, b: _located_in_shard(a, b, length), "row long, first long, end long")
+    return rest.unionByName(located)
 
 
 def remove_phrases(docs: DataFrame, length: int = 20, gram: int = 6) -> DataFrame:

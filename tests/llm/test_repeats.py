@@ -285,7 +285,7 @@ def removed_words(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot,chunk,part", [(4096, 2 << 20, 1 << 19), (0, 2 << 20, 1 << 19), (4096, 300, 1 << 19), (4096, 2 << 20, 300)])
+@pytest.mark.parametrize("hot,chunk,part", [(4096, 2 << 20, 1 << 19), (0, 2 << 20, 1 << 19), (0, 900, 1 << 19), (4096, 300, 1 << 19), (4096, 2 << 20, 300)])
 def test_repeated_phrases(spark, monkeypatch, hot, chunk, part):
     monkeypatch.setattr(repeats, "HOT_BLOCKS", hot)
     monkeypatch.setattr(phrases, "SHARD_BYTES", chunk)
@@ -318,7 +318,7 @@ def test_results_do_not_depend_on_how_files_are_split(spark, monkeypatch, name):
         spark.conf.set("spark.sql.files.openCostInBytes", sizes[1])
         return found
 
-    for module in (store, repeats, near_copies, simhash, quality, components):
+    for module in (store, repeats, near_copies, simhash, quality, components, phrases):
         monkeypatch.setattr(module, "materialize", unsettled)
     try:
         assert sorted(map(repr, run().collect())) == want
