@@ -149,3 +149,12 @@ def day_column(events: DataFrame) -> DataFrame:
 def read_export(spark: SparkSession, folder: str, start: str, end: str) -> DataFrame:
     """Events of the days from start to end."""
     return read_events(spark, folder).filter(F.col("dt").between(start, end))
+
+
+def write_export(spark: SparkSession, folder: str, target: str, start: str, end: str) -> tuple[int, int]:
+    """Write the events of the days from start to end to a new folder; its rows and columns."""
+    if start > end:
+        raise ValueError("the first day lies after the last")
+    read_export(spark, folder, start, end).write.mode("error").partitionBy("dt").option("compression", "zstd").parquet(target)
+    written = read_events(spark, target)  # counted from the footers of what was written
+    return written.count(), len(written.columns)

@@ -115,6 +115,24 @@ class Ledger:
         self._commit(new)
         return new
 
+    def import_history(self, rows: DataFrame, name: str) -> Version:
+        """Records (event_id, payload) of an older store, once for each name: the mark and the records come in one version.
+
+        Of several records of an id one counts, the smallest payload; ids that are recorded already stay as they are, as what
+        was observed goes before what is imported. A record without an id is an error.
+        """
+        old, mark = self.latest(), f"imported {name}"
+        if mark in old.cursors:
+            return old
+        if not rows.filter(F.coalesce(F.col("event_id"), F.lit("")) == "").isEmpty():
+            raise Conflict("a record of the history has no id")
+        known = self.rows(old).filter("scope = 'local'").select("event_id")
+        once = rows.groupBy("event_id").agg(F.min("payload").alias("payload")).join(known, "event_id", "left_anti")
+        fresh = once.select("event_id", "payload", F.lit("local").alias("scope"), F.lit(False).alias("deleted"), F.lit(0).cast("long").alias("sequence"))
+        new = Version(old.number + 1, (*old.folders, self._write(fresh, old.number + 1)), old.cursors | {mark: 1})
+        self._commit(new)
+        return new
+
     def compact(self) -> Version:
         """A version with the same rows and tombstones in one folder. Older versions keep theirs until their owner deletes them."""
         old = self.latest()

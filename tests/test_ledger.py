@@ -94,3 +94,33 @@ def test_any_run_of_pages_is_a_dictionary_with_deletions(spark, ledger):
         if k == 3:
             ledger.compact()
     assert held(ledger) == {("r", i): p for i, p in want.items()}
+
+
+def test_a_history_is_imported_once(spark, ledger):
+    rows = lambda *some: spark.createDataFrame(list(some), "event_id string, payload string")
+    ledger.record(rows(("a", "observed")))
+    with pytest.raises(Conflict, match="no id"):
+        ledger.import_history(rows(("", "x")), "parquet")
+    ledger.import_history(rows(("a", "old"), ("b", "2"), ("b", "1")), "parquet")
+    want = {("local", "a"): "observed", ("local", "b"): "1"}
+    assert held(ledger) == want
+    number = ledger.latest().number
+    ledger.import_history(rows(("c", "later")), "parquet")
+    assert held(ledger) == want and ledger.latest().number == number
+    ledger.compact()
+    ledger.import_history(rows(("c", "3")), "another")
+    assert held(ledger) == want | {("local", "c"): "3"}
+
+
+def test_exports_count_what_they_wrote(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sparktrail.schema import conform
+    from sparktrail.sources import events
+
+    days = spark.createDataFrame([(f"e{k}", f"2024-01-{k + 1:02}") for k in range(9)], "event_id string, dt string")
+    events.write_events(conform(days, ts=F.lit(0)), str(tmp_path / "events"))
+    assert events.write_export(spark, str(tmp_path / "events"), str(tmp_path / "out"), "2024-01-03", "2024-01-05") == (3, 56)
+    assert events.write_export(spark, str(tmp_path / "events"), str(tmp_path / "none"), "2025-01-03", "2025-01-05") == (0, 56)
+    with pytest.raises(ValueError):
+        events.write_export(spark, str(tmp_path / "events"), str(tmp_path / "x"), "2024-01-05", "2024-01-03")
