@@ -50,6 +50,29 @@ def resolve_scopes(ledger: DataFrame, scope: str, tombstones: DataFrame, aliases
     return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+def covered_deliveries(outbox: DataFrame, aliases: DataFrame, ledger: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """(destination, event_id) of what needn't be sent: its counterpart in a remote scope has come down, or was deleted there.
+
+    outbox: (destination, event_id); aliases: (scope, destination, local_id, remote_id); ledger and tombstones: (scope, event_id).
+    """
+    there = ledger.select("scope", "event_id").union(tombstones.select("scope", "event_id")).select("scope", F.col("event_id").alias("remote_id"))
+    proven = aliases.join(there, ["scope", "remote_id"], "left_semi").select("destination", F.col("local_id").alias("event_id"))
+    return outbox.select("destination", "event_id").join(proven, ["destination", "event_id"], "left_semi").distinct()
+
+
+def origins(local: DataFrame, remote: DataFrame, aliases: DataFrame) -> DataFrame:
+    """`origins` of `billing.observed_routes`: what this device knows of requests that a remote scope has under other ids.
+
+    local and remote: events. A pair counts if both are of the same agent and session, the remote id isn't a local one as well,
+    and the remote id has no other counterpart.
+    """
+    here = local.filter("event_type = 'api.request'").select(F.col("event_id").alias("local_id"), "agent", "session_id", "host_id", "provider", F.col("billing_route").alias("route"))
+    far = remote.select(F.col("event_id").alias("remote_id"), "agent", "session_id").join(local.select(F.col("event_id").alias("remote_id")), "remote_id", "left_anti")
+    pairs = aliases.select("local_id", "remote_id").distinct().join(here, "local_id").join(far, ["remote_id", "agent", "session_id"])
+    only = F.count("*").over(Window.partitionBy("remote_id"))
+    return pairs.withColumn("n", only).filter("n = 1").select("remote_id", "local_id", "host_id", "provider", "route")
+
+
 def match_fingerprints(responses: DataFrame, messages: DataFrame, within_ms: int = 120_000) -> DataFrame:
     """(response_id, message_id, verdict): responses and messages of one fingerprint within two minutes.
 

@@ -57,3 +57,25 @@ def test_equal_observations_keep_their_number(spark):
     same = [row(f"l{k}", "log", "compaction", 5) for k in range(3)]
     old = [row(f"r{k}", "log", "compaction", 5, host_id="other", user_id="u") for k in range(2)]
     assert sorted(pairs(devices.reconcile(rows(spark, *same), rows(spark, *old)))) == [("l0", "r0"), ("l1", "r1")]
+
+
+def test_deliveries_that_a_counterpart_covers(spark):
+    from sparktrail.operators import resolution
+
+    table = lambda kind, *some: spark.createDataFrame(list(some), kind)
+    outbox = table("destination string, event_id string", ("d", "l1"), ("d", "l2"), ("d", "l3"), ("d", "l4"), ("other", "l1"))
+    aliases = table("scope string, destination string, local_id string, remote_id string", ("r", "d", "l1", "r1"), ("r", "d", "l2", "r2"), ("r", "d", "l3", "r3"), ("s", "d", "l4", "r1"))
+    ledger = table("scope string, event_id string", ("r", "r1"), ("local", "r3"))
+    stones = table("scope string, event_id string", ("r", "r2"))
+    assert sorted(map(tuple, resolution.covered_deliveries(outbox, aliases, ledger, stones).collect())) == [("d", "l1"), ("d", "l2")]
+
+
+def test_origins_of_remote_requests(spark):
+    from sparktrail.operators import resolution
+
+    api = lambda i, **more: row(i, "otel", "api.request", 1, **more)
+    local = rows(spark, api("l1", provider="router", billing_route="router"), api("l2"), api("l3", session_id="t"), api("l4"), api("both"), row("l6", "log", "turn", 1))
+    remote = rows(spark, api("r1"), api("r2"), api("r3"), api("both"), api("r6"))
+    aliases = spark.createDataFrame([("l1", "r1"), ("l2", "r2"), ("l4", "r2"), ("l3", "r3"), ("l1", "both"), ("l6", "r6"), ("l1", "r1")], "local_id string, remote_id string")
+    got = [tuple(r) for r in resolution.origins(local, remote, aliases).collect()]
+    assert got == [("r1", "l1", "h", "router", "router")]  # two for r2, another session for r3, a local id, no request
