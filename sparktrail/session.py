@@ -10,13 +10,16 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a method beyond which the JVM only interprets it. Wide projections are split into smaller methods instead.
+JIT_LIMIT = "8000"
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
 
 def session(name: str = "sparktrail", **settings: str) -> SparkSession:
-    """UTC, adaptive execution; other settings as given."""
+    """UTC, adaptive execution, generated methods of a size that the JVM still compiles; other settings as given."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = builder.config("spark.sql.codegen.hugeMethodLimit", JIT_LIMIT)
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
