@@ -202,14 +202,15 @@ def mcp_tax(e: DataFrame) -> DataFrame:
     per = by_size.groupBy("mcp_server").agg(
         total("configured").alias("sessions_configured"), total("used").alias("sessions_used"), total(F.col("configured") - F.col("used")).alias("sessions_unused"), F.coalesce(total_where(known, "configured"), F.lit(0)).alias("sessions_with_usage"),
         F.round(total("share")).cast("long").alias("fixed_tokens_est"), F.round(total("unused_share")).cast("long").alias("unused_tokens_est"),
-        F.percentile("size", F.lit(0.5), F.col("configured")).alias("_with"), F.map_from_entries(F.collect_list(F.when(known, F.struct("size", "having")))).alias("_having"),
+        F.percentile("size", F.lit(0.5), F.col("configured")).alias("_with"),
     )
     # the sessions without a server are all sessions less those with it
     sizes = priced.filter("first_input_tokens is not null").groupBy(F.col("first_input_tokens").alias("size")).agg(F.count("*").alias("sessions"))
-    left = sizes.crossJoin(F.broadcast(per.select(F.col("mcp_server").alias("_server"), "_having"))).withColumn("others", F.col("sessions") - F.coalesce(F.element_at("_having", F.col("size")), F.lit(0)))
+    having = by_size.filter(known).select(F.col("mcp_server").alias("_server"), "size", "having")
+    left = sizes.crossJoin(per.select(F.col("mcp_server").alias("_server"))).join(having, ["_server", "size"], "left").withColumn("others", F.col("sessions") - F.coalesce("having", F.lit(0)))
     without = left.filter("others > 0").groupBy("_server").agg(F.percentile("size", F.lit(0.5), F.col("others")).alias("_without"))
     out = per.join(without, F.col("mcp_server") == F.col("_server"), "left")
-    return out.withColumn("marginal_first_tokens_est", F.round(F.col("_with") - F.col("_without")).cast("long")).drop("_with", "_without", "_server", "_having").orderBy(F.desc_nulls_last("unused_tokens_est"), F.desc_nulls_last("fixed_tokens_est"), "mcp_server")
+    return out.withColumn("marginal_first_tokens_est", F.round(F.col("_with") - F.col("_without")).cast("long")).drop("_with", "_without", "_server").orderBy(F.desc_nulls_last("unused_tokens_est"), F.desc_nulls_last("fixed_tokens_est"), "mcp_server")
 
 
 def subagents(e: DataFrame, with_total: bool = True) -> DataFrame:
