@@ -28,7 +28,7 @@ def boundaries(current: DataFrame, previous: DataFrame) -> DataFrame:
     kinds = ("session.start", "session.end")
     key = ["session_id", "event_type"]
     live = previous.filter(_of("hook", *kinds)).groupBy(*key).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last"), F.max("ts").alias("last_ts"))
-    both = current.filter(_of("log", *kinds)).join(live, key)
+    both = current.filter(_of("log", *kinds)).join(live.hint("merge"), key)
     start = F.col("event_type") == "session.start"
     covered = both.filter(start | (F.col("last_ts") >= F.col("ts")))
     return covered.select(F.col("event_id").alias("left_id"), F.when(start, F.col("first")).otherwise(F.col("last")).alias("right_id"), F.lit(BOUNDARY).alias("rule"))
@@ -44,7 +44,7 @@ def near_turns(current: DataFrame, previous: DataFrame, within_ms: int = 100, al
     span = F.floor(F.col("ts") / within_ms)
     left = current.filter(_of("log", "turn")).select("session_id", F.col("event_id").alias("left_id"), F.col("ts").alias("left_ts"), span.alias("span"))
     right = previous.filter(_of("otel", "turn")).select("session_id", F.col("event_id").alias("right_id"), F.col("ts").alias("right_ts"), F.explode(F.sequence(span - 1, span + 1)).alias("span"))
-    pairs = left.join(right, ["session_id", "span"]).filter(F.abs(F.col("left_ts") - F.col("right_ts")) <= within_ms)
+    pairs = left.join(right.hint("merge"), ["session_id", "span"]).filter(F.abs(F.col("left_ts") - F.col("right_ts")) <= within_ms)
     of = lambda c: F.count("*").over(Window.partitionBy(c))
     pairs = pairs.withColumn("alone", (of("left_id") == 1) & (of("right_id") == 1) & F.lit(allowed))
     wrong = F.raise_error(F.concat(F.lit("unresolved turn in session "), "session_id")).cast("string")
@@ -58,7 +58,7 @@ def reconcile(current: DataFrame, previous: DataFrame, match_prompt_times: bool
     """
     current, previous = stored(current), stored(previous)
     found = link_devices(current, previous, device_rules(current.columns))
-    found = stored(found.unionByName(boundaries(unmatched(current, found, "left_id"), previous)))
+    found = found.unionByName(stored(boundaries(unmatched(current, found, "left_id"), previous)))
     found = found.unionByName(near_turns(unmatched(current, found, "left_id"), previous, allowed=match_prompt_times))
     twice = lambda c: F.count("*").over(Window.partitionBy(c)) > 1
     wrong = F.raise_error(F.concat(F.lit("two proposed counterparts of "), "left_id", F.lit(" or "), "right_id")).cast("string")

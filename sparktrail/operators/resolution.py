@@ -105,18 +105,23 @@ def fingerprints(texts: DataFrame, secret: bytes) -> DataFrame:
 Rule = tuple[str, list[Column] | tuple[list[Column], list[Column]], bool]
 
 
+def _keyed(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """(k, event_id, ts, reasoning_tokens) of the rows whose key is known. k digests the key: whole rows as text would fill the sorts."""
+    known = F.lit(True)
+    for c in columns:
+        known = known & c.isNotNull()
+    key = F.unhex(F.sha2(F.to_json(F.struct(*(c.alias(f"k{i}") for i, c in enumerate(columns)))), 256))
+    return df.filter(known).select(key.alias("k"), "event_id", "ts", "reasoning_tokens")
+
+
 def _pairs(left: DataFrame, right: DataFrame, rule: Rule, strict: bool) -> DataFrame:
-    name, key, unique = rule
-    sides = []
-    for df, columns in ((left, key[0] if isinstance(key, tuple) else key), (right, key[1] if isinstance(key, tuple) else key)):
-        known = F.lit(True)
-        for c in columns:
-            known = known & c.isNotNull()
-        order, whole = Window.partitionBy("k").orderBy("ts", "event_id"), Window.partitionBy("k")
-        rows = df.filter(known).withColumn("k", F.to_json(F.struct(*(c.alias(f"k{i}") for i, c in enumerate(columns)))))
-        sides.append(rows.select("k", "event_id", "reasoning_tokens", F.row_number().over(order).alias("n"), F.count("*").over(whole).alias("of")))
-    a, b = (x.alias(k) for x, k in zip(sides, "ab", strict=True))
-    both = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.n") == F.col("b.n")))
+    """Pairs of one rule. left and right: `_keyed` rows; both go by key in one shuffle, and meet by their numbers without a join."""
+    name, _, unique = rule
+    rows = left.withColumn("side", F.lit("a")).unionByName(right.withColumn("side", F.lit("b")))
+    whole = Window.partitionBy("k", "side")
+    rows = rows.withColumns({"n": F.row_number().over(whole.orderBy("ts", "event_id")), "of": F.count("*").over(whole)})
+    of_side = lambda s: F.max(F.when(F.col("side") == s, F.struct("event_id", "reasoning_tokens", "of"))).alias(s)
+    both = rows.groupBy("k", "n").agg(of_side("a"), of_side("b")).filter("a is not null and b is not null")
     once = (F.col("a.of") == 1) & (F.col("b.of") == 1)
     left_id = F.col("a.event_id")
     if unique and strict:
@@ -129,7 +134,8 @@ def _pairs(left: DataFrame, right: DataFrame, rule: Rule, strict: bool) -> DataF
 
 
 def unmatched(df: DataFrame, found: DataFrame | None, id_: str) -> DataFrame:
-    return df if found is None else df.join(found.select(F.col(id_).alias("event_id")), "event_id", "left_anti").select(*df.columns)
+    """df without the rows of pairs. Pairs grow with the log, so they are merged and never sent whole by the driver."""
+    return df if found is None else df.join(found.select(F.col(id_).alias("event_id")).hint("merge"), "event_id", "left_anti").select(*df.columns)
 
 
 def link_devices(left: DataFrame, right: DataFrame, rules: list[Rule], strict: bool = True) -> DataFrame:
@@ -142,9 +148,11 @@ def link_devices(left: DataFrame, right: DataFrame, rules: list[Rule], strict: b
     """
     found = None
     for rule in rules:
-        part = _pairs(unmatched(left, found, "left_id"), unmatched(right, found, "right_id"), rule, strict)
+        key = rule[1] if isinstance(rule[1], tuple) else (rule[1], rule[1])
+        part = _pairs(unmatched(_keyed(left, key[0]), found, "left_id"), unmatched(_keyed(right, key[1]), found, "right_id"), rule, strict)
         # each rule looks at all pairs so far on both sides: stored, they are worked out once
-        found = stored(part if found is None else found.unionByName(part))
+        part = stored(part)
+        found = part if found is None else found.unionByName(part)
     return found
 
 

@@ -333,7 +333,7 @@ def _devices(e: DataFrame) -> DataFrame:
     bound = log & claude & F.col("event_type").isin("session.start", "session.end") & third
     ends = e.filter(bound & F.col("session_id").isNotNull()).groupBy("session_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last"))
     one = ends.select(F.when(F.col("event_type") == "session.start", F.col("first")).otherwise(F.col("last")).alias("event_id"))
-    files = e.filter(log & ~bound).unionByName(e.filter(bound).join(one, "event_id", "left_semi"))
+    files = e.filter(log & ~bound).unionByName(e.filter(bound).join(one.hint("merge"), "event_id", "left_semi"))
     calls = e.filter(claude & (F.col("source") == "hook") & F.col("event_type").isin("tool.call", "tool.result") & (F.col("ts") % 2 == 0))
     current = renamed(files, "c-").unionByName(renamed(calls, "k-", source=F.lit("log"), ts=F.col("ts") + 3)).withColumn("host_id", F.lit("new"))
     return devices.reconcile(current, previous, match_prompt_times=True)

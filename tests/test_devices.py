@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sparktrail.operators import devices
+from sparktrail.operators import devices, resolution
 from sparktrail.schema import EVENT_SCHEMA
 
 
@@ -79,3 +79,16 @@ def test_origins_of_remote_requests(spark):
     aliases = spark.createDataFrame([("l1", "r1"), ("l2", "r2"), ("l4", "r2"), ("l3", "r3"), ("l1", "both"), ("l6", "r6"), ("l1", "r1")], "local_id string, remote_id string")
     got = [tuple(r) for r in resolution.origins(local, remote, aliases).collect()]
     assert got == [("r1", "l1", "h", "router", "router")]  # two for r2, another session for r3, a local id, no request
+
+
+def test_nothing_that_grows_with_the_log_goes_through_the_driver(spark, monkeypatch):
+    # read from files, whose small size Spark knows and would broadcast
+    file = devices.stored(rows(spark, row("a", "log", "session.start", 100), row("t", "log", "turn", 1000), row("c", "log", "compaction", 5)))
+    live = devices.stored(rows(spark, row("s", "hook", "session.start", 90), row("o", "otel", "turn", 1049), row("d", "log", "compaction", 5)))
+    monkeypatch.setattr(resolution, "stored", lambda df: df)  # so that one plan shows all joins
+    rules = [("same time", [F.col("ts")], False), ("same repo", [F.col("repo")], False)]
+    for found in (resolution.link_devices(file, live, rules), devices.boundaries(file, live), devices.near_turns(file, live)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert pairs(resolution.link_devices(file, live, rules)) == {("c", "d"): "same time"}
+    long = file.withColumn("repo", F.repeat(F.lit("x"), 5000))
+    assert [len(r["k"]) for r in resolution._keyed(long, [F.col("repo")]).collect()] == [32] * 3  # however long a row is as text
