@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktrail.functions.columns import day_of, json_list, rate, total
-from sparktrail.session import stored
+from sparktrail.session import stored, tasks_for
 
 from .dedup import is_first_observation, tool_results
 from .usage import first_context, snapshots
@@ -43,11 +43,16 @@ READ = (
 ).split()
 
 
-def observed(e: DataFrame) -> DataFrame:
+def by_session(e: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The log dealt by session to tasks of bounded size; filters and columns chosen later apply before that shuffle."""
+    return e.repartition(tasks or tasks_for(e), "session_id")
+
+
+def observed(e: DataFrame, tasks: int | None = None) -> DataFrame:
     """What all branches share, from one scan of the log and one deal by session: the columns that they read, which row stands
     for its tool result, the detours and tools around it. Stored, as each branch then reads a few columns of some rows.
     """
-    rows = e.select(*READ).repartition("session_id")  # all windows below are within a session, so this is the only shuffle
+    rows = by_session(e.select(*READ), tasks)  # all windows below are within a session, so this is the only shuffle
     return stored(with_last_tools(with_detours(rows)))
 
 
@@ -61,7 +66,7 @@ def failed_mcp() -> Column:
 
 def bypass(e: DataFrame) -> DataFrame:
     """A failed MCP result and each bash or browser call within the next five events; events without a session don't take part."""
-    hits = with_detours(e.filter("session_id is not null")).filter(failed_mcp()).withColumn("x", F.explode("detours"))
+    hits = with_detours(by_session(e.filter("session_id is not null"))).filter(failed_mcp()).withColumn("x", F.explode("detours"))
     return hits.select("session_id", "mcp_server", F.col("x.tool_name").alias("following_tool_name"), F.col("ts").alias("fail_ts"), F.col("x.ts").alias("bypass_ts")).orderBy("session_id", "fail_ts", "bypass_ts")
 
 
@@ -71,7 +76,7 @@ def thrash(e: DataFrame) -> DataFrame:
     pairs = results.groupBy("session_id", "tool_name").agg(F.count_if(~F.col("success")).alias("incidents"), F.min(F.when(~F.col("success"), F.col("ts"))).alias("first_ts"), F.max(F.when(~F.col("success"), F.col("ts"))).alias("last_ts"), F.count_if("success").alias("worked"))
     columns = ["session_id", "kind", "tool_name", "incidents", "first_ts", "last_ts"]
     failures = pairs.filter("incidents >= 3 and worked = 0 and session_id is not null").withColumn("kind", F.lit("repeat_failure")).select(columns)
-    denied = with_detours(e).filter("event_type = 'tool.denied' and session_id is not null").withColumn("x", F.explode("detours"))
+    denied = with_detours(by_session(e.filter("session_id is not null"))).filter("event_type = 'tool.denied'").withColumn("x", F.explode("detours"))
     detours = denied.select("session_id", F.lit("deny_detour").alias("kind"), "tool_name", F.lit(1).cast("long").alias("incidents"), F.col("ts").alias("first_ts"), F.col("x.ts").alias("last_ts"))
     return failures.unionByName(detours).orderBy("session_id", "first_ts")
 
@@ -144,7 +149,7 @@ def context_jump(e: DataFrame) -> DataFrame:
     Log requests make the streams of a session that has any, otherwise the otel requests of the main conversation do.
     The last tool is a running value over the session's rows of the same agent: one pass, no join.
     """
-    rows = with_last_tools(e).filter("event_type = 'api.request'")
+    rows = with_last_tools(e.filter("event_type in ('api.request', 'tool.result')")).filter("event_type = 'api.request'")
     log = F.col("source") == "log"
     otel = (F.col("source") == "otel") & ~F.col("has_log") & (F.col("query_source").isNull() | (F.col("query_source") == "main"))
     zero = F.lit(0)
@@ -188,6 +193,8 @@ BRANCHES = {
 }
 DETOURS = ("mcp_bypass", "deny_detour")
 BRANCH_OF = {"context_bloat": ["context_jump", "compaction"]}
+#: Branches that only sum up: their rows add up before a shuffle, so they take the log as it is.
+SUMMED = ("compaction", "unused_mcp_server")
 
 
 def hits(e: DataFrame, pattern: str | None = None) -> DataFrame:
@@ -196,20 +203,22 @@ def hits(e: DataFrame, pattern: str | None = None) -> DataFrame:
     All patterns together read the log once, see `observed`.
     """
     e = e.filter("session_id is not null")
+    tasks = tasks_for(e)
     if not pattern:
-        e = observed(e)
+        e = observed(e, tasks)
+    dealt = by_session(e, tasks)
     wanted = BRANCH_OF.get(pattern, [pattern]) if pattern else list(BRANCHES)
-    parts = [BRANCHES[name](e) for name in wanted if pattern or name not in DETOURS]
+    parts = [BRANCHES[name](e if name in SUMMED else dealt) for name in wanted if pattern or name not in DETOURS]
     if not pattern:
-        parts.append(_detours(e, *DETOURS))
+        parts.append(_detours(e, *DETOURS))  # all that it needs is in the row by now
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
     own = found.filter("pattern_id = 'unused_mcp_server'").withColumn("wasted_tokens_est", F.get_json_object("detail", "$.tokens_est").cast("long"))
-    return own if pattern == "unused_mcp_server" else own.unionByName(_priced(found.filter("pattern_id <> 'unused_mcp_server'"), e))
+    return own if pattern == "unused_mcp_server" else own.unionByName(_priced(found.filter("pattern_id <> 'unused_mcp_server'"), e, tasks))
 
 
-def _priced(found: DataFrame, e: DataFrame) -> DataFrame:
+def _priced(found: DataFrame, e: DataFrame, tasks: int) -> DataFrame:
     """Add the tokens of the session's otel requests within each hit's time span, null without any request.
 
     One pass over a session: running sums of tokens and requests are read off before a span's first and after its last
@@ -220,7 +229,7 @@ def _priced(found: DataFrame, e: DataFrame) -> DataFrame:
     tokens = F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))
     spent = e.filter("event_type = 'api.request' and source = 'otel'").select("session_id", F.col("ts").alias("at"), F.lit(1).alias("kind"), tokens.alias("tokens"))
     w = Window.partitionBy("session_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = marks.unionByName(spent, allowMissingColumns=True)
+    rows = by_session(marks.unionByName(spent, allowMissingColumns=True), tasks)
     rows = rows.withColumn("so_far", F.struct(F.coalesce(F.sum("tokens").over(w), F.lit(0)).alias("tokens"), F.count("tokens").over(w).alias("n"))).filter("kind <> 1")
     side = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("so_far")))
     pairs = rows.groupBy("session_id", "hit.pattern_id", "hit.subject", "hit.hit_key").agg(F.first("hit").alias("hit"), side(0).alias("a"), side(2).alias("b"))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of a method beyond which the JVM only interprets it. Wide projections are split into smaller methods instead.
 JIT_LIMIT = "8000"
 PACKAGE = Path(__file__).resolve().parent
+#: Rows that one task sorts at a time, about.
+ROWS_A_TASK = 100_000
 _shipped: set[str] = set()
 
 
@@ -62,3 +64,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tasks_for(df: DataFrame) -> int:
+    """How many tasks df's rows are dealt to, so that a task sorts about ROWS_A_TASK of them, whatever their number.
+
+    Left to itself, adaptive execution joins partitions until there are as many as cores, or each has 64 MB compressed; rows
+    that are sorted several times then take a share of the input's size in each task.
+    """
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from sparktrail import session
 from sparktrail.operators import patterns, pricing, session_detail, usage
 from sparktrail.plans.catalogue import ORACLE_SQL, QUERIES
 from sparktrail.schema import EVENT_SCHEMA, conform
@@ -173,3 +174,14 @@ def test_the_rest_works_without_the_training_data_operators(tmp_path):
             (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
         code = "import __spark_entry__ as e, bench; q, s = e.queries(), e.oracle_sql(); assert 'tools' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q) and set(s) <= set(q)"
         subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
+def test_the_log_is_dealt_by_its_rows_not_by_the_cores(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 2, raising=False)
+    dealt, stored = [], patterns.stored
+    monkeypatch.setattr(patterns, "stored", lambda df: dealt.append(df.rdd.getNumPartitions()) or stored(df))
+    e = log(spark, [result("Edit", False, session_id=f"s{k % 10}") for k in range(40)])
+    assert [(r["sessions"], r["incidents"]) for r in patterns.patterns_rank(e).collect()] == [(10, 40)]
+    assert dealt == [20]
+    jumps = patterns.hits(e, "context_bloat")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(session_id#" in jumps and "REPARTITION_BY_NUM" in jumps
