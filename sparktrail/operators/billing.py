@@ -1,4 +1,7 @@
-"""Which way a request was paid for: routes that were observed, then evidence of the login that the session used."""
+"""Which way a request was paid for: routes that were observed, then evidence of the login that the session used.
+
+Evidence grows with the requests, so all its joins merge: none sends a side whole through the driver.
+"""
 
 from __future__ import annotations
 
@@ -36,7 +39,7 @@ def _near(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """
     span = F.floor(F.col("ts") / NEAR_MS)
     wide = right.withColumn("_span", F.explode(F.sequence(span - 1, span + 1))).withColumnRenamed("ts", "at")
-    return left.withColumn("_span", span).join(wide, [*key, "_span"]).filter(F.abs(F.col("ts") - F.col("at")) <= NEAR_MS).drop("_span")
+    return left.withColumn("_span", span).join(wide.hint("merge"), [*key, "_span"]).filter(F.abs(F.col("ts") - F.col("at")) <= NEAR_MS).drop("_span")
 
 
 def observed_routes(requests: DataFrame, origins: DataFrame, event_routes: DataFrame, review_turns: DataFrame) -> DataFrame:
@@ -49,13 +52,13 @@ def observed_routes(requests: DataFrame, origins: DataFrame, event_routes: DataF
     """
     one = origins.groupBy(F.col("remote_id").alias("_remote")).agg(F.min(F.struct("local_id", "host_id", "provider", "route")).alias("o"))  # a request has one origin
     a = one.select("_remote", F.col("o.local_id").alias("_local"), F.col("o.host_id").alias("_host"), F.col("o.provider").alias("_provider"), F.col("o.route").alias("_route"))
-    u = requests.join(a, F.col("event_id") == F.col("_remote"), "left").withColumn("host_id", F.coalesce("_host", "host_id"))
+    u = requests.join(a.hint("merge"), F.col("event_id") == F.col("_remote"), "left").withColumn("host_id", F.coalesce("_host", "host_id"))
     one = review_turns.groupBy(F.col("host_id").alias("_rh"), F.col("turn_id").alias("_rt")).agg(F.min("thread_id").alias("_thread"), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
     review = (F.col("agent") == "codex") & (F.col("model") == "codex-auto-review") & (F.col("turn_id") == F.col("_rt")) & (F.col("host_id") == F.col("_rh"))
-    u = u.join(one, review, "left")
+    u = u.join(one.hint("merge"), review, "left")
     has = lambda r: F.bool_or(F.col("route") == r)
     seen = event_routes.groupBy(F.col("event_id").alias("_seen")).agg(F.when(has("router"), "router").when(has("api_key"), "api_key").otherwise("subscription").alias("_diagnosed"))
-    u = u.join(seen, (F.col("agent") == "codex") & (F.col("_seen") == F.coalesce("_local", "event_id")), "left")
+    u = u.join(seen.hint("merge"), (F.col("agent") == "codex") & (F.col("_seen") == F.coalesce("_local", "event_id")), "left")
     any_is = lambda r: F.coalesce(F.array_contains(F.array_compact(F.array("_route", "billing_route", "_diagnosed")), r), F.lit(False))
     route = F.when(any_is("router") | (F.col("_provider") == "router"), "router").when(any_is("api_key"), "api_key").when(F.col("_provider") != F.col("provider"), "unknown").otherwise(F.coalesce("billing_route", "_route", "_diagnosed"))
     out = u.withColumns({"explicit_route": route, "auth_session_id": F.coalesce("_thread", "session_id")})
@@ -68,7 +71,7 @@ def subscribed_by_login(u: DataFrame, turn_auth: DataFrame, request_auth: DataFr
     codex = u.filter("agent = 'codex' and provider = 'openai' and source in ('otel', 'log')").select("event_id", *key, "ts")
     turns = turn_auth.groupBy(*key).agg(F.coalesce(F.bool_or(F.col("route") != "subscription"), F.lit(False)).alias("other"), F.min(F.when(F.col("route") == "subscription", F.col("ts"))).alias("since"))
     asked = request_auth.groupBy(*key).agg(F.bool_and("subscribed").alias("all"))
-    told = codex.join(turns, key, "left").join(asked, key, "left").filter("not coalesce(other, false) and coalesce(all, true)")
+    told = codex.join(turns.hint("merge"), key, "left").join(asked.hint("merge"), key, "left").filter("not coalesce(other, false) and coalesce(all, true)")
     by_turn = told.filter(F.col("since") <= F.col("ts") + EARLY_MS).select("event_id")
     by_request = _near(told.filter("all").select("event_id", *key, "ts"), request_auth.select(*key, "ts"), key).select("event_id")
     sizes = ["host_id", "auth_session_id", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens"]
@@ -83,7 +86,7 @@ def paid_by_key(u: DataFrame, turn_auth: DataFrame, request_auth: DataFrame, key
     codex = u.filter("agent = 'codex' and provider = 'openai'").select("event_id", *key, "ts")
     turns = turn_auth.groupBy(*key).agg(F.coalesce(F.bool_or(F.col("route") != "api_key"), F.lit(False)).alias("other"), F.min(F.when(F.col("route") == "api_key", F.col("ts"))).alias("since"))
     never = request_auth.filter("subscribed").select(*key).distinct()
-    told = codex.join(turns, key, "left").filter("not coalesce(other, false)").join(never, key, "left_anti")
+    told = codex.join(turns.hint("merge"), key, "left").filter("not coalesce(other, false)").join(never.hint("merge"), key, "left_anti")
     by_turn = told.filter(F.col("since") <= F.col("ts") + EARLY_MS).select("event_id")
     return by_turn.union(_near(told.select("event_id", *key, "ts"), key_requests.select(*key, "ts"), key).select("event_id")).distinct()
 
@@ -101,7 +104,7 @@ def classified(u: DataFrame, turn_auth: DataFrame, request_auth: DataFrame, resp
     """
     yes = subscribed_by_login(u, turn_auth, request_auth, responses).select(F.col("event_id").alias("_yes"))
     by_key = paid_by_key(u, turn_auth, request_auth, key_requests).select(F.col("event_id").alias("_key"))
-    out = u.join(yes, F.col("event_id") == F.col("_yes"), "left").join(by_key, F.col("event_id") == F.col("_key"), "left")
+    out = u.join(yes.hint("merge"), F.col("event_id") == F.col("_yes"), "left").join(by_key.hint("merge"), F.col("event_id") == F.col("_key"), "left")
     route = F.when(F.col("provider") == "router", "router").when(F.col("explicit_route").isNotNull(), F.col("explicit_route")).when(F.col("_yes").isNotNull(), "subscription").when(F.col("_key").isNotNull(), "api_key").otherwise("unknown")
     return out.withColumn("route", route).drop("_yes", "_key")
 

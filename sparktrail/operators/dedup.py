@@ -39,9 +39,9 @@ def without_result_copies(e: DataFrame) -> DataFrame:
 def preferred_usage(e: DataFrame) -> DataFrame:
     """API requests of each session's best source: otel, else log, else others. A null session is one group."""
     requests = e.filter("event_type = 'api.request'").withColumn("_p", precedence("otel", "log"))
-    # a minimum adds up before the shuffle, so that requests without a session needn't meet in one task
+    # a minimum adds up before the shuffle; sessions grow with the log, so they are merged and never sent whole by the driver
     best = requests.groupBy(F.col("session_id").alias("_s")).agg(F.min("_p").alias("_best"))
-    return requests.join(best, F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_best"))).drop("_p", "_best", "_s")
+    return requests.join(best.hint("merge"), F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_best"))).drop("_p", "_best", "_s")
 
 
 def latest_by_id(e: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 from sparktrail import session
 from sparktrail.operators import patterns, pricing, session_detail, usage
+from sparktrail.plans import derived
 from sparktrail.plans.catalogue import ORACLE_SQL, QUERIES
 from sparktrail.schema import EVENT_SCHEMA, conform
 
@@ -185,3 +186,9 @@ def test_the_log_is_dealt_by_its_rows_not_by_the_cores(spark, monkeypatch):
     assert dealt == [20]
     jumps = patterns.hits(e, "context_bloat")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(session_id#" in jumps and "REPARTITION_BY_NUM" in jumps
+
+
+def test_billing_evidence_is_never_broadcast(spark):
+    e = log(spark, [{"event_type": "api.request", "source": "otel", "output_tokens": k, "provider": "anthropic"} for k in range(5)])
+    out = usage._with_routes(*derived._requests(e))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
